@@ -32,8 +32,8 @@ MAX_NODES = 20_000
 MAX_FILLINGS = 8
 #: Distinct words whose ids a task remembers.
 CACHED_TOKENS = 250_000
-#: Marks that may stand between words while they are encoded; one that is a single token is taken.
-MARKS = ("§", "¶", "¤", "|")
+#: Marks that may stand between words while they are encoded; one that is a single token and stands in no word is taken.
+MARKS = ("😂", "😍", "🔥", "✨", "❤", "§", "®", "|")
 #: Pieces that are numbered together in one group, on average.
 GROUP_ROWS = 20_000
 
@@ -57,23 +57,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        marks = (m for m in MARKS if len(self._ids(m)) == 1)
-        self.mark = next(marks, None)
-        self.mark_id = int(self._ids(self.mark)[0]) if self.mark else -1
+        single = {m: self._ids(m) for m in MARKS}
+        self.marks = {m: int(ids[0]) for m, ids in single.items() if len(ids) == 1}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        if self.mark:
-            ids = self._ids(f" {self.mark} ".join(words))
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) == len(words) - 1:
-                raw = ids.tobytes()
-                starts = [0, *(4 * ends + 4).tolist()]
-                self.known.update(zip(words, (raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
-                return
-        for word in words:  # some word has the mark itself
+        line = " ".join(words)
+        for mark in self.marks:
+            if mark not in line:
+                ids = self._ids(f" {mark} ".join(words))
+                ends = np.flatnonzero(ids == self.marks[mark])
+                if len(ends) == len(words) - 1:
+                    raw = ids.tobytes()
+                    starts = [0, *(4 * ends + 4).tolist()]
+                    self.known.update(zip(words, (raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
+                    return
+        for word in words:
             self.known[word] = self._ids(word).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
