@@ -13,13 +13,18 @@ text are read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,27 +32,37 @@ from ._common import sliced, written
 
 CAPACITY = 2048
 #: Search nodes of the branch-and-bound before the best packing so far is taken.
-MAX_NODES = 20_000
+MAX_NODES = 4_000
 #: Undominated fillings that a node looks at, fullest first.
 MAX_FILLINGS = 8
 #: Distinct words whose ids a task remembers.
 CACHED_TOKENS = 250_000
-#: Marks that may stand between words while they are encoded; one that is a single token and stands in no word is taken.
-MARKS = ("😂", "😍", "🔥", "✨", "❤", "§", "®", "|")
 #: Pieces that are numbered together in one group, on average.
 GROUP_ROWS = 20_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt int"
 #: White space besides space, tab and line ends, and what might join across it: such texts are encoded whole.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Outside visible ASCII and Latin letters whose lower case is one letter: such parts are encoded whole.
+_NOT_LATIN = re.compile("[^!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u017e]")
+
+
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is visible, else one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
     """Ids of texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins over it, so the ids of the parts
-    between white space are remembered and put together. New parts are encoded as one
-    text, with a mark between them whose id shows where each ends.
+    between white space are remembered and put together. A new part of Latin letters
+    goes through the tokenizer's own steps (its pattern, then its model), and their
+    results for letter runs are remembered as well; any other part, and any tokenizer
+    with other steps, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,35 +71,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        single = {m: self._ids(m) for m in MARKS}
-        self.marks = {m: int(ids[0]) for m, ids in single.items() if len(ids) == 1}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        line = " ".join(words)
-        for mark in self.marks:
-            if mark not in line:
-                ids = self._ids(f" {mark} ".join(words))
-                ends = np.flatnonzero(ids == self.marks[mark])
-                if len(ends) == len(words) - 1:
-                    raw = ids.tobytes()
-                    starts = [0, *(4 * ends + 4).tolist()]
-                    self.known.update(zip(words, (raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
-                    return
-        for word in words:
-            self.known[word] = self._ids(word).tobytes()
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        steps = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        before = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        known = normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and not before[1]["add_prefix_space"]
+        self.pattern = regex.compile(before[0]["pattern"]["Regex"]) if known else None
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        letters = run if run.isascii() else run.encode().decode("latin-1").translate(_byte_letters())
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        found = self.runs[run] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if self.pattern and not _NOT_LATIN.search(word):
+            runs = self.runs
+            parts = self.pattern.findall(unicodedata.normalize("NFC", word).lower())
+            return b"".join([runs.get(x) or self._run(x) for x in parts])
+        return self._ids(word)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, plain = self.known, [not _OTHER_SPACE.search(t) for t in texts]
-        if len(known) > CACHED_TOKENS:
-            known.clear()
-        split = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        if new := list({w for words in split for w in words if w not in known}):
-            self._learn(new)
-        return [b"".join([known[w] for w in words]) if ok else self._ids(t).tobytes() for t, words, ok in zip(texts, split, plain, strict=True)]
+        if len(self.words) > CACHED_TOKENS:
+            self.words.clear()
+        if len(self.runs) > CACHED_TOKENS:
+            self.runs.clear()
+        words, out = self.words, []
+        for text in texts:
+            if _OTHER_SPACE.search(text):
+                out.append(self._ids(text))
+                continue
+            parts = text.split()
+            for w in parts:
+                if w not in words:
+                    words[w] = self._word(w)
+            out.append(b"".join([words[w] for w in parts]))
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
