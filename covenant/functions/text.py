@@ -22,6 +22,12 @@ def occurrences(text: Column, phrase: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("bigint")
 
 
+def counted(text: Column, phrases: Sequence[str]) -> Column:
+    """Occurrences of all the phrases together; one small expression however many there are."""
+    step = lambda s, p: s + ((F.length(text) - F.length(F.replace(text, p, F.lit("")))) / F.length(p)).cast("bigint")
+    return F.aggregate(F.array(*map(F.lit, phrases)), F.lit(0).cast("bigint"), step)
+
+
 def first_of(choices: Sequence[tuple[Column, str]], default: str) -> Column:
     """The name of the first condition that holds."""
     out = F.lit(default)

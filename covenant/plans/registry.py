@@ -1,9 +1,620 @@
 """Every registered query of the library's own operators, with its SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import text as t
+from ..functions import vocab
+from ..operators import analyze, chunking, enrich, ranking, vectors
+from ..sources import corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL for DuckDB if there is one."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- SQL pieces for DuckDB -------------------------------------------------------------------------------------------
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _any(column: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {_q(w)})" for w in words) + ")"
+
+
+def _match(column: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, {_q('(?i)' + p)})" for p in patterns) + ")"
+
+
+def _times(column: str, phrase: str) -> str:
+    return f"((length({column}) - length(replace({column}, {_q(phrase)}, ''))) // {len(phrase)})"
+
+
+def _best(scores: list[tuple[str, str]], default: str) -> str:
+    pairs = ", ".join(f"{{'s': ({s})::double, 'k': {-k}, 'n': {_q(n)}}}" for k, (n, s) in enumerate(scores))
+    return f"(SELECT CASE WHEN m.s > 0 THEN m.n ELSE {_q(default)} END FROM (SELECT list_max([{pairs}]) AS m))"
+
+
+def _first(choices: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {_q(n)}" for c, n in choices) + f" ELSE {_q(default)} END"
+
+
+def _found(column: str, pattern: str, group: int = 1) -> str:
+    return f"nullif(trim(regexp_extract({column}, {_q('(?i)' + pattern)}, {group})), '')"
+
+
+_CON = f"WITH con AS ({corpus.CONTRACTS_DUCKDB}) "
+_ASK = "WITH q(qid, question) AS (VALUES " + ", ".join(f"({k}, {_q(x)})" for k, x in enumerate(vocab.QUESTIONS)) + ") "
+_DOT = "list_inner_product(a.embedding::double[], b.embedding::double[])"
+
+# --- Vectors ---------------------------------------------------------------------------------------------------------
+
+
+def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = corpus.table(spark, sf_dir, "embeddings")
+    return rows.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), rows
+
+
+def _topk_sql(k: int, where: str = "true") -> str:
+    return f"""SELECT qid, vec_id, score, rank FROM (
+      SELECT a.vec_id AS qid, b.vec_id, round({_DOT}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 6) DESC, b.vec_id) AS rank
+      FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND {where}) WHERE rank <= {k}"""
+
+
+@query(_topk_sql(5))
+def vec_topk(spark, sf_dir):
+    asked, rows = _searches(spark, sf_dir)
+    return vectors.top_k(asked, rows, 5)
+
+
+@query(_topk_sql(8, "b.label = 1"))
+def vec_topk_filtered(spark, sf_dir):
+    asked, rows = _searches(spark, sf_dir)
+    return vectors.top_k(asked, rows, 8, F.col("label") == 1)
+
+
+@query("""SELECT vec_id, round(greatest(0.0, least(d, 1.0)), 6) AS ip_score, round(1 / (1 + greatest(1 - d, 0.0)), 6) AS distance_score, round(n, 6) AS norm
+  FROM (SELECT b.vec_id, list_inner_product(a.embedding::double[], b.embedding::double[]) AS d, sqrt(list_inner_product(b.embedding::double[], b.embedding::double[])) AS n
+        FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 0) a)""")
+def vec_scores(spark, sf_dir):
+    asked, rows = _searches(spark, sf_dir)
+    d = rows.join(F.broadcast(asked.where("qid = 0"))).withColumn("d", vectors.dot(F.col("qvec"), F.col("embedding")))
+    return d.select("vec_id", F.round(vectors.clamped(F.col("d")), 6).alias("ip_score"), F.round(vectors.from_distance(1 - F.col("d")), 6).alias("distance_score"), F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
+@query(f"""SELECT h.qid, h.vec_id, h.rank, e.label, round(list_extract(e.embedding, 1)::double, 6) AS first_value
+  FROM ({_topk_sql(5)}) h JOIN embeddings e USING (vec_id)""")
+def vec_lookup_join(spark, sf_dir):
+    asked, rows = _searches(spark, sf_dir)
+    back = rows.select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
+    return vectors.top_k(asked, rows, 5).join(back, "vec_id").select("qid", "vec_id", "rank", "label", "first_value")
+
+
+def _mmr(spark, sf_dir, k, pool, weight, legacy):
+    asked, rows = _searches(spark, sf_dir)
+    hits = vectors.top_k(asked, rows, pool).join(rows.select("vec_id", "embedding"), "vec_id").join(F.broadcast(asked), "qid")
+    return vectors.mmr(hits, k, weight, legacy)
+
+
+@query()
+def vec_mmr(spark, sf_dir):
+    return _mmr(spark, sf_dir, 8, 50, 0.7, False)
+
+
+@query()
+def vec_mmr_legacy(spark, sf_dir):
+    return _mmr(spark, sf_dir, 8, 10, 0.6, True)
+
+
+# --- Ranked hits (made from the embeddings) --------------------------------------------------------------------------
+
+_HITS_SQL = f"""WITH top AS ({_topk_sql(40)}), hits AS (
+  SELECT t.qid, 'doc' || (t.vec_id % 40) || '_' || t.vec_id || CASE t.vec_id % 3 WHEN 1 THEN '_entities' WHEN 2 THEN '_clause' ELSE '_w1' END AS id,
+    'doc' || (t.vec_id % 40) AS doc_id, t.score, t.rank AS seq, 'Section ' || e.label AS header,
+    CASE e.label % 4 WHEN 0 THEN 'rent' WHEN 1 THEN 'term' WHEN 2 THEN 'security' ELSE 'general' END AS clause_type,
+    t.vec_id % 9 + 1 AS page_start, t.vec_id AS chunk_index
+  FROM top t JOIN embeddings e USING (vec_id)) """
+
+
+def _hits(spark, sf_dir):
+    asked, rows = _searches(spark, sf_dir)
+    v = F.col("vec_id")
+    mark = F.when(v % 3 == 1, F.lit("_entities")).when(v % 3 == 2, F.lit("_clause")).otherwise(F.lit("_w1"))
+    clause = F.element_at(F.array(*map(F.lit, ("rent", "term", "security", "general"))), F.col("label") % 4 + 1)
+    return vectors.top_k(asked, rows, 40).join(rows.select("vec_id", "label"), "vec_id").select(
+        "qid", F.concat(F.lit("doc"), v % 40, F.lit("_"), v, mark).alias("id"), F.concat(F.lit("doc"), v % 40).alias("doc_id"), "score", F.col("rank").alias("seq"),
+        F.concat(F.lit("Section "), "label").alias("header"), clause.alias("clause_type"), (v % 9 + 1).alias("page_start"), v.alias("chunk_index"),
+    )
+
+
+_BASE = r"regexp_replace(replace(replace(id, '_entities', ''), '_clause', ''), '_w\d+$', '')"
+
+
+@query(_HITS_SQL + f""", b AS (SELECT *, {_BASE} AS base_id FROM hits UNION ALL SELECT qid, id || '_w2', doc_id, score - 0.1, seq + 100, header, clause_type, page_start, chunk_index, regexp_replace({_BASE}, '_w\\d+$', '') FROM hits)
+  SELECT qid, base_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, base_id ORDER BY score DESC, seq) AS nr FROM b) WHERE nr = 1""")
+def dedupe_base_id(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    # a second, worse variant of each hit
+    plain = F.regexp_replace(F.replace(F.replace("id", F.lit("_entities"), F.lit("")), F.lit("_clause"), F.lit("")), r"_w\d+$", "")
+    worse = hits.withColumn("id", F.concat(plain, F.lit("_w2"))).withColumn("score", F.col("score") - 0.1).withColumn("seq", F.col("seq") + 100)
+    return ranking.first_per_base(hits.unionByName(worse)).select("qid", "base_id", F.round("score", 6).alias("score"))
+
+
+@query(_HITS_SQL + """, g AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, doc_id, header, clause_type ORDER BY seq) AS g FROM hits),
+  k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seq) AS nr FROM g WHERE n <= 16 OR g <= 2)
+  SELECT qid, id, seq AS rank FROM k WHERE nr <= 16""")
+def diversity_cap(spark, sf_dir):
+    return ranking.diverse(_hits(spark, sf_dir).withColumnRenamed("seq", "rank"), 16, ["doc_id", "header", "clause_type"]).select("qid", "id", "rank")
+
+
+@query(_HITS_SQL + """SELECT qid, id, seq FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seq) AS nr FROM hits WHERE seq > 10) WHERE nr <= 6""")
+def topup_anti(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    new = hits.join(hits.where("seq <= 10").select("qid", "id"), ["qid", "id"], "left_anti")
+    return new.withColumn("nr", F.row_number().over(Window.partitionBy("qid").orderBy("seq"))).where("nr <= 6").select("qid", "id", "seq")
+
+
+@query()
+def context_budget_docs(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    first = F.min("seq").over(Window.partitionBy("qid", "doc_id"))
+    piece = F.concat(ranking.stamp(F.col("doc_id"), F.col("clause_type"), F.col("header"), F.col("page_start"), F.col("page_start"), F.lit("main")), F.lit("\n"), F.repeat("id", 20), F.lit("\n"))
+    return ranking.pack_by_document(hits.withColumn("doc_rank", first).withColumn("piece", piece), 3000)
+
+
+@query(_HITS_SQL + """, c AS (SELECT *, sum(20 * length(id) + 50) OVER (PARTITION BY qid ORDER BY seq) AS used FROM hits)
+  SELECT qid, id, used::bigint AS used FROM c WHERE used <= 3000""")
+def context_budget_flat(spark, sf_dir):
+    return ranking.within_budget(_hits(spark, sf_dir), 20 * F.length("id") + 50, 3000, ["qid"], ["seq"]).select("qid", "id", "used")
+
+
+@query(_HITS_SQL + """SELECT qid, id, '[' || concat_ws(' :: ', doc_id, '(' || clause_type || ')', header, 'p.' || page_start || CASE WHEN page_start % 2 = 0 THEN '-' || (page_start + 1) ELSE '' END, '[main]') || ']' AS citation,
+  round(score, 4) AS score, CASE WHEN length(repeat(id, 12)) > 150 THEN substr(repeat(id, 12), 1, 150) || '...' ELSE repeat(id, 12) END AS text_preview FROM hits""")
+def sources_preview(spark, sf_dir):
+    last = F.col("page_start") + F.when(F.col("page_start") % 2 == 0, 1).otherwise(0)
+    cite = ranking.stamp(F.col("doc_id"), F.col("clause_type"), F.col("header"), F.col("page_start"), last, F.lit("main"))
+    return _hits(spark, sf_dir).select("qid", "id", cite.alias("citation"), F.round("score", 4).alias("score"), t.preview(F.repeat("id", 12)).alias("text_preview"))
+
+
+# --- Contracts: types, parties, metadata, entities -------------------------------------------------------------------
+
+_FILE = "'contract_' || doc_id || '.pdf'"
+_DOC_TYPE = _best(
+    [(k, f"({' + '.join(_times('lower(text)', p) + ' + 2 * ' + _times(_FILE, p) for p in ps)}) * {w}") for k, w, ps in vocab.DOC_TYPES], "lease"
+)
+
+
+def _clause_sql(doc: str) -> str:
+    best = {k: _best([(n, " + ".join(_times("lower(text)", p) for p in ps)) for n, ps in names.items()], "general") for k, names in vocab.CLAUSES.items()}
+    return "CASE " + " ".join(f"WHEN {doc} = {_q(k)} THEN {b}" for k, b in best.items() if k != "lease") + f" ELSE {best['lease']} END"
+
+
+_TYPED_SQL = _CON + f", typed AS (SELECT doc_id, kind, text, {_DOC_TYPE} AS doc_type FROM con), clause AS (SELECT *, {_clause_sql('doc_type')} AS clause_type FROM typed) "
+
+
+def _typed(spark, sf_dir):
+    docs = corpus.contracts(spark, sf_dir)
+    typed = docs.withColumn("doc_type", enrich.doc_type(F.col("text"), F.concat(F.lit("contract_"), "doc_id", F.lit(".pdf"))))
+    return typed.withColumn("clause_type", enrich.clause_type(F.col("text"), F.col("doc_type")))
+
+
+@query(_TYPED_SQL + "SELECT doc_id, doc_type FROM typed")
+def doc_type(spark, sf_dir):
+    return _typed(spark, sf_dir).select("doc_id", "doc_type")
+
+
+@query(_TYPED_SQL + "SELECT doc_id, clause_type FROM clause")
+def clause_type(spark, sf_dir):
+    return _typed(spark, sf_dir).select("doc_id", "clause_type")
+
+
+_ROLES = sorted({role for roles in vocab.PARTY_ROLES.values() for role in roles})
+
+
+@query(_CON + "SELECT doc_id, " + ", ".join(f"{_found('text', f'(?:{words})[^\\n]*?{vocab.PARTY_NAME}')} AS {name}_{k}" for k, (name, words) in enumerate(_ROLES)) + " FROM con")
+def parties(spark, sf_dir):
+    docs = corpus.contracts(spark, sf_dir)
+    return docs.select("doc_id", *[enrich.party(F.col("text"), words).alias(f"{name}_{k}") for k, (name, words) in enumerate(_ROLES)])
+
+
+def _date_sql(name: str) -> str:
+    raw = _found("text", f"(?:{dict(vocab.DATE_FIELDS)[name]}){vocab.DATE_TAIL}")
+    return f"strftime(try_strptime({raw}, '%B %-d, %Y'), '%Y-%m-%d') AS {name}"
+
+
+_TERM = r"(?:term|period)\s+of\s+(\d+)\s+(years?|months?)"
+
+
+@query(_CON + "SELECT doc_id, " + ", ".join([_date_sql(n) for n, _ in vocab.DATE_FIELDS] + [f"{_found('text', p)} AS {n}" for n, _, p in vocab.FIELDS])
+       + f", nullif(concat_ws(' ', {_found('text', _TERM)}, {_found('text', _TERM, 2)}), '') AS term_duration FROM con")
+def doc_metadata(spark, sf_dir):
+    text = F.col("text")
+    fields = [enrich.dated(text, n).alias(n) for n, _ in vocab.DATE_FIELDS] + [enrich.field(text, n).alias(n) for n, _, _ in vocab.FIELDS]
+    return corpus.contracts(spark, sf_dir).select("doc_id", *fields, enrich.term(text).alias("term_duration"))
+
+
+def _entity_sql(kind: str) -> str:
+    flags = "" if kind in vocab.CASED_KINDS else "(?i)"
+    lists = ", ".join(f"regexp_extract_all(text, {_q(flags + p)}, 1)" for p in vocab.ENTITY_PATTERNS[kind])
+    values = f"list_transform(flatten([{lists}]), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
+    if kind == "companies":
+        values = f"list_filter({values}, lambda x: length(x) > 5 AND NOT regexp_matches(lower(x), '^(?:the|a|an) '))"
+    if kind == "addresses":
+        values = f"list_filter({values}, lambda x: length(x) > 10)"
+    if kind == "people":
+        values = f"list_filter({values}, lambda x: regexp_matches(x, '\\S\\s+\\S'))"
+    return f"array_to_string(list_sort(list_distinct({values})), '; ')"
+
+
+def _entity_query(kind: str) -> None:
+    def run(spark, sf_dir):
+        return corpus.contracts(spark, sf_dir).select("doc_id", F.array_join(enrich.entities(F.col("text"), kind), "; ").alias("found"))
+
+    run.__name__ = f"entities_{kind}"
+    query(_CON + f"SELECT doc_id, {_entity_sql(kind)} AS found FROM con")(run)
+
+
+for _kind in vocab.ENTITY_PATTERNS:
+    _entity_query(_kind)
+
+
+@query(_TYPED_SQL + """SELECT CASE WHEN doc_id % 7 = 0 THEN 'entities' WHEN coalesce(clause_type, '') <> '' AND clause_type <> 'general' THEN 'clauses' ELSE 'main' END AS collection,
+  doc_type, count(*) AS rows FROM clause GROUP BY 1, 2""")
+def ingest_route(spark, sf_dir):
+    rows = _typed(spark, sf_dir).withColumn("search_type", F.when(F.col("doc_id") % 7 == 0, F.lit("entities")))
+    return rows.withColumn("collection", enrich.target_collection(F.col("search_type"), F.col("clause_type"))).groupBy("collection", "doc_type").agg(F.count("*").alias("rows"))
+
+
+@query(_TYPED_SQL + f""", e AS (SELECT 'c' || doc_id AS id, text, clause_type, {_entity_sql('amounts')} AS entity_text FROM clause)
+  SELECT 'main' AS collection, id, text FROM e UNION ALL SELECT 'entities', id || '_entities', entity_text FROM e WHERE entity_text <> ''
+  UNION ALL SELECT 'clauses', id || '_clause', 'CLAUSE TYPE: ' || upper(clause_type) || chr(10) || text FROM e WHERE clause_type <> 'general'""")
+def ingest_fanout(spark, sf_dir):
+    rows = _typed(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("id"), "text", "clause_type", F.array_join(enrich.entities(F.col("text"), "amounts"), "; ").alias("entity_text"))
+    return enrich.fan_out(rows)
+
+
+@query("""SELECT id, total, seq FROM (SELECT 'c' || o_custkey AS id, o_totalprice AS total, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nr FROM orders) WHERE nr = 1""")
+def upsert_latest(spark, sf_dir):
+    orders = corpus.table(spark, sf_dir, "orders")
+    return vectors.latest(orders.select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.col("o_totalprice").alias("total"), F.col("o_orderkey").alias("seq")))
+
+
+@query(_TYPED_SQL + """SELECT doc_type, count(*) AS docs, sum(length(text))::bigint AS chars FROM typed GROUP BY 1""")
+def collection_stats(spark, sf_dir):
+    return _typed(spark, sf_dir).groupBy("doc_type").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(_CON + f""", f AS (SELECT unnest(regexp_extract_all(text, {_q(vocab.MONEY)}, 0)) AS value, 'money' AS what FROM con
+  UNION ALL SELECT unnest(regexp_extract_all(text, {_q(vocab.PLAIN_DATE)}, 0)), 'date' FROM con) SELECT what, trim(value) AS value, count(*) AS n FROM f GROUP BY 1, 2""")
+def money_dates(spark, sf_dir):
+    docs = corpus.contracts(spark, sf_dir)
+    rows = [docs.select(F.lit(w).alias("what"), F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("value")) for w, p in (("money", vocab.MONEY), ("date", vocab.PLAIN_DATE))]
+    return rows[0].unionByName(rows[1]).groupBy("what", F.trim("value").alias("value")).agg(F.count("*").alias("n"))
+
+
+_LESSOR, _LESSEE = (_found("text", f"(?:{w})[^\\n]*?{vocab.PARTY_NAME}") for _, w in vocab.PARTY_ROLES["lease"])
+
+
+@query(_CON + f""", p AS (SELECT doc_id, {_LESSOR} AS lessor, {_LESSEE} AS lessee FROM con WHERE kind = 0),
+  names AS (SELECT DISTINCT lessee AS name FROM p WHERE lessee IS NOT NULL),
+  hits AS (SELECT n.name, p.doc_id, CASE WHEN contains(lower(p.lessee), lower(n.name)) THEN 'Lessee' ELSE 'Lessor' END AS role
+    FROM names n JOIN p ON lower(p.lessee) = lower(n.name))
+  SELECT name, arg_max(role, doc_id) AS role, count(*) AS docs FROM hits GROUP BY name""")
+def company_roles(spark, sf_dir):
+    docs = corpus.contracts(spark, sf_dir).where("kind = 0")
+    roles = dict(vocab.PARTY_ROLES["lease"])
+    p = docs.select("doc_id", enrich.party(F.col("text"), roles["lessor"]).alias("lessor"), enrich.party(F.col("text"), roles["lessee"]).alias("lessee"))
+    names = p.where("lessee is not null").select(F.col("lessee").alias("name")).distinct()
+    hits = names.join(p, F.lower("lessee") == F.lower("name"))
+    role = F.when(F.lower("lessee").contains(F.lower("name")), F.lit("Lessee")).otherwise(F.lit("Lessor"))
+    return hits.groupBy("name").agg(F.max_by(role, "doc_id").alias("role"), F.count("*").alias("docs"))
+
+
+@query(_CON + f""", e AS (SELECT kind, unnest(regexp_extract_all(text, {_q('(?i)' + vocab.ENTITY_PATTERNS['areas'][0])}, 1)) AS area FROM con)
+  SELECT kind, count(*) AS n_areas, count(DISTINCT trim(area)) AS distinct_areas, min(trim(area)) AS first_area FROM e GROUP BY kind""")
+def entity_rollup(spark, sf_dir):
+    rows = corpus.contracts(spark, sf_dir).select("kind", F.explode(F.regexp_extract_all("text", F.lit("(?i)" + vocab.ENTITY_PATTERNS["areas"][0]), F.lit(1))).alias("area"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n_areas"), F.count_distinct(F.trim("area")).alias("distinct_areas"), F.min(F.trim("area")).alias("first_area"))
+
+
+# --- Boosts and rerankers: questions over contracts ------------------------------------------------------------------
+
+_BOOSTED = _TYPED_SQL.replace("WITH con", _ASK.strip() + ", con", 1) + """, few AS (SELECT *, 'Section ' || kind AS header, (doc_id % 100) / 150.0::double AS score FROM clause WHERE doc_id % 500 < 5),
+  j AS (SELECT q.qid, question, lower(question) AS low, few.* FROM q, few) """
+
+
+def _asked(spark, sf_dir):
+    few = _typed(spark, sf_dir).where("doc_id % 500 < 5").withColumn("header", F.concat(F.lit("Section "), "kind")).withColumn("score", (F.col("doc_id") % 100) / F.lit(150.0))
+    return few.join(F.broadcast(corpus.questions(spark)))
+
+
+def _tok(column: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({column}), '[a-z0-9]+'), lambda x: length(x) > 2))"
+
+
+@query(_BOOSTED + f"""SELECT qid, doc_id, round(least(1.0::double, score + least(0.12::double, 0.02::double * len(list_intersect({_tok('question')}, list_concat({_tok('text')}, {_tok('header')}))))
+  + CASE WHEN {_any('low', vocab.FINANCIAL_WORDS)} AND clause_type IN ('rent', 'financial', 'security') THEN 0.06::double ELSE 0 END
+  + CASE WHEN {_any('low', vocab.TEMPORAL_WORDS)} AND (clause_type = 'term' OR kind = 4) THEN 0.06::double ELSE 0 END
+  + CASE WHEN {_any('low', vocab.ENTITY_WORDS)} AND kind = 0 THEN 0.07::double ELSE 0 END + CASE WHEN doc_id % 3 = 1 THEN 0.03::double ELSE 0 END), 6) AS score FROM j""")
+def hybrid_boost_rank(spark, sf_dir):
+    c = F.col
+    boost = ranking.hybrid_boost(c("question"), c("text"), c("header"), c("clause_type"), c("kind") == 4, c("kind") == 0, c("doc_id") % 3)
+    return _asked(spark, sf_dir).select("qid", "doc_id", ranking.capped(c("score"), boost).alias("score"))
+
+
+_KW = " ".join(f"+ CASE WHEN contains(low, '{w}') AND clause_type = '{w}' THEN 0.3::double ELSE 0 END + CASE WHEN contains(low, '{w}') AND contains(lower(text), '{w}') THEN 0.1::double ELSE 0 END" for w in ("rent", "term", "maintenance", "security", "termination"))
+
+
+@query(_BOOSTED + f"""SELECT qid, doc_id, round(least(1.0::double, score
+  + CASE WHEN {_any('low', ['company', 'companies', 'parties', 'who', 'lessor', 'lessee'])} AND kind = 0 THEN 0.3::double ELSE 0 END
+  + CASE WHEN {_any('low', ['company', 'companies', 'parties', 'who', 'lessor', 'lessee'])} AND doc_id % 7 = 0 THEN 0.2::double ELSE 0 END
+  + CASE WHEN {_any('low', ['how many', 'count', 'number', 'list'])} AND {_any('lower(text)', ['entities', 'parties'])} THEN 0.25::double ELSE 0 END
+  + CASE WHEN {_any('low', ['how many', 'count', 'number', 'list'])} AND kind = 1 THEN 0.2::double ELSE 0 END {_KW}), 6) AS score FROM j""")
+def intent_rerank(spark, sf_dir):
+    c = F.col
+    boost = ranking.intent_boost(c("question"), c("text"), c("clause_type"), c("kind") == 0, c("kind") == 1, F.when(c("doc_id") % 7 == 0, F.lit("entities")))
+    return _asked(spark, sf_dir).select("qid", "doc_id", ranking.capped(c("score"), boost).alias("score"))
+
+
+@query(_BOOSTED + f"""SELECT qid, round(least(1.0::double, least(count(*) / 10.0::double, 0.3::double) + 0.4::double * least(1.0::double, greatest(0.0::double, avg(score)))
+  + CASE WHEN max(contains(low, 'compan')::int) = 1 AND max((kind = 0)::int) = 1 THEN 0.2::double ELSE 0 END
+  + CASE WHEN max(contains(low, 'amount')::int) = 1 AND max((kind = 2)::int) = 1 THEN 0.2::double ELSE 0 END), 6) AS confidence FROM j WHERE doc_id % 1000 < 3 GROUP BY qid""")
+def confidence(spark, sf_dir):
+    rows = _asked(spark, sf_dir).where("doc_id % 1000 < 3").withColumn("low", F.lower("question"))
+    value = ranking.confidence(F.count("*"), F.avg("score"), F.max(F.col("low").contains("compan")), F.max(F.col("kind") == 0), F.max(F.col("low").contains("amount")), F.max(F.col("kind") == 2))
+    return rows.groupBy("qid").agg(value.alias("confidence"))
+
+
+# --- Questions -------------------------------------------------------------------------------------------------------
+
+_KEYS = f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(question, '\\w+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN ({', '.join(map(_q, vocab.STOP_WORDS))}))))"
+_ASKED_KINDS = "list_filter([" + ", ".join(f"CASE WHEN {_match('question', p)} THEN {_q(n)} END" for n, p in vocab.ENTITY_KINDS) + "], lambda x: x IS NOT NULL)"
+_INTENT = _best([(n, " + ".join(f"len(regexp_extract_all(question, {_q('(?i)' + p)}))" for p in ps)) for n, ps in vocab.INTENT_PATTERNS], "general")
+
+
+@query(_ASK + f"""SELECT qid, {_INTENT} AS intent, {_first([(_any('lower(question)', w), n) for n, w in vocab.HEURISTIC_INTENTS], 'comprehensive_summary')} AS heuristic,
+  {_first([(_any('lower(question)', w), n) for n, w in vocab.ANSWER_INTENTS], 'summary')} AS answer FROM q""")
+def query_intent(spark, sf_dir):
+    q = F.col("question")
+    return corpus.questions(spark).select("qid", analyze.intent(q).alias("intent"), analyze.listed_intent(q, vocab.HEURISTIC_INTENTS, "comprehensive_summary").alias("heuristic"), analyze.listed_intent(q, vocab.ANSWER_INTENTS, "summary").alias("answer"))
+
+
+@query(_ASK + f"""SELECT qid, {_first([(_match('question', p), n) for n, p in vocab.QUESTION_TYPES], 'general')} AS question_type, {_match('question', vocab.AGGREGATION)} AS aggregates,
+  CASE {_INTENT} {' '.join(f"WHEN {_q(k)} THEN {_q(','.join(v))}" for k, v in vocab.COLLECTIONS.items())} END AS collections FROM q""")
+def query_type(spark, sf_dir):
+    q = F.col("question")
+    return corpus.questions(spark).select("qid", analyze.question_type(q).alias("question_type"), t.any_match(q, vocab.AGGREGATION).alias("aggregates"), analyze.collections(analyze.intent(q)).alias("collections"))
+
+
+@query(_ASK + f"SELECT qid, array_to_string({_KEYS}, ',') AS keywords, array_to_string({_ASKED_KINDS}, ',') AS kinds FROM q")
+def query_keywords(spark, sf_dir):
+    q = F.col("question")
+    return corpus.questions(spark).select("qid", F.array_join(analyze.keywords(q), ",").alias("keywords"), F.array_join(analyze.kinds_asked(q), ",").alias("kinds"))
+
+
+@query(_ASK + f"""SELECT qid, round(least(1.0::double, least(len(regexp_extract_all(question, '\\S+')) / 20.0::double, 0.3::double) + 0.1::double * len({_ASKED_KINDS})
+  + 0.1::double * len(list_intersect({_KEYS}, [{', '.join(map(_q, vocab.SPECIFIC_WORDS))}])) + CASE WHEN regexp_matches(question, '(?i)\\b(?:\\d+|specific|exact|particular)\\b') THEN 0.2::double ELSE 0 END), 6) AS specificity FROM q""")
+def query_specificity(spark, sf_dir):
+    return corpus.questions(spark).select("qid", analyze.specificity(F.col("question")).alias("specificity"))
+
+
+def _ordered_sql(parts: list[str], most: int | None) -> str:
+    """Distinct non-null parts in first-seen order, numbered."""
+    rows = " UNION ALL ".join(f"SELECT qid, {k} AS k, {p} AS v FROM q" for k, p in enumerate(parts))
+    limit = f" WHERE n <= {most}" if most else ""
+    return _ASK + f"SELECT qid, n, v AS variant FROM (SELECT qid, v, row_number() OVER (PARTITION BY qid ORDER BY min(k)) AS n FROM ({rows}) WHERE v IS NOT NULL GROUP BY qid, v){limit}"
+
+
+def _swap(a: str, b: str, test: str = "true") -> str:
+    return f"CASE WHEN {test} AND contains(lower(question), {_q(a)}) THEN replace(lower(question), {_q(a)}, {_q(b)}) END"
+
+
+_MORE = "NOT contains(lower(question), 'how many') AND " + _any("lower(question)", ["companies", "company", "parties"])
+_EXPAND = (
+    ["question"] + [_swap(k, a) for k, alts in vocab.SYNONYMS.items() for a in alts]
+    + [f"{_q(p)} || question" for p in ("entities and parties: ", "contract details: ", "clause references: ")] + ["question || '?'"]
+    + [f"CASE WHEN {_MORE} THEN {_q(p)} || question END" for p in ("how many ", "list all ", "count of ")]
+)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", F.posexplode("v").alias("p", "variant")).select("qid", (F.col("p") + 1).cast("bigint").alias("n"), "variant")
+
+
+@query(_ordered_sql(_EXPAND, 10))
+def query_expand_hybrid(spark, sf_dir):
+    return _numbered(corpus.questions(spark).select("qid", analyze.expanded(F.col("question")).alias("v")))
+
+
+_ALIAS = ["question"]
+for _c, _alts in vocab.ALIASES.items():
+    _has = f"contains(lower(question), {_q(_c)})"
+    for _a in _alts:
+        _ALIAS += [_swap(_c, _a), f"CASE WHEN {_has} THEN lower(question) || ' ' || {_q(_a)} END"]
+    for _a in _alts:
+        _ALIAS += [_swap(_a, _c, f"NOT {_has}"), f"CASE WHEN NOT {_has} AND contains(lower(question), {_q(_a)}) THEN lower(question) || ' ' || {_q(_c)} END"]
+
+
+@query(_ordered_sql(_ALIAS, None))
+def alias_expand(spark, sf_dir):
+    return _numbered(corpus.questions(spark).select("qid", analyze.with_aliases(F.col("question")).alias("v")))
+
+
+# --- Chunking --------------------------------------------------------------------------------------------------------
+
+_LINES = _CON + ", pages AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page_no, unnest(string_split(text, chr(10))) AS text FROM con) "
+_STARTS = "SELECT doc_id, page_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM pages"
+
+
+def _pages(spark, sf_dir):
+    return corpus.contracts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("page_no"), "text")
+
+
+@query(_LINES + _STARTS)
+def page_offsets(spark, sf_dir):
+    return chunking.page_offsets(_pages(spark, sf_dir))
+
+
+@query(_LINES + f", s AS ({_STARTS}), o AS (SELECT doc_id, unnest([0, 57, 133, 260]) AS at FROM con) SELECT o.doc_id, o.at, greatest(1, count(s.page_no)) AS page FROM o LEFT JOIN s ON s.doc_id = o.doc_id AND s.start <= o.at GROUP BY 1, 2")
+def offset_to_page(spark, sf_dir):
+    starts = chunking.page_offsets(_pages(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    rows = starts.select("doc_id", "starts", F.explode(F.array(*map(F.lit, (0, 57, 133, 260)))).alias("at"))
+    return rows.select("doc_id", "at", chunking.page_of(F.col("at"), F.col("starts")).alias("page"))
+
+
+def _head_sql(values: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in values) + " END"
+
+
+_RULES = [
+    (f"regexp_matches(line, {_q(vocab.ARTICLE)})", "'article'", f"'ARTICLE ' || regexp_extract(line, {_q(vocab.ARTICLE)}, 1) || ' - ' || regexp_extract(line, {_q(vocab.ARTICLE)}, 2)"),
+    (f"regexp_matches(line, {_q(vocab.ROMAN)})", "'section'", f"regexp_extract(line, {_q(vocab.ROMAN)}, 1) || ' - ' || regexp_extract(line, {_q(vocab.ROMAN)}, 2)"),
+    (f"regexp_matches(line, {_q(vocab.SECTION)}) AND length(line) < 150", "'section'", f"'Section ' || regexp_extract(line, {_q(vocab.SECTION)}, 1) || ' - ' || regexp_extract(line, {_q(vocab.SECTION)}, 2)"),
+    (f"regexp_matches(line, {_q(vocab.SUBSECTION)}) AND length(line) < 100", "'subsection'", "line"),
+    (f"regexp_matches(line, {_q(vocab.ALL_CAPS)}) AND NOT regexp_matches(line, '\\d')", "'section'", "line"),
+    (f"regexp_matches(line, {_q(vocab.TITLE)})", "'section'", "regexp_replace(line, '[:.]+$', '')"),
+]
+
+
+@query(_LINES + f""", l AS (SELECT doc_id, page_no, text AS raw, trim(text) AS line FROM pages),
+  h AS (SELECT *, {_head_sql([(r[0], r[1]) for r in _RULES])} AS kind, {_head_sql([(r[0], r[2]) for r in _RULES])} AS header FROM l),
+  s AS (SELECT *, sum(CASE WHEN kind IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no)::bigint AS section_no FROM h),
+  g AS (SELECT doc_id, section_no, coalesce(max(kind), 'preamble') AS type, coalesce(max(header), 'DOCUMENT_START') AS header, string_agg(raw, chr(10) ORDER BY page_no) AS text FROM s GROUP BY 1, 2)
+  SELECT *, len(regexp_extract_all(text, '\\S+'))::bigint AS word_count FROM g WHERE len(regexp_extract_all(text, '\\S+')) >= 4""")
+def sections(spark, sf_dir):
+    return chunking.sections(corpus.contracts(spark, sf_dir).select("doc_id", "text"))
+
+
+@query(_CON + """, w AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 100)) AS s FROM con)
+  SELECT doc_id, round(sum(length(replace(substr(text, s + 1, 90), chr(12), ''))) / max(length(replace(text, chr(12), '')))::double, 6) AS coverage,
+    sum(length(replace(substr(text, s + 1, 90), chr(12), ''))) / max(length(replace(text, chr(12), '')))::double < 0.95 AS loss FROM w GROUP BY doc_id""")
+def coverage(spark, sf_dir):
+    windows = chunking.fixed_windows(corpus.contracts(spark, sf_dir), 90, -10)
+    plain = lambda c: F.length(F.replace(c, F.lit("\f"), F.lit("")))
+    sizes = corpus.contracts(spark, sf_dir).select("doc_id", plain("text").alias("size"))
+    share = F.sum(plain("piece")) / F.max("size")
+    return windows.join(sizes, "doc_id").groupBy("doc_id").agg(F.round(share, 6).alias("coverage"), (share < 0.95).alias("loss"))
+
+
+_RANGES = "SELECT l_orderkey AS doc_id, l_partkey % 5000 AS start, l_partkey % 5000 + cast(l_quantity * 20 AS bigint) AS \"end\", 6000::bigint AS size FROM lineitem"
+
+
+@query(f"""WITH r AS ({_RANGES}), i AS (SELECT doc_id, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start, start AS gap_end FROM r
+  UNION ALL SELECT doc_id, max("end"), max(size) FROM r GROUP BY doc_id) SELECT * FROM i WHERE gap_end - gap_start > 20""")
+def content_gaps(spark, sf_dir):
+    start = F.col("l_partkey") % 5000
+    rows = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + (F.col("l_quantity") * 20).cast("bigint")).alias("end"), F.lit(6000).cast("bigint").alias("size"))
+    return chunking.gaps(rows)
+
+
+@query("""WITH c AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS pos, CASE WHEN l_returnflag = 'A' THEN 'critical' ELSE 'section' END AS type, cast(l_quantity AS bigint) AS n FROM lineitem),
+  p AS (SELECT *, lead(n) OVER w AS n2, lead(type) OVER w AS t2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  m AS (SELECT *, coalesce(n < 30 AND type = t2 AND type <> 'critical' AND n + n2 < 120, false) AS may FROM p),
+  r AS (SELECT *, pos - sum(may::int) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m),
+  o AS (SELECT *, may AND row_number() OVER (PARTITION BY doc_id, run, may ORDER BY pos) % 2 = 1 AS joins FROM r),
+  k AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY pos), false) AS taken FROM o)
+  SELECT doc_id, pos AS first, (pos + joins::int)::bigint AS last, n + CASE WHEN joins THEN n2 ELSE 0 END AS word_count FROM k WHERE NOT taken""")
+def merge_small(spark, sf_dir):
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")).cast("bigint")
+    kind = F.when(F.col("l_returnflag") == "A", F.lit("critical")).otherwise(F.lit("section"))
+    return chunking.merge_small(corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), pos.alias("pos"), kind.alias("type"), F.col("l_quantity").cast("bigint").alias("word_count")))
+
+
+@query("""SELECT doc_id, start, substr(text, start + 1, 1200) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS start FROM documents) WHERE trim(substr(text, start + 1, 1200)) <> ''""")
+def fixed_windows(spark, sf_dir):
+    return chunking.fixed_windows(corpus.table(spark, sf_dir, "documents"))
+
+
+@query()
+def snap_windows(spark, sf_dir):
+    return chunking.snapped_windows(corpus.table(spark, sf_dir, "documents"))
+
+
+# --- Chat, filings, documents ----------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
+def chat_recent(spark, sf_dir):
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return corpus.table(spark, sf_dir, "conversations").withColumn("n", nth).where("n <= 4").select("conv_id", "turn", "role")
+
+
+@query("""SELECT conv_id, turn, used FROM (SELECT conv_id, turn, (sum(greatest(1, length(text) // 4)) OVER (PARTITION BY conv_id ORDER BY turn))::bigint AS used FROM conversations) WHERE used <= 120""")
+def chat_budget(spark, sf_dir):
+    cost = F.greatest(F.lit(1), F.floor(F.length("text") / 4))
+    return ranking.within_budget(corpus.table(spark, sf_dir, "conversations"), cost, int(0.4 * 300), ["conv_id"], ["turn"]).select("conv_id", "turn", "used")
+
+
+@query("SELECT conv_id, count(*) AS turns, count(*) >= 6 AS summary_due FROM conversations GROUP BY conv_id")
+def chat_turns(spark, sf_dir):
+    n = F.count("*")
+    return corpus.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(n.alias("turns"), (n >= 6).alias("summary_due"))
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE trim(text) <> '') WHERE n <= 8 GROUP BY conv_id""")
+def chat_history(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "conversations").where(F.trim("text") != "").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 8")
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.trim("text")).alias("line"))))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS cik, o_orderkey AS accession, CASE o_orderkey % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '8-k' ELSE '10-Q' END AS form, o_orderdate::date AS filed FROM orders),
+  r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accession DESC) AS n FROM f WHERE upper(form) IN ('10-K', '8-K') AND filed BETWEEN DATE '1993-01-01' AND DATE '1997-12-31')
+  SELECT lpad(cik::varchar, 10, '0') AS cik10, accession, form, strftime(filed, '%Y-%m-%d') AS filed, n AS rank FROM r WHERE n <= 3""")
+def filings_plan(spark, sf_dir):
+    form = F.element_at(F.array(F.lit("10-K"), F.lit("8-k"), F.lit("10-Q")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = corpus.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("accession"), form.alias("form"), F.to_date("o_orderdate").alias("filed"))
+    rows = rows.where(F.upper("form").isin("10-K", "8-K") & F.col("filed").between("1993-01-01", "1997-12-31"))
+    nth = F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("filed"), F.desc("accession"))).cast("bigint")
+    cik = F.col("cik").cast("string")
+    padded = F.when(F.length(cik) < 10, F.lpad(cik, 10, "0")).otherwise(cik)
+    return rows.withColumn("rank", nth).where("rank <= 3").select(padded.alias("cik10"), "accession", "form", F.date_format("filed", "yyyy-MM-dd").alias("filed"), "rank")
+
+
+_NAMES = ["ex10-1.htm", "EX_10.pdf", "ex-101.xsd", "form10k.htm", "ex 10.txt", "exhibit10.html"]
+
+
+@query("SELECT p_partkey, name FROM (SELECT p_partkey, list_extract([" + ", ".join(map(_q, _NAMES)) + "], (p_partkey % 6 + 1)::int) AS name FROM part) WHERE regexp_matches(lower(name), '\\.(htm|html|txt|pdf)$') AND regexp_matches(lower(name), 'ex[-_ ]?10|ex10')")
+def exhibit10_filter(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = corpus.table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    return rows.where(F.lower("name").rlike(r"\.(htm|html|txt|pdf)$") & F.lower("name").rlike("ex[-_ ]?10|ex10"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events WHERE ts::date BETWEEN DATE '1900-01-01' AND DATE '2100-12-31' GROUP BY event_type")
+def date_range_filter(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events").where(F.to_date("ts").between("1900-01-01", "2100-12-31"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+
+@query("SELECT conv_id, turn, round(least(1.0::double, " + " * ".join(f"CASE WHEN contains(lower(text), {_q(h)}) THEN 0.8::double ELSE 1.0::double END" for h in vocab.HEDGES)
+       + " * CASE WHEN len(regexp_extract_all(text, '\\S+')) < 20 THEN 0.9::double ELSE 1.0::double END + 0.1::double * len(regexp_extract_all(text, '\\[[\\w\\s\\.-]+\\s+p\\.\\d+[-\\d]*\\]'))), 2) AS confidence FROM conversations")
+def answer_confidence(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", ranking.answer_confidence(F.col("text")).alias("confidence"))
