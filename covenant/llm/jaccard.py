@@ -30,20 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, shingles, sliced, small_or_shuffled, written
+from ._common import shingle_sets, sliced, small_or_shuffled, written
 
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 WIDTH = 5
 #: Sets above this size are large whatever the cost.
 MOST_SMALL = 64
-#: A shingle is taken for frequent if some task finds it in this share of its distinct sets.
-FREQUENT_SHARE = 0.002
+#: A shingle is taken for frequent if some task finds it in so many of its distinct sets.
+FREQUENT_LEAST = 4
+#: Shingles that a task holds before it lets go of those seen once.
+FREQUENT_HELD = 3_000_000
 #: Frequent shingles that are told apart by their counts; this bounds what is sent to tasks.
-FREQUENT_MOST = 50_000
+FREQUENT_MOST = 300_000
 #: Star rounds before the last, exact one, which starts earlier when little is left.
 ROUNDS = 6
 
@@ -55,43 +57,40 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
-    for text in batch["text"].to_pylist():
-        yield text.encode("utf-8", "replace").lower() if text else None
+def _sets(batch: pa.RecordBatch, column: str = "text") -> list[np.ndarray]:
+    return shingle_sets([text.encode("utf-8", "replace") if text else b"" for text in batch[column].to_pylist()], WIDTH)
 
 
-def frequent(docs: DataFrame, share: float = FREQUENT_SHARE, most: int = FREQUENT_MOST) -> np.ndarray:
+def frequent(docs: DataFrame, least: int = FREQUENT_LEAST, most: int = FREQUENT_MOST) -> np.ndarray:
     """Frequent shingles, rarest first. They only shape the order of shingles, never the result.
 
-    Tasks count shingles over their distinct sets and pass on those above the share,
-    so a shingle that frequent in the whole is found in at least one task.
+    Tasks count shingles over their distinct sets and pass on those seen often enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, size = WordHashes(), set(), [], 0
-        keys, counts, n = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        seen, held, size = set(), [], 0
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def merge() -> None:
             nonlocal keys, counts, held, size
             new, times = np.unique(np.concatenate(held), return_counts=True)
             both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             total = np.bincount(where, np.concatenate([counts, times]), len(both)).astype(np.int64)
-            often = total >= max(2, share * n / 4)
+            often = total > 1
             keys, counts, held, size = both[often], total[often], [], 0
 
         for batch in sliced(batches):
-            for text in _texts(batch):
-                found = shingles(text, hashes, WIDTH)
+            for found in _sets(batch):
                 if len(found) and (key := xxhash.xxh3_64_intdigest(found.tobytes())) not in seen:
                     if len(seen) < 200_000:
                         seen.add(key)
                     held.append(found)
-                    size, n = size + len(found), n + 1
-                    if size > 1_000_000:
+                    size += len(found)
+                    if size > FREQUENT_HELD:
                         merge()
         if held:
             merge()
-        often = counts >= max(4, share * n)
+        often = counts >= least
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
 
     counted = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -105,11 +104,9 @@ def sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
     sorted_often, ranks = often[by_hash], by_hash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in sliced(batches):
             sizes, firsts, seconds, prefixes = [], [], [], []
-            for text in _texts(batch):
-                found = shingles(text, hashes, WIDTH)
+            for found in _sets(batch):
                 n = len(found)
                 key = xxhash.xxh3_128_intdigest(found.tobytes())
                 sizes.append(n)
@@ -159,7 +156,11 @@ def boundary(sizes: dict[int, int], list_rows: float = 4.0, percent: int = PERCE
 
 
 def postings(classes: DataFrame, b: int, percent: int = PERCENT) -> DataFrame:
-    """key, rep, n, pos: rows of the inverted lists and of the subsets."""
+    """key, rep, size: rows of the inverted lists and of the subsets.
+
+    size holds the set's size and 1 + the shingle's position in the prefix (0 for
+    subsets) in one number: the largest shuffle moves these rows.
+    """
     n = F.col("n")
     p = n - F.ceil(n * percent / F.lit(100)) + 1
     # sets of up to three shingles only link with equal sets
@@ -170,35 +171,39 @@ def postings(classes: DataFrame, b: int, percent: int = PERCENT) -> DataFrame:
         F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y), F.lit(2))))
     )
     small = classes.where((n > 3) & (n <= b)).select("rep", "n", F.lit(-1).alias("pos"), F.explode(subsets).alias("key"))
-    return large.select("key", "rep", "n", "pos").unionByName(small.select("key", "rep", "n", "pos"))
+    rows = large.select("key", "rep", "n", "pos").unionByName(small.select("key", "rep", "n", "pos"))
+    return rows.select("key", "rep", (n * _POSITIONS + F.col("pos") + 1).alias("size"))
 
 
-def _possible(a: str, b: str, percent: int = PERCENT) -> Column:
-    """Sizes, and for single shingles what can still follow their positions, allow a link."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    by_size = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-    return by_size & ((F.col(f"{a}.pos") < 0) | ((100 + percent) * rest >= percent * (n + m)))
+_POSITIONS = 1 << 28
 
 
 def linked(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b of doc_ids) whose exact shingle sets reach the similarity."""
+    """Those of the pairs (a, b of doc_ids) whose exact shingle sets reach the similarity.
+
+    The two texts are brought to each pair: they are a third as large as their sets.
+    """
     ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b"))).distinct(), "ids")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(small_or_shuffled(ids, ids.count()), "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in sliced(batches):
-            found = [shingles(text, hashes, WIDTH).view(np.int64) for text in _texts(batch)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([batch["rep"], lists], names=["rep", "items"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(small_or_shuffled(ids, ids.count()), "rep", "left_semi")
-    whole = written(texts.mapInArrow(run, "rep bigint, items array<bigint>").dropDuplicates(["rep"]), "sets")
-    one = pairs.join(whole.select(F.col("rep").alias("b"), F.col("items").alias("right")), "b")
-    both = one.join(whole.select(F.col("rep").alias("a"), F.col("items").alias("left")), "a")
-    inter = F.size(F.array_intersect("left", "right")).cast("bigint")
-    return both.where(100 * inter >= percent * (F.size("left") + F.size("right") - inter)).select("a", "b")
+            keep, known = [], {}
+            for column in ("left", "right"):
+                for text in batch[column].to_pylist():
+                    known.setdefault(text, len(known))
+            sets = shingle_sets([t.encode("utf-8", "replace") for t in known], WIDTH)
+            for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
+                x, y = sets[known[left]], sets[known[right]]
+                # both are distinct: what stands twice in the two together is in both
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                inter = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b")
+    both = one.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -231,43 +236,57 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return connected(edges if labels is None else edges.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
 
 
+def _pairs(rows: DataFrame, x: str, y: str, percent: int = PERCENT) -> DataFrame:
+    """Distinct (a, b), a < b, of the ids in two structs of each row that may link; a row is a list that both stand in.
+
+    Sets of n and m that share t shingles share t - ceil(0.8 n) + 1 of their prefixes
+    (the larger set's number, which is the smaller one). Pairs with fewer lists in
+    common are left out; pairs that share a subset are small and stay.
+    """
+    p, q = F.col(f"{x}.size"), F.col(f"{y}.size")
+    n, m = F.floor(p / _POSITIONS), F.floor(q / _POSITIONS)
+    may = rows.where((F.col(f"{x}.rep") != F.col(f"{y}.rep")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
+    least = F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.ceil(F.greatest(n, m) * percent / F.lit(100)) + 1
+    subset = p % _POSITIONS == 0
+    counted = may.groupBy(F.least(f"{x}.rep", f"{y}.rep").alias("a"), F.greatest(f"{x}.rep", f"{y}.rep").alias("b")).agg(
+        F.count("*").alias("lists"), F.max(F.when(subset, F.lit(1)).otherwise(least)).alias("least"), F.max(subset).alias("subset")
+    )
+    return counted.where("subset or lists >= least").select("a", "b")
+
+
 def links(docs: DataFrame, classes: DataFrame, b: int) -> DataFrame | None:
     """id, label over class representatives that link with another class; None if there is none."""
-    lists = postings(classes, b)
-    several = lists.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "pos")).alias("hub")).where("rows > 1")
-    shared = written(lists.join(several, "key").select("key", "rep", "n", "pos", "hub"), "lists")
-    hub_pairs = lambda df: (
-        df.select(F.struct("n", "pos").alias("x"), "rep", F.col("hub").alias("y"))
-        .where((F.col("rep") != F.col("y.rep")) & _possible("x", "y"))
-        .select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b")).distinct()
-    )
-    tried = written(hub_pairs(shared), "pairs")
-    if not tried.limit(1).count():
-        return None
-    labels = _merged(None, written(linked(docs, tried), "links"))
+    several = F.count("*").over(Window.partitionBy("key"))
+    shared = written(postings(classes, b).withColumn("rows", several).where("rows > 1").drop("rows"), "lists")
+    labels = tried = None
     for turn in range(ROUNDS):
-        known = shared.drop("hub").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed_lists = known.groupBy("key").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", F.xxhash64("rep", F.lit(turn + 99))).alias("main")).where("low < high")
-        open_rows = written(known.join(mixed_lists.select("key", "rows", "main"), "key"), "open")
-        minor = open_rows.where("label <> main")
-        stats = minor.agg(F.sum("rows").alias("pairs"), F.count("*").alias("rows")).first()
+        known = shared.withColumn("label", F.col("rep"))
+        if labels is not None:
+            known = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        hub = F.min_by(F.struct("rep", "size", "label"), F.xxhash64("rep", F.lit(turn)))
+        hubs = known.groupBy("key").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub"))
+        rows = written(known.join(hubs.where("low < high").select("key", "rows", "hub"), "key"), "open")
+        others = rows.where(F.col("label") != F.col("hub.label"))
+        stats = others.agg(F.sum("rows").alias("pairs"), F.count("*").alias("rows")).first()
         if not stats.rows:
             return labels
-        if turn == ROUNDS - 1 or stats.pairs <= 8 * max(open_rows.count(), 100_000):
-            x, y = minor.alias("x"), open_rows.alias("y")
-            pairs = (
-                x.join(y, F.col("x.key") == F.col("y.key"))
-                .where((F.col("x.label") != F.col("y.label")) & _possible("x", "y"))
-                .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-            )
-            new = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            return _merged(labels, written(linked(docs, new), "links")) if new.limit(1).count() else labels
-        hubs = minor.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "pos", "label")).alias("hub"))
-        stars = open_rows.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
-        new = written(hub_pairs(stars).join(tried, ["a", "b"], "left_anti"), "pairs")
+        last = turn == ROUNDS - 1 or stats.pairs <= max(20 * stats.rows, 2_000_000)
+        if last:
+            # whatever two components a list holds, a row of one of them isn't of the hub's; each pair comes up once a list
+            x = others.select("key", F.struct("rep", "size", "label").alias("x"), F.col("hub.label").alias("main"))
+            y = rows.select("key", F.struct("rep", "size", "label").alias("y"))
+            once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("main")) | (F.col("x.rep") < F.col("y.rep")))
+            found = _pairs(x.join(y, "key").where(once), "x", "y")
+        else:
+            found = _pairs(others.select(F.struct("rep", "size").alias("x"), "hub"), "x", "hub")
+        new = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.limit(1).count():
-            labels = _merged(labels, written(linked(docs, new), "links"))
-            tried = tried.union(new)
+            edges = written(linked(docs, new), "links")
+            if edges.limit(1).count():
+                labels = _merged(labels, edges)
+        if last:
+            return labels
+        tried = new if tried is None else tried.union(new)
     return labels
 
 

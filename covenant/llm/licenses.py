@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, mixed, sliced, windows
+from ._common import FOLDED, mixed, sliced, windows, word_hashes
 
 WIDTH = 5
 BANDS, ROWS = 8, 1
@@ -49,21 +49,24 @@ _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MATCHES = "doc_id bigint, license string, first_word bigint, n_words bigint, start bigint, end bigint, containment double"
 
 
-def _normal(word: bytes) -> bytes:
-    # a word of punctuation alone stays as it is, so that positions stay those of the text
-    return word.lower().strip(_EDGES) or word
+# a word of punctuation alone stays as it is, so that positions stay those of the text
+_CUT = np.zeros(256, bool)
+_CUT[list(_EDGES)] = True
+
+
+def _windows(texts: list[bytes]) -> list[np.ndarray]:
+    return [windows(h[0], WIDTH) for h in word_hashes(texts, FOLDED, edges=_CUT)]
 
 
 class Catalogue:
     """Shingles and band keys of the templates, by length class."""
 
     def __init__(self, templates: dict[str, str], bands: int = BANDS, rows: int = ROWS):
-        hashes = WordHashes(_normal)
         rng = np.random.default_rng(20240607)
         self.rows, self.bands = rows, bands
         self.salts = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
         self.names = sorted(templates)
-        self.shingles = [windows(hashes.of(templates[k].encode().split()), WIDTH) for k in self.names]
+        self.shingles = _windows([templates[k].encode() for k in self.names])
         self.classes: dict[int, dict[str, np.ndarray]] = {}
         for k, own in enumerate(self.shingles):
             if len(own):
@@ -149,14 +152,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
         raise ValueError(f"at most {MOST_TEMPLATES} templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, catalogue = WordHashes(_normal), Catalogue(templates)
+        catalogue = Catalogue(templates)
         names = [x.split()[0] for x in MATCHES.split(", ")]
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         for batch in sliced(batches):
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                raw = text.encode("utf-8", "replace") if text else b""
-                found = windows(hashes.of(raw.split()), WIDTH)
+            texts = [t.encode("utf-8", "replace") if t else b"" for t in batch["text"].to_pylist()]
+            for doc_id, raw, found in zip(batch["doc_id"].to_pylist(), texts, _windows(texts), strict=True):
                 if not len(found) or not catalogue.classes:
                     continue
                 places = None

@@ -205,6 +205,7 @@ def scan(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> D
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
     """docs with base spans replaced by <KIND>, disclosing terms generalised or removed."""
+    names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -220,7 +221,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT)
                         at = max(at, end)
                     text = "".join([*parts, text[at:]])
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if k == "text" else batch[k] for k in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(out, pa.string()) if k == "text" else batch[k] for k in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _marks(docs, alpha, support).mapInArrow(run, docs.schema)
+    return _marks(docs, alpha, support).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, mixed, sliced, windows
+from ._common import EXACT, FOLDED, mixed, sliced, windows, word_hashes
 
 #: Hash buckets of the two multinomials; the weights sent to tasks have this many entries.
 BUCKETS = 1 << 14
@@ -30,6 +30,7 @@ THRESHOLD = -0.05
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
+NO_WORD_CHARS = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
 
 SCORED = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -43,18 +44,20 @@ def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (grams % np.uint64(buckets)).astype(np.int64)
 
 
+def _raw(batch: pa.RecordBatch) -> list[bytes]:
+    return [text.encode("utf-8", "replace") if text else b"" for text in batch["text"].to_pylist()]
+
+
 def _counts(buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(bytes.lower)
         total = np.zeros((2, buckets), np.int64)
         for batch in sliced(batches):
-            for text, trusted in zip(batch["text"].to_pylist(), batch["trusted"].to_pylist(), strict=True):
-                words = text.encode("utf-8", "replace").split() if text else []
-                if words:
-                    found = np.bincount(_buckets(hashes.of(words), buckets), minlength=buckets)
-                    total[0] += found
+            for found, trusted in zip(word_hashes(_raw(batch), FOLDED), batch["trusted"].to_pylist(), strict=True):
+                if found.size:
+                    n = np.bincount(_buckets(found[0], buckets), minlength=buckets)
+                    total[0] += n
                     if trusted:
-                        total[1] += found
+                        total[1] += n
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "raw", "target"]
@@ -85,27 +88,27 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted
     return (smooth[1] - smooth[0]).astype(np.float32)
 
 
-def _measure(text: str | None, hashes: WordHashes, ratio: np.ndarray) -> tuple:
-    raw = text.encode("utf-8", "replace") if text else b""
-    words = raw.split()
-    if not words:
-        return 0, 0, len(raw) - len(raw.translate(None, SYMBOLS)), 0, 0, 0.0
+def _measure(raw: bytes, hashes: np.ndarray, ratio: np.ndarray) -> tuple:
+    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
+    exact, folded = hashes
+    if not len(exact):
+        return 0, 0, symbols, 0, 0, 0.0
     lines = [line for line in raw.split(b"\n") if line and not line.isspace()]
-    exact, folded = hashes.rows(words)
     grams = windows(exact, 3)
     repeated = 0
     ordered = np.sort(grams)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
     if len(again):
         twice = np.isin(grams, again)
-        inside = np.zeros(len(words), bool)
+        inside = np.zeros(len(exact), bool)
         for k in range(3):
             inside[k : k + len(twice)] |= twice
         repeated = int(inside.sum())
     return (
-        len(words),
-        len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")),
-        len(raw) - len(raw.translate(None, SYMBOLS)),
+        len(exact),
+        # code points: every byte but white space and the later bytes of a character
+        len(raw.translate(None, NO_WORD_CHARS)),
+        symbols,
         len(lines) - len(set(lines)),
         repeated,
         float(ratio[_buckets(folded, len(ratio))].mean(dtype=np.float64)),
@@ -116,9 +119,9 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """Base counts and score of every document; ratio comes from weights()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(None, bytes.lower)
         for batch in sliced(batches):
-            rows = [_measure(text, hashes, ratio) for text in batch["text"].to_pylist()]
+            raw = _raw(batch)
+            rows = [_measure(x, h, ratio) for x, h in zip(raw, word_hashes(raw, EXACT, FOLDED), strict=True)]
             columns = [pa.array(x, pa.float64() if k == 5 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=[x.split()[0] for x in SCORED.split(", ")])
 
@@ -138,16 +141,13 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
 def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps. The texts aren't shuffled."""
     ratio = weights(docs, trusted)
-    names = docs.columns
-    at = names.index("text")
     table = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(None, bytes.lower)
         for batch in sliced(batches):
-            kept = []
-            for text in batch.column(at).to_pylist():
-                n_words, _, _, _, repeated, value = _measure(text, hashes, ratio)
+            kept, raw = [], _raw(batch)
+            for x, h in zip(raw, word_hashes(raw, EXACT, FOLDED), strict=True):
+                n_words, _, _, _, repeated, value = _measure(x, h, ratio)
                 kept.append(n_words >= MIN_WORDS and 100 * repeated <= MAX_REPEATED_PERCENT * n_words and value >= threshold)
             yield batch.filter(pa.array(kept, pa.bool_()))
 

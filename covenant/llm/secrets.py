@@ -113,15 +113,16 @@ def train(labelled: DataFrame) -> list[float]:
 
 
 def ratio(value: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio a transition of a token."""
+    """Mean log-likelihood ratio a transition of a token; one walk over its characters, however long it is."""
     table = F.split(F.lit(" ".join(f"{x:g}" for x in model)), " ").cast("array<double>")  # folded to a literal
-    index = lambda i: _place(value, i) * len(ALPHABET) + _place(value, i + 1) + 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, index(i).cast("int")))
-    return total / (F.length(value) - 1)
 
+    def step(state: Column, char: Column) -> Column:
+        place = F.position(char, F.lit(ALPHABET)) - 1
+        gain = F.when(state["last"] >= 0, F.element_at(table, state["last"] * len(ALPHABET) + place + 1)).otherwise(0.0)
+        return F.struct(place.alias("last"), (state["sum"] + gain).alias("sum"))
 
-def _place(value: Column, i: Column) -> Column:
-    return F.position(F.substr(value, i, F.lit(1)), F.lit(ALPHABET)) - 1
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.aggregate(chars, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"]) / (F.length(value) - 1)
 
 
 def with_spans(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
