@@ -100,7 +100,9 @@ def samples(docs: DataFrame) -> DataFrame:
 def train(labelled: DataFrame) -> list[float]:
     """Log ratio of each transition, random over ordinary, by 66 * first + second character of ALPHABET."""
     n = len(ALPHABET)
-    pairs = labelled.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1))), lambda i: F.substr(F.col("value"), i, F.lit(2)))).alias("pair"))
+    # characters next to each other; the last one has none after it and falls out below
+    chars = F.split("value", "")
+    pairs = labelled.select("label", F.explode(F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))).alias("pair"))
     counts = {label: [[0] * n for _ in range(n)] for label in ("random", "ordinary")}
     place = {c: k for k, c in enumerate(ALPHABET)}
     # at most 2 * 66 * 66 rows
