@@ -47,7 +47,7 @@ FREQUENT_HELD = 3_000_000
 #: Frequent shingles that are told apart by their counts; this bounds what is sent to tasks.
 FREQUENT_MOST = 300_000
 #: Star rounds before the last, exact one, which starts earlier when little is left.
-ROUNDS = 6
+ROUNDS = 4
 
 SETS = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, prefix array<bigint>"
 
@@ -216,17 +216,19 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b")
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    rows = labels.count()
     while True:
-        around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        old = small_or_shuffled(labels, rows)
+        around = both.join(old.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         # an id's neighbourhood also pulls its old label down, so that whole trees move at once
-        nearer = labels.join(around, "id").select("id", "label", F.least("label", "near").alias("new"))
+        nearer = around.join(old, "id").select("id", "label", F.least("label", "near").alias("new"))
         pulled = nearer.select("id", "new").union(nearer.where("new < label").select(F.col("label").alias("id"), "new"))
         lowest = pulled.groupBy("id").agg(F.min("new").alias("new"))
-        up = lowest.select(F.col("id").alias("new"), F.col("new").alias("upper"))
+        up = old.select(F.col("id").alias("new"), F.col("label").alias("upper"))
         jumped = lowest.join(up, "new", "left").select("id", F.least("new", F.coalesce("upper", "new")).alias("label"))
-        old = labels
-        labels = written(jumped, "labels")
-        changed = labels.join(old.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
+        now = written(jumped, "labels")
+        changed = now.join(old.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
+        labels = now
         if not changed:
             return labels
 
@@ -262,7 +264,7 @@ def links(docs: DataFrame, classes: DataFrame, b: int) -> DataFrame | None:
     for turn in range(ROUNDS):
         known = shared.withColumn("label", F.col("rep"))
         if labels is not None:
-            known = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            known = shared.join(small_or_shuffled(labels.withColumnRenamed("id", "rep"), labels.count()), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         hub = F.min_by(F.struct("rep", "size", "label"), F.xxhash64("rep", F.lit(turn)))
         hubs = known.groupBy("key").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub"))
         rows = written(known.join(hubs.where("low < high").select("key", "rows", "hub"), "key"), "open")
