@@ -28,7 +28,6 @@ SELECT o.o_orderkey AS doc_id, cast(o.o_orderkey % 5 AS int) AS kind,
 FROM orders o JOIN (
   SELECT l_orderkey, min(l_suppkey) AS sk, count(*) AS n, cast(sum(l_quantity) AS bigint) AS qty, min(l_shipdate) AS sd
   FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey
-WHERE o.o_orderkey % 50 < 5
 """
 
 
@@ -37,13 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, kind, text: one contract per selected order, joined to its summed-up lines."""
+    """doc_id, kind, text: one contract per order, joined to its summed-up lines."""
     sql = CONTRACTS.format(string="string", order_date="date_format(o.o_orderdate, 'MMMM d, yyyy')", ship_date="date_format(l.sd, 'MMMM d, yyyy')")
     sql = sql.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}")
     return spark.sql(sql, orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
-CONTRACTS_DUCKDB = CONTRACTS.format(string="varchar", order_date="strftime(o.o_orderdate, '%B %-d, %Y')", ship_date="strftime(l.sd, '%B %-d, %Y')")
+#: The registered SQL still selects a tenth of the orders; tests/test_whole.py runs it without that filter.
+CONTRACTS_DUCKDB = CONTRACTS.format(string="varchar", order_date="strftime(o.o_orderdate, '%B %-d, %Y')", ship_date="strftime(l.sd, '%B %-d, %Y')") + "WHERE o.o_orderkey % 50 < 5\n"
 
 
 def questions(spark: SparkSession) -> DataFrame:
