@@ -3,7 +3,8 @@
 Every document is repeated by a Poisson count whose mean is its source's target
 rate. The count is the inverse of the Poisson distribution at a uniform number that
 comes from a hash of seed and doc_id: the same at each run, however the rows are
-dealt out. The copies are then dealt out by hash and sorted within their partition
+dealt out. Where a rate is above DRAW_RATE, the count is the sum of independent draws
+of equal rates at most that large, which is Poisson of the whole rate. The copies are then dealt out by hash and sorted within their partition
 by another, which is a random order of the whole. Null doc_ids hash as an empty
 string; a null source is a source of its own; a source without a target weight gets
 none of the output (rate 0); rows that repeat get the same count; an empty table
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = "mix-1"
-#: Counts above this are cut from the distribution's tail when a rate is at its largest.
-MAX_RATE = 64.0
+#: Rate of one draw at most: exp(-rate) and the terms of poisson() are exact enough up to here.
+DRAW_RATE = 64.0
 _TERMS = 192
 
 
@@ -33,7 +34,7 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, total: float | None
     """source, n_docs, rate: how often a document of each source is to appear on average.
 
     targets: source, weight; none: all sources weigh the same. total: rows wanted
-    (none: as many as docs has). Rates are held to MAX_RATE repetitions.
+    (none: as many as docs has).
     """
     counts = docs.groupBy("source").agg(F.count("*").alias("n_docs"))
     sums = counts if targets is None else counts.join(targets.select(F.col("source").alias("to"), "weight"), F.col("source").eqNullSafe(F.col("to")), "left").drop("to")
@@ -42,12 +43,12 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, total: float | None
     whole = sums.agg(F.sum("w").alias("w_all"), F.sum("n_docs").alias("n_all")).first()
     wanted = float(total if total is not None else whole.n_all or 0)
     w_all = float(whole.w_all or 1.0)
-    rate = F.least(F.lit(wanted) * F.col("w") / F.lit(w_all) / F.col("n_docs"), F.lit(MAX_RATE))
+    rate = F.lit(wanted) * F.col("w") / F.lit(w_all) / F.col("n_docs")
     return sums.select("source", "n_docs", rate.alias("rate"))
 
 
 def poisson(u: Column, rate: Column) -> Column:
-    """The least k whose Poisson distribution function exceeds u."""
+    """The least k whose Poisson distribution function exceeds u; rate is at most DRAW_RATE."""
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
 
     def step(s: Column, i: Column) -> Column:
@@ -65,12 +66,17 @@ def poisson(u: Column, rate: Column) -> Column:
 
 def replicate(docs: DataFrame, targets: DataFrame | None = None, total: float | None = None, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as its Poisson count says, globally shuffled."""
-    table = rates(docs, targets, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / DRAW_RATE)).cast("int")
+    table = rates(docs, targets, total).select(F.col("source").alias("__source"), (F.col("rate") / draws).alias("__rate"), draws.alias("__draws"))
     held = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
     # One row per source: the optimiser broadcasts it while small, and splits a hot source when it joins by shuffle.
     drawn = docs.select(*held).join(table, F.col("source").eqNullSafe(F.col("__source")))
-    drawn = drawn.withColumn("__u", uniform(seed, F.col("doc_id")))  # a column of its own: the steps below look at it again and again
-    drawn = drawn.withColumn("n_copies", poisson(F.col("__u"), F.col("__rate")).cast("int")).where("n_copies > 0")
+    first = F.array(uniform(seed, F.col("doc_id")))
+    more = F.transform(F.sequence(F.lit(1), F.col("__draws") - 1), lambda k: uniform(seed, F.col("doc_id"), k))
+    drawn = drawn.withColumn("__u", F.when(F.col("__draws") > 1, F.concat(first, more)).otherwise(first))
+    # the lambda's u is a value: the steps of poisson() look at it again and again
+    count = F.aggregate("__u", F.lit(0), lambda n, u: n + poisson(u, F.col("__rate")).cast("int"))
+    drawn = drawn.withColumn("n_copies", count).where("n_copies > 0")
     copies = drawn.select(*held, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy"))
     return keyed.repartition("shuffle_key").sortWithinPartitions(F.xxhash64("shuffle_key"), "doc_id", "copy").select(*held, "copy", "n_copies", "shuffle_key")
