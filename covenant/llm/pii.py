@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,13 +99,30 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def _near(text: str, spans: list[tuple[int, int, int]], width: int = CONTEXT) -> Iterator[tuple[str, set[str]]]:
     """Each entity with the terms around its mentions (lower case, at least four letters)."""
     near: dict[str, set[str]] = {}
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+
+    # Each word is looked through once, however many mentions stand near or in it.
+    @cache
+    def marks(k: int) -> tuple[int, int]:
+        """The first and last digit or @ of a word."""
+        a, b = words[k]
+        found = [at for at in range(a, b) if text[at].isdigit() or text[at] == "@"]
+        return (found[0], found[-1]) if found else (b, -1)
+
+    @cache
+    def terms(a: int, b: int) -> list[str]:
+        return [t.lower() for t in _TERM.findall(text[a:b])]
+
     for start, _, end in spans:
-        terms = near.setdefault(text[start:end], set())
-        before = _WORD.findall(text[max(0, start - 400) : start])[-width:]
-        after = _WORD.findall(text[end : end + 400])[:width]
-        for word in (*before, *after):
-            if not any(c.isdigit() or c == "@" for c in word):
-                terms.update(t.lower() for t in _TERM.findall(word))
+        own = near.setdefault(text[start:end], set())
+        i, j = bisect_left(starts, start), bisect_right(ends, end)
+        before = ((k, starts[k], min(ends[k], start)) for k in range(max(0, i - width), i))
+        after = ((k, max(starts[k], end), ends[k]) for k in range(j, min(len(words), j + width)))
+        for k, a, b in (*before, *after):
+            first, last = marks(k)
+            if first >= b or last < a:
+                own.update(terms(a, b))
     yield from near.items()
 
 
@@ -139,7 +158,10 @@ def frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
-    """doc_id, term, shown: terms of each document that disclose an entity it mentions; shown replaces them ('' removes)."""
+    """doc_id, terms: (term, shown) pairs that disclose an entity the document mentions; shown replaces the term ('' removes).
+
+    They hold wherever the term stands in the document, so it needn't stand there at all.
+    """
     near = written(contexts(docs), "contexts")
     n = docs.count()
     mentions = near.where("term = ''").groupBy("entity").agg(F.count("*").alias("df_c"))
@@ -159,17 +181,28 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT
         .where((pmi("n_ct", "df_t") > most) & (most > 0))
         .select("entity", "term", F.when(pmi("n_cs", "df_s") <= most, F.col("stem")).otherwise(F.lit("")).alias("shown"))
     )
-    marked = terms.join(judged, ["entity", "term"]).groupBy("doc_id", "term").agg(F.min("shown").alias("shown"))
-    return marked
+    judged = written(judged, "judged")
+    # One row per entity, so that the join makes one row per mention and not one per mention and term.
+    lists = judged.groupBy("entity").agg(F.collect_list(F.struct("term", "shown")).alias("terms"))
+    hits = near.where("term = ''").select("doc_id", "entity").join(small_or_shuffled(lists, judged.count(), 500_000), "entity")
+    return hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
 
 
 def _marks(docs: DataFrame, alpha: float, support: int) -> DataFrame:
-    """docs with the column __terms: map from disclosing term to what is shown."""
-    marked = disclosing(docs, alpha, support).groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "shown"))).alias("__terms"))
+    """docs with the column __terms: disclosing terms and what is shown."""
+    marked = disclosing(docs, alpha, support).select(F.col("doc_id").alias("__id"), F.col("terms").alias("__terms"))
     marked = written(marked, "marked")
     return docs.join(small_or_shuffled(marked, marked.count(), 200_000), F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
 
 
+def _shown(terms: list[dict] | None) -> dict[str, str]:
+    """What is shown for each term; of several, the first in order."""
+    out: dict[str, str] = {}
+    for pair in terms or ():
+        out[pair["term"]] = min(pair["shown"], out.get(pair["term"], pair["shown"]))
+    return out
+
+
 def term_spans(text: str, spans: list[tuple[int, int, int]], terms: dict[str, str]) -> list[tuple[int, int, int]]:
     """Spans of disclosing terms that lie in no base span."""
     out = []
@@ -193,7 +226,7 @@ def scan(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> D
             rows = []
             for doc_id, text, terms in zip(*(batch[k].to_pylist() for k in ("doc_id", "text", "__terms")), strict=True):
                 spans = base_spans(text) if text else []
-                added = term_spans(text, spans, dict(terms)) if terms and text else []
+                added = term_spans(text, spans, _shown(terms)) if terms and text else []
                 counts = [sum(kind == k for _, kind, _ in spans) for k in range(4)]
                 rows.append((doc_id, *counts, listed(spans), listed(sorted([*spans, *added])), len(added)))
             kinds = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64())
@@ -212,7 +245,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT)
             out = []
             for text, terms in zip(batch["text"].to_pylist(), batch["__terms"].to_pylist(), strict=True):
                 if text:
-                    shown = dict(terms or ())
+                    shown = _shown(terms)
                     spans = base_spans(text)
                     parts, at = [], 0
                     for start, kind, end in sorted([*spans, *term_spans(text, spans, shown)]):

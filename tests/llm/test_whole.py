@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from covenant.llm import mixing
+from covenant.llm import mixing, pii
 
 
 def plain_count(doc_id, rate):
@@ -31,3 +31,24 @@ def test_mixing_meets_weights_of_tiny_sources(spark):
     assert abs(share["tiny"] - 10_000) < 500 and abs(share["large"] - 10_000) < 500
     got = {r.doc_id: (r.n, r.copies) for r in out.where("source = 'tiny'").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("copies")).collect()}
     assert got == {k: (n, n) for k in range(10) if (n := plain_count(k, 1000.0))}
+
+
+def test_pii_terms_go_wherever_they_stand(spark):
+    far = "one two three four five six seven eight nine ten"
+    rows = [(k, f"ordinary words zanzibar joe.smith@mail.example.com after these words {k}") for k in range(5)]
+    rows += [(5, f"joe.smith@mail.example.com {far} then Zanzibar again"), (6, f"words about zanzibar {far} without the address")]
+    rows += [(k, "ordinary words before and after these words again") for k in range(7, 80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in pii.scan(docs).collect()}
+    at = rows[5][1].index("Zanzibar")
+    assert all("term:15:23" in out[k].spans for k in range(5)) and f"term:{at}:{at + 8}" in out[5].spans
+    assert out[6].n_terms == 0 and all(out[k].spans == "" for k in range(7, 80))
+    assert "anzibar" not in pii.sanitise(docs).where("doc_id = 5").first().text
+
+
+def test_pii_context_has_no_limit_of_characters():
+    text = f"Zanzibar {'x' * 500} joe@mail.example.com {'y' * 500} Timbuktu a b c d Marrakesh beyond"
+    [(_, terms)] = pii._near(text, pii.base_spans(text))
+    assert {"zanzibar", "timbuktu", "x" * 500, "y" * 500} <= terms and "beyond" not in terms and "marrakesh" not in terms
+    glued = "clean" + ",a@b.cd" * 20_000 + ",clean2 later"
+    assert len(list(pii._near(glued, pii.base_spans(glued)))) >= 1
