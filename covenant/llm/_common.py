@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 LINE_BYTES = 1 << 20
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
-#: A table of at most this many narrow rows may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A table of at most this many bytes may be broadcast, by its counted rows; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a value of such a table is taken to need.
+VALUE_BYTES = 16
 
 _P1 = np.uint64(0x9E3779B97F4A7C15)
 _P2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -31,11 +33,13 @@ _BREAK = re.compile(rb"[ \t-\r]")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="covenant-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get()
@@ -50,9 +54,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if its counted rows are within limit; otherwise leave the join to the shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+def small_or_shuffled(df: DataFrame, rows: int, value_bytes: int = VALUE_BYTES) -> DataFrame:
+    """Mark df for broadcast if its counted rows are within BROADCAST_BYTES; otherwise leave the join to the shuffle."""
+    return F.broadcast(df) if rows * len(df.columns) * value_bytes <= BROADCAST_BYTES else df
 
 
 def sliced(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:

@@ -1,26 +1,30 @@
 """N-gram Jaccard join: a size-aware heavy-light similarity join of 5-word shingle sets.
 
 Equal sets are one class, kept once. All shingles have one global order: those that
-are frequent come last, the others are ordered by hash. Two sets that reach the
-similarity share at least one shingle of their prefixes in this order, and two of
-prefixes that are longer by one. So
+stand in several documents come last, rarest first, the others are ordered by hash.
+Two sets that reach the similarity share at least one shingle of their prefixes in
+this order, and two of prefixes that are longer by one. So
 
 * small sets (up to a boundary) enumerate the 2-subsets of their longer prefix, and
   meet where they share a subset;
 * large sets are found by scanning the inverted lists of single prefix shingles;
   small sets whose size comes near the boundary stand in these lists as well.
 
-The boundary is the one of least estimated cost. Lists with many near copies would
-make pairs by the square. Components are therefore found in rounds: in each list
-only one hub is compared with the others, components are merged, and the next round
-looks only at lists that still hold several components. A last round compares all
-pairs of a list that are still in different components, so that no link is missed.
+The boundary is the one of least estimated cost. Where two sets meet first, so many
+shingles must be left in both that they can still reach the similarity; meetings that
+leave too few are dropped before any text is looked at. Lists with many near copies
+would still make pairs by the square. Components are therefore found in rounds: in
+each list only one hub is compared with the others, components are merged, and the
+next round looks only at lists that still hold several components. A last round
+compares all pairs of a list that are still in different components, so that no link
+is missed.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing.
 A text of fewer than five words is one shingle. Repeated rows with one doc_id are one
-document (they must repeat its text as well). A null doc_id gets no row in the result of components() (it can't be named
-by an id), and deduplicate() keeps its rows. An empty table gives an empty result.
-Only doc_id and text are read.
+document; if their texts differ, the smallest of them is the document's text. A null
+doc_id gets no row in the result of components() (it can't be named by an id), and
+deduplicate() keeps its rows. An empty table gives an empty result. Only doc_id and
+text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -40,14 +44,20 @@ PERCENT = 80
 WIDTH = 5
 #: Sets above this size are large whatever the cost.
 MOST_SMALL = 64
-#: A shingle is taken for frequent if some task finds it in so many of its distinct sets.
-FREQUENT_LEAST = 4
-#: Shingles that a task holds before it lets go of those seen once.
-FREQUENT_HELD = 3_000_000
-#: Frequent shingles that are told apart by their counts; this bounds what is sent to tasks.
+#: A shingle is frequent if it stands in so many documents.
+FREQUENT_LEAST = 8
+#: Frequent shingles that are told apart by their counts, the most frequent ones; this bounds what is sent to tasks and never changes the result.
 FREQUENT_MOST = 300_000
-#: Star rounds before the last, exact one, which starts earlier when little is left.
-ROUNDS = 4
+#: Shingles are counted by their upper bits.
+COUNTED_BITS = 48
+#: Shingles that a task holds before it passes their counts on.
+COUNTED_HELD = 3_000_000
+#: Characters of text whose shingles are counted in one group.
+GROUP_CHARS = 4_000_000
+#: Star rounds go on while the last one would look at more pairs than so many times the rows of its lists.
+EASY = 200
+#: A list's rows beyond this are dealt out to several tasks, as are pairs of one document.
+SHARE_ROWS = 2_000
 
 SETS = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, prefix array<bigint>"
 
@@ -61,40 +71,52 @@ def _sets(batch: pa.RecordBatch, column: str = "text") -> list[np.ndarray]:
     return shingle_sets([text.encode("utf-8", "replace") if text else b"" for text in batch[column].to_pylist()], WIDTH)
 
 
-def frequent(docs: DataFrame, least: int = FREQUENT_LEAST, most: int = FREQUENT_MOST) -> np.ndarray:
-    """Frequent shingles, rarest first. They only shape the order of shingles, never the result.
+def frequencies(docs: DataFrame, least: int) -> DataFrame:
+    """shingle (its upper COUNTED_BITS), n: all shingles that stand in at least so many documents.
 
-    Tasks count shingles over their distinct sets and pass on those seen often enough.
+    Tasks sum up what they hold and pass it on by ranges of shingles, each range one row
+    of sorted differences, whose upper bytes are mostly 0 and shrink in the shuffle.
     """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = max(0, int(chars // GROUP_CHARS).bit_length())
+    shift = np.uint64(COUNTED_BITS - bits)
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held) >> np.uint64(64 - COUNTED_BITS), return_counts=True)
+        ranges = values >> shift
+        cuts = np.flatnonzero(ranges[1:] != ranges[:-1]) + 1
+        steps = [np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for x in np.split(values, cuts)]
+        times = [x.astype("<u4").tobytes() for x in np.split(counts, cuts)]
+        firsts = ranges[np.concatenate([[0], cuts])].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], names=["range", "steps", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = set(), [], 0
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def merge() -> None:
-            nonlocal keys, counts, held, size
-            new, times = np.unique(np.concatenate(held), return_counts=True)
-            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            total = np.bincount(where, np.concatenate([counts, times]), len(both)).astype(np.int64)
-            often = total > 1
-            keys, counts, held, size = both[often], total[often], [], 0
-
+        held, size = [], 0
         for batch in sliced(batches):
             for found in _sets(batch):
-                if len(found) and (key := xxhash.xxh3_64_intdigest(found.tobytes())) not in seen:
-                    if len(seen) < 200_000:
-                        seen.add(key)
-                    held.append(found)
-                    size += len(found)
-                    if size > FREQUENT_HELD:
-                        merge()
-        if held:
-            merge()
-        often = counts >= least
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(most).collect()
+                held.append(found)
+                size += len(found)
+            if size > COUNTED_HELD:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def add(group: pa.Table) -> pa.Table:
+        values = [np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64) for x in group["steps"].to_pylist()]
+        counts = [np.frombuffer(x, "<u4") for x in group["times"].to_pylist()]
+        both, where = np.unique(np.concatenate(values), return_inverse=True)
+        total = np.bincount(where, np.concatenate(counts), len(both)).astype(np.int64)
+        often = total >= least
+        return pa.table({"shingle": both[often].view(np.int64), "n": total[often]})
+
+    parts = docs.select("text").mapInArrow(run, "range bigint, steps binary, times binary")
+    return parts.groupBy("range").applyInArrow(add, "shingle bigint, n bigint")
+
+
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Frequent shingles (upper bits), rarest first. They only shape the order of shingles, never the result."""
+    rows = frequencies(docs, FREQUENT_LEAST).orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).collect()
     return np.array([r.shingle for r in rows[::-1]], np.int64).view(np.uint64)
 
 
@@ -114,9 +136,10 @@ def sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
                 seconds.append((key & (1 << 64) - 1) - (1 << 63))
                 length = min(n, n - least_overlap(n) + 1 + (n <= MOST_SMALL))
                 if n and len(sorted_often):
-                    at = np.searchsorted(sorted_often, found)
+                    upper = found >> np.uint64(64 - COUNTED_BITS)
+                    at = np.searchsorted(sorted_often, upper)
                     at[at == len(sorted_often)] = 0
-                    is_often = sorted_often[at] == found
+                    is_often = sorted_often[at] == upper
                     rare = found[~is_often]
                     if len(rare) < length:
                         rest = found[is_often][np.argsort(ranks[at[is_often]], kind="stable")]
@@ -158,8 +181,9 @@ def boundary(sizes: dict[int, int], list_rows: float = 4.0, percent: int = PERCE
 def postings(classes: DataFrame, b: int, percent: int = PERCENT) -> DataFrame:
     """key, rep, size: rows of the inverted lists and of the subsets.
 
-    size holds the set's size and 1 + the shingle's position in the prefix (0 for
-    subsets) in one number: the largest shuffle moves these rows.
+    size holds the set's size n and how many of its shingles are left from here on,
+    this one included (for a subset, from its second one on and one more), in one
+    number: the largest shuffle moves these rows.
     """
     n = F.col("n")
     p = n - F.ceil(n * percent / F.lit(100)) + 1
@@ -167,15 +191,35 @@ def postings(classes: DataFrame, b: int, percent: int = PERCENT) -> DataFrame:
     large = classes.where((n > 3) & (100 * n >= percent * (b + 1))).select(
         "rep", "n", F.posexplode(F.slice("prefix", F.lit(1), p.cast("int"))).alias("pos", "key")
     )
-    subsets = F.flatten(
-        F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y), F.lit(2))))
-    )
-    small = classes.where((n > 3) & (n <= b)).select("rep", "n", F.lit(-1).alias("pos"), F.explode(subsets).alias("key"))
+    pair = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y), F.lit(2))
+    subsets = F.flatten(F.transform("prefix", lambda y, k: F.transform(F.slice("prefix", F.lit(1), k), lambda x: F.struct((k - 1).alias("pos"), pair(x, y).alias("key")))))
+    small = classes.where((n > 3) & (n <= b)).select("rep", "n", F.explode(subsets).alias("s")).select("rep", "n", "s.pos", "s.key")
     rows = large.select("key", "rep", "n", "pos").unionByName(small.select("key", "rep", "n", "pos"))
-    return rows.select("key", "rep", (n * _POSITIONS + F.col("pos") + 1).alias("size"))
+    return rows.select("key", "rep", (n * _SIZES + n - F.col("pos")).alias("size"))
+
+
+_SIZES = 1 << 28
+
+
+def _may_link(p: Column, q: Column, percent: int = PERCENT) -> Column:
+    """Whether two sets that first meet here can reach the similarity, by their sizes and what is left of both."""
+    n, m = F.floor(p / _SIZES), F.floor(q / _SIZES)
+    least = F.ceil(percent * (n + m) / F.lit(100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(p % _SIZES, q % _SIZES) >= least)
+
 
+def _shares(rows: Column) -> Column:
+    return F.ceil(rows / SHARE_ROWS).cast("int")
 
-_POSITIONS = 1 << 28
+
+def _with_text(pairs: DataFrame, docs: DataFrame, name: str, other: str, text: str) -> DataFrame:
+    """The text of document `name` brought to each pair; pairs of one document are dealt out, with a copy of the text for each share."""
+    counts = written(pairs.groupBy(name).agg(_shares(F.count("*")).alias("shares")), "ids")
+    few = small_or_shuffled(counts, counts.count())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias(name), F.col("text").alias(text)).join(few, name)
+    texts = texts.select(name, text, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = pairs.join(few, name).withColumn("share", F.pmod(F.xxhash64(other), "shares").cast("int")).drop("shares")
+    return dealt.join(texts, [name, "share"]).drop("share")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -183,8 +227,6 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
 
     The two texts are brought to each pair: they are a third as large as their sets.
     """
-    ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b"))).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(small_or_shuffled(ids, ids.count()), "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -201,8 +243,7 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b")
-    both = one.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a")
+    both = _with_text(_with_text(pairs, docs, "b", "a", "right"), docs, "a", "b", "left")
     return both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -238,81 +279,105 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return connected(edges if labels is None else edges.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
 
 
-def _pairs(rows: DataFrame, x: str, y: str, percent: int = PERCENT) -> DataFrame:
-    """Distinct (a, b), a < b, of the ids in two structs of each row that may link; a row is a list that both stand in.
+def _distinct(x: str, y: str, rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the ids in two columns."""
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
 
-    Sets of n and m that share t shingles share t - ceil(0.8 n) + 1 of their prefixes
-    (the larger set's number, which is the smaller one). Pairs with fewer lists in
-    common are left out; pairs that share a subset are small and stay.
+def _open(lists: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """The rows of lists that hold several components, with their labels, the list's rows and its hub.
+
+    The first hub is a set with few shingles that are rarer than the list's own, as an
+    original has that all others were copied from; later ones go by a hash, so that
+    lists of the same sets have the same hub.
     """
-    p, q = F.col(f"{x}.size"), F.col(f"{y}.size")
-    n, m = F.floor(p / _POSITIONS), F.floor(q / _POSITIONS)
-    may = rows.where((F.col(f"{x}.rep") != F.col(f"{y}.rep")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
-    least = F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.ceil(F.greatest(n, m) * percent / F.lit(100)) + 1
-    subset = p % _POSITIONS == 0
-    counted = may.groupBy(F.least(f"{x}.rep", f"{y}.rep").alias("a"), F.greatest(f"{x}.rep", f"{y}.rep").alias("b")).agg(
-        F.count("*").alias("lists"), F.max(F.when(subset, F.lit(1)).otherwise(least)).alias("least"), F.max(subset).alias("subset")
-    )
-    return counted.where("subset or lists >= least").select("a", "b")
+    if labels is None:
+        known = lists.withColumn("label", F.col("rep"))
+    else:
+        known = lists.join(small_or_shuffled(labels.withColumnRenamed("id", "rep"), labels.count()), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    order = F.xxhash64("rep", F.lit(turn))
+    if turn == 0:
+        order = F.struct(F.floor(F.col("size") / _SIZES) - F.col("size") % _SIZES, order)
+    w = Window.partitionBy("key")
+    known = known.withColumns({
+        "rows": F.count("*").over(w), "low": F.min("label").over(w), "high": F.max("label").over(w),
+        "hub": F.min_by(F.struct("rep", "size", "label"), order).over(w),
+    })
+    return written(known.where("low < high").drop("low", "high"), "open")
 
 
 def links(docs: DataFrame, classes: DataFrame, b: int) -> DataFrame | None:
     """id, label over class representatives that link with another class; None if there is none."""
     several = F.count("*").over(Window.partitionBy("key"))
-    shared = written(postings(classes, b).withColumn("rows", several).where("rows > 1").drop("rows"), "lists")
+    lists = written(postings(classes, b).withColumn("rows", several).where("rows > 1").drop("rows"), "lists")
     labels = tried = None
-    for turn in range(ROUNDS):
-        known = shared.withColumn("label", F.col("rep"))
-        if labels is not None:
-            known = shared.join(small_or_shuffled(labels.withColumnRenamed("id", "rep"), labels.count()), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        hub = F.min_by(F.struct("rep", "size", "label"), F.xxhash64("rep", F.lit(turn)))
-        hubs = known.groupBy("key").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub"))
-        rows = written(known.join(hubs.where("low < high").select("key", "rows", "hub"), "key"), "open")
+    turn, fruitful = 0, True
+    while True:
+        rows = _open(lists, labels, turn)
         others = rows.where(F.col("label") != F.col("hub.label"))
         stats = others.agg(F.sum("rows").alias("pairs"), F.count("*").alias("rows")).first()
         if not stats.rows:
             return labels
-        last = turn == ROUNDS - 1 or stats.pairs <= max(20 * stats.rows, 2_000_000)
+        last = turn > 0 and (not fruitful or stats.pairs <= EASY * stats.rows)
         if last:
             # whatever two components a list holds, a row of one of them isn't of the hub's; each pair comes up once a list
-            x = others.select("key", F.struct("rep", "size", "label").alias("x"), F.col("hub.label").alias("main"))
-            y = rows.select("key", F.struct("rep", "size", "label").alias("y"))
-            once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("main")) | (F.col("x.rep") < F.col("y.rep")))
-            found = _pairs(x.join(y, "key").where(once), "x", "y")
+            share = F.pmod(F.xxhash64("rep"), _shares(F.col("rows"))).cast("int")
+            x = others.select("key", share.alias("share"), F.col("rep").alias("x"), F.col("size").alias("p"), F.col("label").alias("one"), F.col("hub.label").alias("main"))
+            y = rows.select(F.col("key").alias("list"), F.explode(F.sequence(F.lit(0), _shares(F.col("rows")) - 1)).alias("part"), F.col("rep").alias("y"), F.col("size").alias("q"), F.col("label").alias("two"))
+            met = (F.col("key") == F.col("list")) & (F.col("share") == F.col("part")) & (F.col("one") != F.col("two")) & ((F.col("two") == F.col("main")) | (F.col("x") < F.col("y")))
+            found = _distinct("x", "y", x.join(y, met & _may_link(F.col("p"), F.col("q"))))
         else:
-            found = _pairs(others.select(F.struct("rep", "size").alias("x"), "hub"), "x", "hub")
+            found = _distinct("rep", "hub.rep", others.where(_may_link(F.col("size"), F.col("hub.size"))))
         new = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.limit(1).count():
+        looked = new.count()
+        if looked:
             edges = written(linked(docs, new), "links")
-            if edges.limit(1).count():
+            many = edges.count()
+            if many:
                 labels = _merged(labels, edges)
+            fruitful = 20 * many > looked
+        else:
+            fruitful = False
         if last:
             return labels
         tried = new if tried is None else tried.union(new)
-    return labels
+        lists, turn = rows.select("key", "rep", "size"), turn + 1
+
+
+def _same_text(docs: DataFrame, found: DataFrame) -> bool:
+    """Whether all rows of one doc_id have the same set."""
+    return not found.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a <> b").limit(1).count()
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document that has an id."""
-    documents = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = written(sets(documents, frequent(documents)), "prefixes")
+    documents = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    often = frequent(documents)
+    found = written(sets(documents, often), "prefixes")
+    if not _same_text(documents, found):
+        documents = written(documents.groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
+        found = written(sets(documents, often), "prefixes")
     key = ["n_shingles", "k1", "k2"]
-    classes = found.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    full = found.where("n_shingles > 0")
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = written(classes.select("rep", F.col("n_shingles").alias("n"), "k1", "k2", "prefix"), "classes")
     sizes = {r.n: r["count"] for r in classes.where(f"n <= {MOST_SMALL}").groupBy("n").count().collect()}
     labels = links(documents, classes.select("rep", "n", "prefix"), boundary(sizes))
     member = classes.select("rep", F.col("n").alias("n_shingles"), "k1", "k2")
     if labels is not None:
-        member = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.coalesce("label", "rep").alias("rep"), *key)
-    rows = found.select("doc_id", *key).dropDuplicates(["doc_id", *key])
-    out = rows.join(member, key, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+        member = member.join(small_or_shuffled(labels.withColumnRenamed("id", "rep"), labels.count()), "rep", "left").select(F.coalesce("label", "rep").alias("rep"), *key)
+    out = full.select("doc_id", *key).distinct().join(member, key).select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    empty = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).distinct()
+    return out.unionByName(empty)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is the smallest id of its component, one row each."""
+    """The rows of docs whose document is the smallest id of its component, one row each (the smallest text's, then any)."""
     names = docs.columns
-    heads = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    heads = written(heads, "heads")
-    kept = docs.join(small_or_shuffled(heads, heads.count()), F.col("doc_id").cast("bigint") == F.col("__head"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*names).unionByName(docs.where("doc_id is null"))
+    found = written(components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__head")), "heads")
+    heads = found.count()
+    kept = docs.join(small_or_shuffled(found, heads), F.col("doc_id").cast("bigint") == F.col("__head"), "left_semi")
+    if kept.select("doc_id").count() > heads:
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
+        kept = kept.withColumn("__nth", nth).where("__nth = 1").select(*names)
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sliced, small_or_shuffled, written
+from ._common import BROADCAST_BYTES, sliced, small_or_shuffled, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of a mention that are its context.
@@ -39,6 +39,8 @@ ALPHA = 0.8
 MIN_SUPPORT = 2
 #: Letters that a generalised term keeps.
 STEM = 3
+#: Bytes that a term is taken to need in a table that may be broadcast.
+TERM_BYTES = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -152,8 +154,8 @@ def frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]{4,}"), F.lit(0)))
     stems = F.array_distinct(F.transform(words, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))
     terms = docs.select(F.explode(F.concat(words, stems)).alias("term"))
-    if (rows := wanted.count()) <= 500_000:
-        return terms.join(small_or_shuffled(wanted, rows, 500_000), "term").groupBy("term").agg(F.count("*").alias("df"))
+    if (rows := wanted.count()) * TERM_BYTES <= BROADCAST_BYTES:
+        return terms.join(small_or_shuffled(wanted, rows, TERM_BYTES), "term").groupBy("term").agg(F.count("*").alias("df"))
     return terms.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term")
 
 
@@ -184,7 +186,7 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT
     judged = written(judged, "judged")
     # One row per entity, so that the join makes one row per mention and not one per mention and term.
     lists = judged.groupBy("entity").agg(F.collect_list(F.struct("term", "shown")).alias("terms"))
-    hits = near.where("term = ''").select("doc_id", "entity").join(small_or_shuffled(lists, judged.count(), 500_000), "entity")
+    hits = near.where("term = ''").select("doc_id", "entity").join(small_or_shuffled(lists, judged.count(), TERM_BYTES), "entity")
     return hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
 
 
@@ -192,7 +194,8 @@ def _marks(docs: DataFrame, alpha: float, support: int) -> DataFrame:
     """docs with the column __terms: disclosing terms and what is shown."""
     marked = disclosing(docs, alpha, support).select(F.col("doc_id").alias("__id"), F.col("terms").alias("__terms"))
     marked = written(marked, "marked")
-    return docs.join(small_or_shuffled(marked, marked.count(), 200_000), F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
+    terms = marked.agg(F.sum(F.size("__terms") + 1)).first()[0] or 0
+    return docs.join(small_or_shuffled(marked, terms, TERM_BYTES), F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
 
 
 def _shown(terms: list[dict] | None) -> dict[str, str]:

@@ -271,12 +271,38 @@ def test_jaccard_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()} == want
     heads = {r.doc_id for r in jaccard.deduplicate(docs).collect()}
     assert heads == {k for k, (_, c) in want.items() if k == c}
-    for rounds in (1, 2):
-        before, jaccard.ROUNDS = jaccard.ROUNDS, rounds
-        try:
+    # more star rounds before the last one with every list dealt out and all shingles frequent; no small sets and few frequent shingles
+    for changed in ({"EASY": 0, "SHARE_ROWS": 2, "FREQUENT_LEAST": 1}, {"MOST_SMALL": 0, "FREQUENT_MOST": 3}):
+        with pytest.MonkeyPatch.context() as patch:
+            for name, value in changed.items():
+                patch.setattr(jaccard, name, value)
             assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()} == want
-        finally:
-            jaccard.ROUNDS = before
+
+
+def test_jaccard_near_copies_and_shared_passages(spark):
+    """A chain of near copies, and documents that mostly consist of one passage but don't link."""
+    base = [f"b{k}" for k in range(100)]
+    texts = {k: " ".join([*base[: 100 - 2 * k], *(f"n{k}x{j}" for j in range(2 * k))]) for k in range(12)}
+    passage = [f"p{k}" for k in range(60)]
+    texts |= {100 + k: " ".join([*passage, *(f"o{k}x{j}" for j in range(18 + k % 3))]) for k in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()} == plain_components(texts)
+
+
+def test_jaccard_repeated_ids(spark):
+    a, b = "one two three four five six seven", "zero other words that are here now"
+    docs = spark.createDataFrame([(1, b), (1, a), (2, b), (3, a), (3, a), (None, a)], "doc_id bigint, text string")
+    assert sorted(map(tuple, jaccard.components(docs).collect())) == [(1, 3, 1), (2, 3, 2), (3, 3, 1)]
+    assert sorted(((r.doc_id or 0), r.text) for r in jaccard.deduplicate(docs).collect()) == [(0, a), (1, a), (2, b)]
+
+
+def test_shingle_frequencies(spark, sf_dir, texts):
+    from covenant.llm._common import shingle_sets
+
+    want = Counter(x >> 16 for s in shingle_sets([(t or "").encode() for t in texts.values()]) for x in set(s.tolist()))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.shingle: r.n for r in jaccard.frequencies(docs, 3).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 3}
 
 
 def test_connected_long_chain(spark):
