@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time.
 LINE_BYTES = 1 << 20
-#: Rows of an Arrow batch that are turned into Python objects at a time.
+#: Rows and, about, bytes of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
+SLICE_BYTES = 4 << 20
 #: A table of at most this many bytes may be broadcast, by its counted rows; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bytes that a value of such a table is taken to need.
@@ -62,8 +63,9 @@ def small_or_shuffled(df: DataFrame, rows: int, value_bytes: int = VALUE_BYTES)
 def sliced(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:
     """Record batches cut into slices, so that only a few texts are Python objects at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 _SPACE = np.zeros(256, bool)

@@ -51,7 +51,7 @@ FREQUENT_MOST = 300_000
 #: Shingles are counted by their upper bits.
 COUNTED_BITS = 48
 #: Shingles that a task holds before it passes their counts on.
-COUNTED_HELD = 3_000_000
+COUNTED_HELD = 1_000_000
 #: Characters of text whose shingles are counted in one group.
 GROUP_CHARS = 4_000_000
 #: Star rounds go on while the last one would look at more pairs than so many times the rows of its lists.
