@@ -93,21 +93,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _OP5 = """
-WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rates AS (SELECT source, least((SELECT sum(n) FROM counts)::double / (SELECT count(*) FROM counts)::double / n, 64.0::double) AS rate FROM counts),
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+means AS (SELECT source, (SELECT sum(n) FROM counts)::double * 1.0::double / (SELECT count(*) FROM counts)::double / n::double AS mean FROM counts),
+rates AS (SELECT source, greatest(1, ceil(mean / 64.0::double))::int AS draws, mean / greatest(1, ceil(mean / 64.0::double)) AS rate FROM means),
+sums AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM sums WHERE k < 192),
+shares AS (SELECT source, list(c ORDER BY k) AS cs FROM sums GROUP BY source),
+named AS (SELECT *, coalesce(doc_id::varchar, md5(text), '') AS doc FROM documents),
 drawn AS (
-  SELECT d.*, r.rate, ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double AS u
-  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
-terms AS (SELECT d.source, k, exp(-rate) * list_product(list_transform(range(1, k + 1), lambda i: rate / i)) AS p
-          FROM rates d, range(0, 193) t(k)),
-shares AS (SELECT source, k, sum(coalesce(p, exp(0) * 0)) OVER (PARTITION BY source ORDER BY k) AS c
-           FROM (SELECT t.source, k, CASE WHEN k = 0 THEN exp(-r.rate) ELSE p END AS p
-                 FROM terms t JOIN rates r ON t.source IS NOT DISTINCT FROM r.source)),
-counted AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
-         (SELECT count(*) FROM shares s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u)::int AS n_copies
-  FROM drawn d)
-SELECT doc_id, text, lang, source, n_chars, n_copies, unnest(range(0, n_copies))::int AS copy FROM counted WHERE n_copies > 0
+  SELECT d.*, s.cs, list_transform(range(0, r.draws), lambda j:
+    ('0x' || substr(md5('mix-1:' || d.doc || CASE WHEN j > 0 THEN ':' || j ELSE '' END), 1, 13))::bigint / 4503599627370496.0::double) AS us
+  FROM named d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN shares s ON d.source IS NOT DISTINCT FROM s.source),
+counted AS (SELECT *, list_sum(list_transform(us, lambda u: len(list_filter(cs, lambda c: c <= u))))::int AS n_copies FROM drawn),
+copied AS (SELECT *, unnest(range(0, n_copies))::int AS copy FROM counted WHERE n_copies > 0)
+SELECT doc_id, text, lang, source, n_chars, copy, n_copies, ('0x' || substr(md5('mix-1:' || doc || ':' || copy || ':key'), 1, 15))::bigint AS shuffle_key FROM copied
 """
 
 _OP7 = r"""
@@ -153,4 +154,4 @@ FROM seen LEFT JOIN (SELECT * FROM hits WHERE nr = 1) h USING (k)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": _OP7, "op10_urls": _OP10}
+    return {"op5_mixing": _OP5, "op7_jaccard": _OP7, "op10_urls": _OP10}
