@@ -4,11 +4,15 @@ For every language a tree of byte contexts up to ORDER long holds how often each
 followed. A byte that a context has seen costs -log2 of its share; one that it hasn't
 costs the escape and is then coded in the next shorter context (method C: the escape
 weighs as much as the number of distinct bytes seen), down to equal shares of all
-bytes. The statistics are frozen, so the exact code length of every byte in a context
-is a table; a text's code length is a sum over all its bytes. The shortest wins, ties
-go to the first name. The score is the winner's share if every language's
+bytes. The statistics are frozen, so the exact code length of a byte after its context
+is a fixed number; a text's code length is a sum over all its bytes. The shortest wins,
+ties go to the first name. The score is the winner's share if every language's
 probability is 2 ** -code length.
 
+A language's tree is fitted on all grams of about LABELLED_ROWS of its labelled
+documents (all, if there are no more), chosen by a hash of the text, so that texts that
+repeat are in or out together. No gram and no language is left out.
+
 Null texts and texts without a letter are ``und`` with score 0; so is every text if
 there is nothing to learn from. Empty texts have no letter. Repeated rows are judged
 alike (and count again in training); an empty table gives an empty result.
@@ -24,37 +28,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sliced
+from ._common import sliced, small_or_shuffled, written
 
 #: Bytes of the longest context.
 ORDER = 3
-#: Longest contexts kept over all languages (the most frequent), which bounds the model sent to tasks.
-CONTEXTS = 16_000
-#: Grams over all languages that a model is made of, the most frequent; bounds what reaches the driver.
-GRAMS = 400_000
-#: Grams seen fewer times in a language are left out.
-LEAST = 2
+#: Labelled documents that a language is learned from, about; this bounds a language's part of the model.
+LABELLED_ROWS = 20_000
 #: Bytes that a task sums up or scores at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 
 PREDICTED = "doc_id bigint, lang_pred string, score double"
 
 
-def _joined(texts: list[bytes], order: int = ORDER) -> np.ndarray:
-    """All texts in one array, each after order bytes 0, which are the context of its start."""
-    return np.frombuffer(b"".join(b"\0" * order + t for t in texts), np.uint8)
+def _grams(parts: list[bytes]) -> np.ndarray:
+    """Every byte of parts with the ORDER bytes before it, as one number; each part begins with its first byte's context."""
+    line = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+    grams = (line[:-3] << 24) | (line[1:-2] << 16) | (line[2:-1] << 8) | line[3:]
+    keep = np.ones(len(line), bool)
+    for start in np.cumsum([0, *(len(x) for x in parts[:-1])]):
+        keep[start : start + ORDER] = False
+    return grams[keep[3:]]
+
 
+def sample(labelled: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """text, lang of about so many labelled documents of each language, chosen by a hash of the text."""
+    known = labelled.where("text is not null and lang is not null").select("text", "lang")
+    sizes = written(known.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    return known.join(small_or_shuffled(sizes, sizes.count(), 64), F.col("lang") == F.col("__lang")).where(place * F.col("__n") < rows).select("text", "lang")
 
-def counts(labelled: DataFrame, least: int = LEAST) -> DataFrame:
+
+def counts(labelled: DataFrame) -> DataFrame:
     """lang, gram, n: how often each gram of ORDER + 1 bytes (as a number) stands in the whole labelled texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def add(lang: str, texts: list[bytes]) -> None:
-            line = _joined(texts).astype(np.uint32)
-            grams = (line[:-3] << 24) | (line[1:-2] << 16) | (line[2:-1] << 8) | line[3:]
-            new, n = np.unique(grams[grams & 0xFF > 0], return_counts=True)
+            new, n = np.unique(_grams([bytes(ORDER) + t for t in texts]), return_counts=True)
             old, m = held.get(lang, (np.empty(0, np.uint32), np.empty(0, np.int64)))
             both, at = np.unique(np.concatenate([old, new]), return_inverse=True)
             held[lang] = both, np.bincount(at, np.concatenate([m, n]), len(both)).astype(np.int64)
@@ -63,105 +74,104 @@ def counts(labelled: DataFrame, least: int = LEAST) -> DataFrame:
         sizes: dict[str, int] = {}
         for batch in sliced(batches):
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                waiting.setdefault(lang, []).append(raw := text.encode("utf-8", "replace"))
-                sizes[lang] = sizes.get(lang, 0) + len(raw)
-                if sizes[lang] > CHUNK:
-                    add(lang, waiting.pop(lang))
-                    sizes[lang] = 0
+                if text:
+                    waiting.setdefault(lang, []).append(raw := text.encode("utf-8", "replace"))
+                    sizes[lang] = sizes.get(lang, 0) + len(raw)
+                    if sizes[lang] > CHUNK:
+                        add(lang, waiting.pop(lang))
+                        sizes[lang] = 0
         for lang, texts in waiting.items():
             add(lang, texts)
         for lang, (grams, n) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
-class Model:
-    """cost[row, symbol, language] is the code length in bits; rows of contexts are looked up from the longest down."""
+class Tree:
+    """One language's costs in bits. Level k: grams of k + 1 bytes and their costs, contexts of k bytes and their escapes; all sorted."""
+
+    grams: list[np.ndarray]
+    costs: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """The code length of each gram's last byte after the bytes before it."""
+        out = np.full(len(grams), 8.0)
+        for k in range(ORDER + 1):
+            key = grams & np.uint32((1 << 8 * (k + 1)) - 1)
+            seen, escape = _look_up(self.contexts[k], self.escapes[k], key >> np.uint32(8))
+            found, cost = _look_up(self.grams[k], self.costs[k], key)
+            # a context that the language never saw is no reason to pay for leaving it
+            out = np.where(found, cost, np.where(seen, escape + out, out))
+        return out
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, values[at]
 
+
+def grow(grams: np.ndarray, n: np.ndarray) -> Tree:
+    """A language's tree from the counts of its longest grams; shorter ones are sums of those."""
+    tree = Tree([], [], [], [])
+    for k in range(ORDER + 1):
+        key, at = np.unique(grams.astype(np.uint32) & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        times = np.bincount(at, n, len(key))
+        context, of = np.unique(key >> np.uint32(8), return_inverse=True)
+        total, kinds = np.bincount(of, times, len(context)), np.bincount(of, minlength=len(context))
+        tree.grams.append(key)
+        tree.costs.append(np.log2((total + kinds)[of] / times).astype(np.float32))
+        tree.contexts.append(context)
+        tree.escapes.append(np.log2((total + kinds) / kinds).astype(np.float32))
+    return tree
+
+
+@dataclass
+class Model:
     langs: list[str]
-    symbols: np.ndarray  # byte -> symbol
-    row: np.ndarray  # context of ORDER symbols -> row
-    cost: np.ndarray
+    trees: list[Tree]
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language; long texts are summed up in parts."""
         out = np.zeros((len(texts), len(self.langs)))
-        part: list[tuple[int, bytes, bytes]] = []
+        owners: list[int] = []
+        parts: list[bytes] = []
         size = 0
         for k, text in enumerate(texts):
             for at in range(0, len(text), CHUNK):
-                part.append((k, text[max(0, at - ORDER) : at].rjust(ORDER, b"\0"), text[at : at + CHUNK]))
-                size += len(part[-1][2])
+                owners.append(k)
+                parts.append(text[max(0, at - ORDER) : at].rjust(ORDER, b"\0") + text[at : at + CHUNK])
+                size += len(parts[-1])
                 if size >= CHUNK:
-                    self._add(out, part)
-                    part, size = [], 0
-        if part:
-            self._add(out, part)
+                    self._add(out, owners, parts)
+                    owners, parts, size = [], [], 0
+        if parts:
+            self._add(out, owners, parts)
         return out
 
-    def _add(self, out: np.ndarray, parts: list[tuple[int, bytes, bytes]]) -> None:
-        line = self.symbols[np.frombuffer(b"".join(x for _, before, text in parts for x in (before, text)), np.uint8)]
-        n = int(self.symbols.max()) + 1
-        row = self.row[(line[:-3] * n + line[1:-2]) * n + line[2:-1]]
-        bits = self.cost[row, line[3:]]
-        ends = np.cumsum([len(text) + ORDER for _, _, text in parts])
-        # positions whose last byte is one of the put-in context belong to no text
-        for (k, _, text), end in zip(parts, ends, strict=True):
-            out[k] += bits[end - len(text) - ORDER : end - ORDER].sum(axis=0, dtype=np.float64)
-
-
-def fit(grams: list[tuple[str, int, int]], contexts: int = CONTEXTS) -> Model:
-    """The cost tables from (lang, gram, n). Grams of shorter contexts are sums of those of the longest."""
-    langs = sorted({g[0] for g in grams})
-    number = {lang: k for k, lang in enumerate(langs)}
-    lang = np.array([number[g[0]] for g in grams], np.int64)
-    gram = np.array([g[1] for g in grams], np.int64)
-    n = np.array([g[2] for g in grams], np.float64)
-    raw = np.stack([(gram >> s) & 0xFF for s in (24, 16, 8, 0)])
-    seen = np.unique(raw)
-    symbols = np.zeros(256, np.int64)  # bytes never seen share symbol 0
-    symbols[seen[seen > 0]] = np.arange(1, len(seen[seen > 0]) + 1)
-    a = int(symbols.max()) + 1
-    s = symbols[raw]
-    levels = [np.full((len(langs), 1, a), 8.0, np.float32)]
-    index = np.zeros(1, np.int64)  # context -> row of the level before
-    for order in range(ORDER + 1):
-        key = np.zeros(len(gram), np.int64)
-        for k in range(3 - order, 3):
-            key = key * a + s[k]
-        held = np.unique(key)
-        if order == ORDER and len(held) > contexts:
-            total = np.bincount(np.searchsorted(held, key), n)
-            held = np.sort(held[np.argsort(-total, kind="stable")[:contexts]])
-        at = np.minimum(np.searchsorted(held, key), len(held) - 1)
-        ok = held[at] == key
-        below = index[held % (a ** max(order - 1, 0))] if order else np.zeros(1, np.int64)
-        level = np.empty((len(langs), len(held), a), np.float32)
-        for k in range(len(langs)):
-            own = ok & (lang == k)
-            freq = np.bincount(at[own] * a + s[3][own], n[own], len(held) * a).reshape(len(held), a)
-            total, kinds = freq.sum(axis=1, keepdims=True), (freq > 0).sum(axis=1, keepdims=True)
-            shorter = levels[-1][k, below]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escaped = np.log2((total + kinds) / np.maximum(kinds, 1)) + shorter
-                cost = np.where(freq > 0, np.log2((total + kinds) / freq), escaped)
-            level[k] = np.where(total > 0, cost, shorter)  # a language that never saw the context doesn't pay for leaving it
-        # contexts that were not seen use the row of the next shorter one
-        wide = np.arange(a**order)
-        fallback = index[wide % (a ** max(order - 1, 0))] if order else np.zeros(1, np.int64)
-        index = fallback + len(held)
-        index[held] = np.arange(len(held))
-        levels.append(np.concatenate([level, levels[-1]], axis=1))
-    return Model(langs, symbols, index.astype(np.int32), np.ascontiguousarray(levels[-1].transpose(1, 2, 0), dtype=np.float32))
+    def _add(self, out: np.ndarray, owners: list[int], parts: list[bytes]) -> None:
+        distinct, at = np.unique(_grams(parts), return_inverse=True)
+        firsts = np.cumsum([0, *(len(x) - ORDER for x in parts[:-1])])
+        for k, tree in enumerate(self.trees):
+            np.add.at(out[:, k], owners, np.add.reduceat(tree.bits(distinct)[at], firsts))
 
 
 def train(labelled: DataFrame) -> Model | None:
-    """The model of labelled's whole texts; None if there are none. Only gram counts reach the driver."""
-    grams = [(r.lang, r.gram, r.n) for r in counts(labelled).orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).collect()]
-    return fit(grams) if grams else None
+    """The model of labelled's whole texts; None if there are none. Trees are grown in tasks, one for each language."""
+    kinds = ("grams", "costs", "contexts", "escapes")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        tree = grow(rows["gram"].to_numpy(), rows["n"].to_numpy())
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string())} | {k: pa.array([[x.tobytes() for x in getattr(tree, k)]], pa.list_(pa.binary())) for k in kinds})
+
+    grown = counts(sample(labelled)).groupBy("lang").applyInArrow(run, "lang string, " + ", ".join(f"{k} array<binary>" for k in kinds))
+    types = (np.uint32, np.float32, np.uint32, np.float32)
+    found = {r.lang: Tree(*([np.frombuffer(bytes(x), t) for x in r[k]] for k, t in zip(kinds, types, strict=True))) for r in grown.collect()}
+    return Model(sorted(found), [found[k] for k in sorted(found)]) if found else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
