@@ -6,19 +6,29 @@ are held against the templates'. Window and step are such that a whole copy of a
 template fills most of some window. With BANDS bands of ROWS hashes, a window as
 similar as s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.6,
 which is what a copy at the threshold reaches in its best window at worst, and over
-0.999997 at 0.8. What the bands retrieve is then verified: a match is a stretch of the
+0.999997 at 0.8. With one hash a band, any window that holds one of a template's eight
+least shingles is verified, which is one pass over its shingles. What the bands retrieve is then verified: a match is a stretch of the
 text that holds at least CONTAINMENT percent of the template's distinct shingles.
 
+The templates are the full license texts and the standard notices in license_texts/;
+others can be given as a mapping. A catalogue of any size is dealt with in parts of
+PART_SHINGLES, each held against all texts; a long text is looked at in stretches that
+overlap by a window.
+
 Words are compared with A-Z lower-cased and without ASCII punctuation at their ends.
 Null and empty texts, and texts of fewer than five words, match nothing; repeated rows
-are scanned alike; an empty table gives an empty result, an empty catalogue too. Ties
-go to the first template by name. Only doc_id and text are read.
+are scanned alike; an empty table gives an empty result, an empty catalogue too. A
+template of fewer than five words never matches. Where stretches of one template
+overlap, the one that holds most stays (of those the shortest, then the first); templates
+are independent of each other, in order of place and name. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache, reduce
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +40,22 @@ from ._common import FOLDED, mixed, sliced, windows, word_hashes
 WIDTH = 5
 BANDS, ROWS = 8, 1
 CONTAINMENT = 80
-#: Templates at most; the catalogue goes to every task.
-MOST_TEMPLATES = 5_000
-
-# Short notices as they stand in files.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+#: Shingles of the templates that go to a task at once.
+PART_SHINGLES = 2_000_000
+#: Shingles of a text that are hashed at once.
+STRETCH = 200_000
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+@cache
+def notices() -> dict[str, str]:
+    """The bundled templates by name: a full text for each file, and the sections of notices.txt."""
+    out = {f.stem: f.read_text("utf-8", "replace") for f in TEXTS.glob("*.txt") if f.stem != "notices"}
+    for section in (TEXTS / "notices.txt").read_text("utf-8").split("## ")[1:]:
+        name, _, text = section.partition("\n")
+        out[name] = text.strip()
+    return out
+
 
 _WORD = re.compile(rb"[^ \t-\r]+")
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -74,9 +88,11 @@ class Catalogue:
                 width = int(np.ceil(1.15 ** np.ceil(np.log(len(own)) / np.log(1.15)))) if len(own) > 1 else 1
                 self.classes.setdefault(width, {"members": []})["members"].append(k)
         for width, one in self.classes.items():
-            members = one["members"]
+            members = np.array(one["members"])
             keys = np.array([self._bands(np.minimum.reduce(self._hashed(self.shingles[k]), axis=1)[:, None])[:, 0] for k in members])
-            one |= {"step": max(1, width // 8), "keys": keys, "members": np.array(members)}
+            order = np.argsort(keys, axis=0, kind="stable")
+            least = min(len(np.unique(self.shingles[k])) for k in members)
+            one |= {"step": max(1, width // 8), "keys": np.take_along_axis(keys, order, 0), "members": members[order], "least": least}
 
     def _hashed(self, found: np.ndarray) -> np.ndarray:
         return mixed(found[None, :] * self.salts[:, None])
@@ -88,27 +104,36 @@ class Catalogue:
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + signature[r :: self.rows])
         return out
 
-    def retrieved(self, found: np.ndarray) -> set[tuple[int, int, int]]:
+    def retrieved(self, found: np.ndarray, percent: int = CONTAINMENT) -> set[tuple[int, int, int]]:
         """(template, first shingle, end) of windows that share a band with a template."""
+        # a text with fewer shingles than a copy needs holds none
+        classes = [(w, self.classes[w]) for w in sorted(self.classes) if 100 * len(found) >= percent * self.classes[w]["least"]]
+        if not classes:
+            return set()
+        overlap = classes[-1][0] + classes[-1][1]["step"]
         out = set()
-        hashed = self._hashed(found)
-        for width, one in self.classes.items():
+        for base in range(0, len(found), STRETCH):
+            out |= {(k, base + a, base + b) for k, a, b in self._stretch(found[base : base + STRETCH + overlap], classes)}
+        return out
+
+    def _stretch(self, found: np.ndarray, classes: list[tuple[int, dict]]) -> Iterator[tuple[int, int, int]]:
+        minima, reach = self._hashed(found), 1
+        for width, one in classes:
             step = one["step"]
             # a window holds a whole copy wherever it starts
             size = min(len(found), width + step - 1)
-            starts = np.arange(0, max(1, len(found) - size + step), step)
-            minima = hashed
-            reach = 1
-            while reach < size:  # minima over doubling stretches
+            while reach < size:  # minima over growing stretches, from one class to the next
                 by = min(reach, size - reach)
                 minima = np.minimum(minima[:, :-by], minima[:, by:])
                 reach += by
-            starts = np.minimum(starts, minima.shape[1] - 1)
+            starts = np.minimum(np.arange(0, max(1, len(found) - size + step), step), minima.shape[1] - 1)
             keys = self._bands(minima[:, starts])
-            for member, own in zip(one["members"], one["keys"], strict=True):
-                for w in np.flatnonzero((keys == own[:, None]).any(axis=0)):
-                    out.add((int(member), int(starts[w]), int(starts[w]) + size))
-        return out
+            for band in range(self.bands):
+                own = one["keys"][:, band]
+                low, high = np.searchsorted(own, keys[band], "left"), np.searchsorted(own, keys[band], "right")
+                for w in np.flatnonzero(high > low):
+                    for member in one["members"][low[w] : high[w], band]:
+                        yield int(member), int(starts[w]), int(starts[w]) + size
 
 
 def verified(found: np.ndarray, template: np.ndarray, first: int, end: int, percent: int = CONTAINMENT) -> tuple[int, int, float] | None:
@@ -133,7 +158,7 @@ def matches(found: np.ndarray, catalogue: Catalogue, percent: int = CONTAINMENT)
     """(template, first shingle, end, containment), the best of those that overlap with one template."""
     out: list[tuple[int, int, int, float]] = []
     hits: dict[int, list[tuple[int, int, float]]] = {}
-    for member, first, end in sorted(catalogue.retrieved(found)):
+    for member, first, end in sorted(catalogue.retrieved(found, percent)):
         if hit := verified(found, catalogue.shingles[member], first, end, percent):
             hits.setdefault(member, []).append(hit)
     for member, own in hits.items():
@@ -145,14 +170,27 @@ def matches(found: np.ndarray, catalogue: Catalogue, percent: int = CONTAINMENT)
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
 
+def _parts(templates: dict[str, str]) -> Iterator[dict[str, str]]:
+    """The templates in groups of about PART_SHINGLES words."""
+    part, size = {}, 0
+    for name in sorted(templates):
+        part[name] = templates[name]
+        size += len(templates[name].split())
+        if size >= PART_SHINGLES:
+            yield part
+            part, size = {}, 0
+    if part:
+        yield part
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = CONTAINMENT) -> DataFrame:
     """MATCHES' columns: one row for each stretch of a text that holds a template. start and end are code points."""
-    templates = NOTICES if templates is None else templates
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates")
+    parts = list(_parts(notices() if templates is None else templates)) or [{}]
+    return reduce(DataFrame.unionByName, (_scan(docs, Catalogue(part), percent) for part in parts))
+
 
+def _scan(docs: DataFrame, catalogue: Catalogue, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        catalogue = Catalogue(templates)
         names = [x.split()[0] for x in MATCHES.split(", ")]
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         for batch in sliced(batches):
