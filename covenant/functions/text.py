@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocab
+
 
 def any_of(text: Column, words: Sequence[str]) -> Column:
     """Whether text holds one of the words as a substring."""
@@ -22,10 +25,35 @@ def occurrences(text: Column, phrase: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("bigint")
 
 
+def _overlaps_itself(phrase: str) -> bool:
+    return any(phrase.startswith(phrase[k:]) for k in range(1, len(phrase)))
+
+
 def counted(text: Column, phrases: Sequence[str]) -> Column:
-    """Occurrences of all the phrases together; one small expression however many there are."""
-    step = lambda s, p: s + ((F.length(text) - F.length(F.replace(text, p, F.lit("")))) / F.length(p)).cast("bigint")
-    return F.aggregate(F.array(*map(F.lit, phrases)), F.lit(0).cast("bigint"), step)
+    """Occurrences of all the phrases together.
+
+    One pass looks for every phrase at every character. Phrases that begin alike go to
+    different passes, those that could overlap themselves are counted on their own.
+    """
+    total, passes = F.lit(0).cast("bigint"), []
+    for phrase in phrases:
+        if _overlaps_itself(phrase):
+            total = total + occurrences(text, phrase)
+            continue
+        for group in passes:
+            if not any(x.startswith(phrase) or phrase.startswith(x) for x in group):
+                group.append(phrase)
+                break
+        else:
+            passes.append([phrase])
+    for group in passes:
+        total = total + F.regexp_count(text, F.lit("(?=" + "|".join(re.escape(x) for x in group) + ")"))
+    return total
+
+
+def strip(text: Column) -> Column:
+    """text without ASCII white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def first_of(choices: Sequence[tuple[Column, str]], default: str) -> Column:
@@ -62,9 +90,53 @@ def found(text: Column, pattern: str, group: int = 1, flags: str = "(?i)") -> Co
     return F.nullif(F.trim(F.regexp_extract(text, flags + pattern, group)), F.lit(""))
 
 
-def joined(values: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(values)), "; ")
-
-
 def preview(text: Column, size: int = 150) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
+
+
+def base_document(column: Column) -> Column:
+    """The document part of a chunk's id."""
+    return F.substring_index(base_id(column), "_", 1)
+
+
+def without_footers(text: Column) -> Column:
+    """Page text without page footers (which leaves nothing for the second pattern but is kept as it is specified)."""
+    return F.regexp_replace(F.regexp_replace(text, "(?d)" + vocab.PAGE_FOOTER, ""), vocab.LEASE_FOOTER, "")
+
+
+def parsed_json(text: Column) -> Column:
+    """JSON as a variant: the text itself, else what follows its first bracket once backticks are gone; null if neither parses.
+
+    Text after the last bracket makes it no JSON.
+    """
+    whole = strip(text)
+    bare = F.regexp_extract(F.btrim(whole, F.lit("`")), r"(?s)[\[{].*$", 0)
+    closed = lambda x: F.when(~x.rlike(r"^[\[{]") | x.rlike(r"[\]}]\s*$"), F.try_parse_json(x))
+    return F.coalesce(closed(whole), closed(bare))
+
+
+def stable_key(*parts: Column) -> Column:
+    return F.sha1(F.concat_ws("\x1f", *parts).cast("binary"))
+
+
+def named_groups(pattern: str) -> tuple[str, dict[str, int]]:
+    """A pattern with (?P<name>...) groups as one with plain groups, and each name's number."""
+    names, number, at = {}, 0, 0
+    out = []
+    for m in re.finditer(r"\\.|\(\?P<(\w+)>|\((?!\?)", pattern):
+        if m[0].startswith("\\"):
+            continue
+        number += 1
+        if m[1]:
+            names[m[1]] = number
+            out += [pattern[at : m.start()], "("]
+            at = m.end()
+    return "".join([*out, pattern[at:]]), names
+
+
+def file_fields(name: Column, pattern: str) -> dict[str, Column]:
+    """lease_id, amendment_no and property that a pattern with named groups finds in a file's name."""
+    plain, groups = named_groups(pattern)
+    part = lambda g: F.nullif(F.regexp_extract(name, plain, groups[g]), F.lit("")) if g in groups else F.lit(None).cast("string")
+    number = part("num")
+    return {"lease_id": F.coalesce(part("lease_id"), part("lease")), "amendment_no": F.coalesce(number.try_cast("int").cast("string"), number), "property": part("property")}

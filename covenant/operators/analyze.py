@@ -76,3 +76,65 @@ def with_aliases(question: Column) -> Column:
         for a in alts:
             out += [F.when(~has & low.contains(a), F.replace(low, F.lit(a), F.lit(canonical))), F.when(~has & low.contains(a), F.concat(low, F.lit(f" {canonical}")))]
     return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+
+
+def expanded_old(question: Column) -> Column:
+    """The older expansion: synonyms that the question hasn't got, two role prompts; no limit."""
+    low = F.lower(question)
+    swaps = [F.when(low.contains(key) & ~low.contains(a), F.replace(low, F.lit(key), F.lit(a))) for key, alts in vocab.OLD_SYNONYMS.items() for a in alts]
+    roles = [F.concat(F.lit(p), question) for p in ("entities and parties: ", "contract details: ")] + [F.when(~question.endswith("?"), F.concat(question, F.lit("?")))]
+    lists = ~low.contains("how many") & (low.contains("companies") | low.contains("parties"))
+    more = [F.when(lists, F.concat(F.lit(p), question)) for p in ("how many ", "list all ", "count of ")]
+    return F.array_distinct(F.filter(F.array(question, *swaps, *roles, *more), lambda x: x.isNotNull()))
+
+
+def filled(templates: list[str], question: Column) -> Column:
+    """An array of the templates with the question in place of {}."""
+    return F.array(*[F.replace(F.lit(x), F.lit("{}"), question) if "{}" in x else F.lit(x) for x in templates])
+
+
+def expanded_by_intent(question: Column) -> Column:
+    """The analyser's expansion by intent and kinds of entity, sorted (it has no order of its own)."""
+    none = F.array().cast("array<string>")
+    kind, kinds = intent(question), kinds_asked(question)
+    parts = [F.array(question)]
+    parts += [F.when(kind == name, filled(xs, question)).otherwise(none) for name, xs in vocab.INTENT_EXPANSIONS.items()]
+    parts += [F.when(F.array_contains(kinds, name), filled(xs, question)).otherwise(none) for name, xs in vocab.KIND_EXPANSIONS.items()]
+    parts += [F.when(~question.endswith("?"), F.array(F.concat(question, F.lit("?")))).otherwise(none)]
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
+def analysis(question: Column) -> Column:
+    """The analyser's eight fields as one struct."""
+    kind = intent(question)
+    return F.struct(
+        kind.alias("intent"), F.array_join(kinds_asked(question), ",").alias("kinds"), F.array_join(keywords(question), ",").alias("keywords"), question_type(question).alias("question_type"),
+        specificity(question).alias("specificity"), t.any_match(question, vocab.AGGREGATION).alias("aggregates"), collections(kind).alias("collections"), expanded_by_intent(question).alias("variants"),
+    )
+
+
+def quick_analysis(question: Column) -> dict[str, Column]:
+    """The fields of the quick analysis by word lists."""
+    low = F.lower(question)
+    kinds = F.filter(F.array(*[F.when(t.any_of(low, words), F.lit(name)) for name, words in vocab.QUICK_KINDS]), lambda x: x.isNotNull())
+    asks = F.when(low.startswith("how many"), "count").when(low.startswith("who"), "who").when(low.startswith("what"), "what").otherwise("general")
+    name = listed_intent(question, vocab.QUICK_INTENTS, "general")
+    return {
+        "intent": name, "kinds": F.array_join(kinds, ","), "question_type": asks, "aggregates": asks == "count",
+        "specificity": F.when(F.size(kinds) > 0, 0.7).otherwise(0.3), "collections": F.when(name.isin("entity_count", "entity_identification"), "entities,main").otherwise("main"),
+    }
+
+
+def strategy(name: Column, specific: Column, aggregates: Column) -> dict[str, Column]:
+    """How to retrieve, by the analysis' fields; later rules go over earlier ones."""
+    entities, money = name.isin("entity_count", "entity_identification"), name == "financial"
+    weight = F.when(aggregates, 0.8).when(specific > 0.7, 0.4).when(entities, 0.7).when(money, 0.5).otherwise(0.6)
+    return {
+        "method": F.when(aggregates | ~entities, "comprehensive").otherwise("entity_focused"), "use_entities": entities | aggregates, "use_clauses": money,
+        "expand": ~(specific > 0.7), "mmr_weight": weight, "rerank": F.lit(True),
+    }
+
+
+def valid_filter(where: dict | None) -> dict:
+    """A metadata filter as given; anything that is none, or only an API's placeholder, is empty."""
+    return {} if not isinstance(where, dict) or "additionalProp1" in where else where

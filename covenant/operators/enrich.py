@@ -28,22 +28,52 @@ def clause_type(text: Column, doc: Column) -> Column:
     return out
 
 
-def party(text: Column, words: str) -> Column:
-    return t.found(text, f"(?:{words})[^\\n]*?{vocab.PARTY_NAME}", flags="(?id)")
+def party(text: Column, words: str, endings: str) -> Column:
+    name = rf"([A-Z][A-Za-z\s&]+(?:{endings}))"
+    return t.strip(t.found(text, rf"(?:{words})[^\n]*?{name}", flags="(?id)"))
+
+
+def parties(text: Column, kind: Column) -> dict[str, Column]:
+    """Each role's party, by document type; without any, the two of a BETWEEN ... AND ... ."""
+    out: dict[str, Column] = {}
+    for doc, roles in vocab.PARTY_ROLES.items():
+        for role, words, endings in roles:
+            value = F.when(kind == doc, party(text, words, endings))
+            out[role] = F.coalesce(out[role], value) if role in out else value
+    none = F.coalesce(*out.values()).isNull()
+    side = lambda k: t.strip(F.regexp_extract(text, "(?isd)" + vocab.BETWEEN, k))
+    name = rf"([A-Z][A-Za-z\s&]+(?:{vocab.BETWEEN_ENDINGS}))"
+    for k in (1, 2):
+        out[f"party_{k}"] = F.when(none, t.strip(t.found(side(k), name, flags="")))
+    return out
+
+
+def field(text: Column, name: str, kind: Column) -> Column:
+    """A metadata field; those of one document type are null for others."""
+    doc, pattern = next((d, p) for n, d, p in vocab.FIELDS if n == name)
+    value = t.strip(t.found(text, pattern))
+    return value if doc is None else F.when(kind == doc, value)
 
 
-def field(text: Column, name: str) -> Column:
-    return t.found(text, next(p for n, _, p in vocab.FIELDS if n == name))
+#: Date formats that are tried in order; commas are optional.
+DATE_FORMATS = ["MMMM d yyyy", "MMM d yyyy"]
 
 
 def dated(text: Column, name: str) -> Column:
-    raw = t.found(text, f"(?:{dict(vocab.DATE_FIELDS)[name]}){vocab.DATE_TAIL}")
-    return F.date_format(F.coalesce(F.try_to_date(raw, "MMMM d, yyyy"), F.try_to_date(raw, "MMM d, yyyy"), F.try_to_date(raw, "MMMM d yyyy")), "yyyy-MM-dd")
+    """A date field as yyyy-MM-dd; null if it is no date. "Sept" is read as September."""
+    raw = F.replace(t.found(text, f"(?:{dict(vocab.DATE_FIELDS)[name]}){vocab.DATE_TAIL}"), F.lit(","), F.lit(" "))
+    words = F.initcap(F.regexp_replace(F.regexp_replace(raw, r"\s+", " "), r"(?i)^sept ", "Sep "))
+    return F.date_format(F.coalesce(*[F.try_to_date(words, f) for f in DATE_FORMATS]), "yyyy-MM-dd")
 
 
-def term(text: Column) -> Column:
+def term(text: Column, kind: Column) -> Column:
     pattern = r"(?:term|period)\s+of\s+(\d+)\s+(years?|months?)"
-    return F.when(t.found(text, pattern).isNotNull(), F.concat_ws(" ", t.found(text, pattern), t.found(text, pattern, 2)))
+    found = F.concat_ws(" ", t.found(text, pattern), t.found(text, pattern, 2))
+    return F.when(kind == "lease", F.nullif(found, F.lit("")))
+
+
+#: Characters by which a name is looked for in a party.
+PROBE = 10
 
 
 def entities(text: Column, kind: str) -> Column:
@@ -69,12 +99,66 @@ def target_collection(search_type: Column, clause: Column) -> Column:
 
 
 def fan_out(chunks: DataFrame) -> DataFrame:
-    """Main, entity and clause rows of each chunk (id, text, clause_type, entity_text)."""
-    clause_text = F.concat(F.lit("CLAUSE TYPE: "), F.upper("clause_type"), F.lit("\n"), F.col("text"))
-    row = lambda name, key, text: F.struct(F.lit(name).alias("collection"), key.alias("id"), text.alias("text"))
+    """Main, entity and clause rows of each chunk: collection, id, text, search_type.
+
+    chunks: id, text, rich (what main embeds), header, doc_type, clause_type, entity_text (null: no entity, no row).
+    """
+    clause_text = F.concat(F.lit("CLAUSE TYPE: "), "clause_type", F.lit("\nDOCUMENT TYPE: "), "doc_type", F.lit("\n"), "header", F.lit("\n\n"), "text")
+    row = lambda name, key, text, kind: F.struct(F.lit(name).alias("collection"), key.alias("id"), text.alias("text"), F.lit(kind).cast("string").alias("search_type"))
     rows = F.array(
-        row("main", F.col("id"), F.col("text")),
-        F.when(F.col("entity_text") != "", row("entities", F.concat("id", F.lit("_entities")), F.col("entity_text"))),
-        F.when(F.col("clause_type") != "general", row("clauses", F.concat("id", F.lit("_clause")), clause_text)),
+        row("main", F.col("id"), F.col("rich"), None),
+        F.when(F.col("entity_text").isNotNull(), row("entities", F.concat("id", F.lit("_entities")), F.col("entity_text"), "entities")),
+        row("clauses", F.concat("id", F.lit("_clause")), clause_text, "clause"),
     )
     return chunks.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
+
+
+def rich_text(text: Column, header: Column, doc: Column, clause: Column, found: dict[str, Column], address: Column, area: Column, date: Column) -> Column:
+    """What is embedded for a chunk: its context lines, then its text. found: arrays of entities; only up to five are listed."""
+    line = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value))
+    lists = [F.when(F.size(v).between(1, 5), F.concat(F.lit(f"{k.upper()}: "), F.array_join(v, ", "))) for k, v in found.items()]
+    lines = [line("DOCUMENT TYPE", doc), line("CLAUSE TYPE", clause), line("SECTION", t.strip(header)), *lists, line("PROPERTY", address), F.concat(line("AREA", area), F.lit(" sq ft")), line("DATE", date)]
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n\nCONTENT:\n"), text)
+
+
+def simple_text(text: Column, header: Column, lessor: Column, lessee: Column, date: Column, term_duration: Column, clause: Column) -> Column:
+    """What the older ingest embeds: header, text and a few fields."""
+    line = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value))
+    fields = [line("LESSOR", lessor), line("LESSEE", lessee), line("EFFECTIVE DATE", date), line("TERM", term_duration), line("CLAUSE", clause)]
+    return F.concat_ws("\n", F.nullif(t.strip(header), F.lit("")), F.nullif(text, F.lit("")), *fields)
+
+
+def entity_text(text: Column, found: dict[str, Column]) -> Column:
+    """The text of a chunk's row in the entity collection; null if it has no entity."""
+    lines = [F.when(F.size(v) > 0, F.concat(F.lit(f"{k.upper()}: "), F.array_join(v, ", "), F.lit("\n"))) for k, v in found.items()]
+    listed = F.concat_ws("", *lines)
+    return F.when(listed != "", F.concat(F.lit("ENTITIES FOUND:\n"), listed, F.lit("\nCONTEXT:\n"), text))
+
+
+def sanitised(metadata: Column) -> Column:
+    """A map of variants as a map of strings: lists joined by "; ", null kept."""
+    text = lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(F.try_variant_get(v, "$", "array<string>"), "; ")).otherwise(F.try_variant_get(v, "$", "string"))
+    return F.transform_values(metadata, lambda _, v: text(v))
+
+
+def metadata_map(raw: Column) -> Column:
+    """Metadata as a map of variants; anything but a JSON object is an empty map."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+
+
+def roles(names: DataFrame, documents: DataFrame) -> DataFrame:
+    """name, role, docs: how many documents' lessor or lessee holds each name, and its role in the last of them.
+
+    names: name, of PROBE characters at least; documents: doc_id, lessor, lessee. Names that stand in both of a document are its lessee. A name meets a
+    party by the name's first characters, so that only likely ones are compared; parties are taken apart once each.
+    """
+    sides = F.explode(F.array(F.struct(F.lit("Lessor").alias("role"), F.lower("lessor").alias("party")), F.struct(F.lit("Lessee").alias("role"), F.lower("lessee").alias("party"))))
+    held = documents.select("doc_id", sides.alias("s")).select("doc_id", "s.*").where("party is not null")
+    # a name may begin inside a word of the party's
+    tails = lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda k: F.substring(p, k, PROBE))
+    parties_ = held.select("party").distinct().select("party", F.explode(F.array_distinct(tails(F.col("party")))).alias("probe"))
+    known = names.select("name", F.lower("name").alias("low")).withColumn("probe", F.substring("low", 1, PROBE))
+    pairs = known.join(parties_, "probe").where(F.col("party").contains(F.col("low"))).select("name", "party")
+    # which names a document has is known without pairing its parties: lessee goes over lessor
+    hits = held.join(pairs, "party").groupBy("name", "doc_id").agg(F.min("role").alias("role"))
+    return hits.groupBy("name").agg(F.max_by("role", "doc_id").alias("role"), F.count("*").alias("docs"))

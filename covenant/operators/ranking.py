@@ -10,9 +10,11 @@ from ..functions import text as t
 from ..functions import vocab
 
 
-def hybrid_boost(question: Column, text: Column, header: Column, clause: Column, has_dates: Column, has_party: Column, priority: Column) -> Column:
+def hybrid_boost(question: Column, text: Column, header: Column, clause: Column, has_dates: Column, has_party: Column, priority: Column, overlap: Column | None = None) -> Column:
+    """overlap: how many tokens question and text share, if it is known already."""
     low = F.lower(question)
-    overlap = F.size(F.array_intersect(t.tokens(question), F.array_union(t.tokens(text), t.tokens(header))))
+    if overlap is None:
+        overlap = F.size(F.array_intersect(t.tokens(question), F.array_union(t.tokens(text), t.tokens(header))))
     total = F.least(F.lit(0.12), F.lit(0.02) * overlap)
     total += F.when(t.any_of(low, vocab.FINANCIAL_WORDS) & clause.isin("rent", "financial", "security"), 0.06).otherwise(0.0)
     total += F.when(t.any_of(low, vocab.TEMPORAL_WORDS) & ((clause == "term") | has_dates), 0.06).otherwise(0.0)
@@ -32,6 +34,16 @@ def intent_boost(question: Column, text: Column, clause: Column, has_party: Colu
     return total
 
 
+def rerank_boost(question: Column, clause: Column, has_amounts: Column, has_dates: Column, has_party: Column, search_type: Column, priority: Column) -> Column:
+    """The metadata boosts that stand in for a model's order."""
+    low = F.lower(question)
+    money, term, party = (t.any_of(low, w) for w in (vocab.RERANK_MONEY, vocab.RERANK_TERM, vocab.PARTY_WORDS))
+    add = lambda test, x: F.when(test, x).otherwise(0.0)
+    total = add(priority == 1, 0.05) + add(money & clause.isin("rent", "financial", "security"), 0.05) + add(money & has_amounts, 0.05)
+    total += add(term & (clause == "term"), 0.05) + add(term & has_dates, 0.05)
+    return total + add(party & has_party, 0.06) + add(party & (search_type == "entities"), 0.04)
+
+
 def capped(score: Column, boost: Column) -> Column:
     return F.round(F.least(F.lit(1.0), score + boost), 6)
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one search broadcasts at most; more are dealt out in blocks.
-QUERY_BLOCK = 10_000
+#: Query vectors that go to tasks at a time; more are dealt out in blocks.
+QUERY_BLOCK = 2_000
+#: Vectors that are held against a block at a time.
+VECTOR_ROWS = 4_096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,21 +37,45 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """qid, vec_id, score, rank of each query's k best by inner product; ties by vec_id.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, key: str = "vec_id", group: str | None = None) -> DataFrame:
+    """qid, key, (group,) score, rank of each query's k best by inner product, in each group if there is one; ties by key.
 
-    queries: qid, qvec, a stated set that is broadcast (its size is checked). where
-    filters before the search. Ranking is cut within tasks before the shuffle.
+    queries: qid (bigint), qvec; a stated set, which is searched for in blocks of QUERY_BLOCK. where filters before the
+    search. Tasks multiply blocks and pass on the k best of VECTOR_ROWS vectors; these are cut again before the shuffle.
     """
-    n = queries.count()
-    if n > QUERY_BLOCK:
-        raise ValueError(f"{n} queries; search in blocks of {QUERY_BLOCK}")
     rows = vectors if where is None else vectors.where(where)
-    scored = rows.join(F.broadcast(queries)).select("qid", "vec_id", F.round(dot(F.col("qvec"), F.col("embedding")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    own = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    found = reduce(DataFrame.unionByName, (_best_of_block(queries.where(own == b), rows, k, key, group) for b in range(blocks)))
+    names = [key, group] if group else [key]
+    scored = found.select("qid", *names, F.round("score", 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid", *names[1:]).orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
+def _best_of_block(queries: DataFrame, rows: DataFrame, k: int, key: str, group: str | None) -> DataFrame:
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec")).toPandas()
+    qids, matrix = asked["qid"].to_numpy("int64"), np.stack(asked["qvec"]).T if len(asked) else np.empty((0, 0))
+    names = [key, group] if group else [key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by(key) if len(qids) else pa.Table.from_batches([batch.slice(0, 0)])
+            for value in pc.unique(table[group]).to_pylist() if group else [None]:
+                part = table.filter(pc.equal(table[group], value)) if group else table
+                for at in range(0, part.num_rows, VECTOR_ROWS):
+                    some = part.slice(at, VECTOR_ROWS).combine_chunks()
+                    scores = np.stack(some["embedding"].to_numpy(zero_copy_only=False)).astype("float64") @ matrix
+                    # rows are in order of their key, and the sort keeps that order where scores are even
+                    best = np.argsort(-np.round(scores, 6), axis=0, kind="stable")[:k]
+                    picked = some.select(names).take(pa.array(best.T.ravel()))
+                    out = [pa.array(np.repeat(qids, len(best))), *(picked[c].combine_chunks() for c in names), pa.array(np.take_along_axis(scores, best, 0).T.ravel())]
+                    yield pa.RecordBatch.from_arrays(out, names=["qid", *names, "score"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.select(*names, "embedding").where("embedding is not null").mapInArrow(run, f"qid bigint, {kinds}, score double")
+
+
 def _pick(vectors: np.ndarray, query: np.ndarray, k: int, weight: float) -> list[int]:
     v = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12)
     q = query / (np.linalg.norm(query) + 1e-12)

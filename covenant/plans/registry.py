@@ -78,13 +78,13 @@ _DOT = "list_inner_product(a.embedding::double[], b.embedding::double[])"
 
 def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = corpus.table(spark, sf_dir, "embeddings")
-    return rows.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), rows
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), rows
 
 
 def _topk_sql(k: int, where: str = "true") -> str:
     return f"""SELECT qid, vec_id, score, rank FROM (
       SELECT a.vec_id AS qid, b.vec_id, round({_DOT}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 6) DESC, b.vec_id) AS rank
-      FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND {where}) WHERE rank <= {k}"""
+      FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND {where}) WHERE rank <= {k}"""
 
 
 @query(_topk_sql(5))
@@ -99,13 +99,23 @@ def vec_topk_filtered(spark, sf_dir):
     return vectors.top_k(asked, rows, 8, F.col("label") == 1)
 
 
-@query("""SELECT vec_id, round(greatest(0.0, least(d, 1.0)), 6) AS ip_score, round(1 / (1 + greatest(1 - d, 0.0)), 6) AS distance_score, round(n, 6) AS norm
-  FROM (SELECT b.vec_id, list_inner_product(a.embedding::double[], b.embedding::double[]) AS d, sqrt(list_inner_product(b.embedding::double[], b.embedding::double[])) AS n
-        FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 0) a)""")
+@query(f"""SELECT qid, vec_id, round(greatest(0.0, least(score, 1.0)), 6) AS ip_score, round(1 / (1 + greatest(1 - score, 0.0)), 6) AS distance_score, round(1 / (2 - score), 6) AS legacy_score,
+  round(sqrt(list_inner_product(b.embedding::double[], b.embedding::double[])), 6) AS norm FROM ({_topk_sql(20)}) JOIN embeddings b USING (vec_id)""")
 def vec_scores(spark, sf_dir):
     asked, rows = _searches(spark, sf_dir)
-    d = rows.join(F.broadcast(asked.where("qid = 0"))).withColumn("d", vectors.dot(F.col("qvec"), F.col("embedding")))
-    return d.select("vec_id", F.round(vectors.clamped(F.col("d")), 6).alias("ip_score"), F.round(vectors.from_distance(1 - F.col("d")), 6).alias("distance_score"), F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+    d = F.col("score")
+    hits = vectors.top_k(asked, rows, 20).join(rows.select("vec_id", "embedding"), "vec_id")
+    return hits.select(
+        "qid", "vec_id", F.round(vectors.clamped(d), 6).alias("ip_score"), F.round(vectors.from_distance(1 - d), 6).alias("distance_score"),
+        F.round(vectors.from_distance(1 - d, hold=False), 6).alias("legacy_score"), F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"),
+    )
+
+
+@query("""SELECT vec_id, round(embedding[1]::double / (n + 1e-12::double), 6) AS first_value, round(n / (n + 1e-12::double), 6) AS norm
+  FROM (SELECT *, sqrt(list_inner_product(embedding::double[], embedding::double[])) AS n FROM embeddings)""")
+def vec_unit(spark, sf_dir):
+    unit = vectors.unit(F.col("embedding"))
+    return corpus.table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("u")).select("vec_id", F.round(F.col("u")[0], 6).alias("first_value"), F.round(F.sqrt(vectors.dot(F.col("u"), F.col("u"))), 6).alias("norm"))
 
 
 @query(f"""SELECT h.qid, h.vec_id, h.rank, e.label, round(list_extract(e.embedding, 1)::double, 6) AS first_value
@@ -118,7 +128,7 @@ def vec_lookup_join(spark, sf_dir):
 
 def _mmr(spark, sf_dir, k, pool, weight, legacy):
     asked, rows = _searches(spark, sf_dir)
-    hits = vectors.top_k(asked, rows, pool).join(rows.select("vec_id", "embedding"), "vec_id").join(F.broadcast(asked), "qid")
+    hits = vectors.top_k(asked, rows, pool).join(rows.select("vec_id", "embedding"), "vec_id").join(asked, "qid")
     return vectors.mmr(hits, k, weight, legacy)
 
 
@@ -234,29 +244,59 @@ def clause_type(spark, sf_dir):
     return _typed(spark, sf_dir).select("doc_id", "clause_type")
 
 
-_ROLES = sorted({role for roles in vocab.PARTY_ROLES.values() for role in roles})
+def _name_sql(words: str, endings: str) -> str:
+    return f"nullif(trim(regexp_extract(text, {_q('(?i)(?:' + words + r')[^\n]*?([A-Z][A-Za-z\s&]+(?:' + endings + '))')}, 1), {_WS}), '')"
+
 
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_COMPANY_ENDS = r"Ltd\.|Limited|LLC|Inc\.|Corporation|Corp\.|Industries|Company"
+_LENDER_ENDS = r"Ltd\.|Limited|LLC|Inc\.|Corporation|Corp\.|Bank|Trust|Credit Union"
+_BOTH = r"(?is)BETWEEN\s+(.*?)\s+AND\s+(.*?)(?:\(|\n|$)"
+_SIDE = r"([A-Z][A-Za-z\s&]+(?:Ltd\.|Limited|LLC|Inc\.|Corporation|Corp\.|Industries|Company|Bank|Trust))"
 
-@query(_CON + "SELECT doc_id, " + ", ".join(f"{_found('text', f'(?:{words})[^\\n]*?{vocab.PARTY_NAME}')} AS {name}_{k}" for k, (name, words) in enumerate(_ROLES)) + " FROM con")
+
+@query(_TYPED_SQL + f""", p AS (SELECT doc_id, text,
+    CASE doc_type WHEN 'lease' THEN {_name_sql('lessor|landlord', _COMPANY_ENDS)} END AS lessor, CASE doc_type WHEN 'lease' THEN {_name_sql('lessee|tenant', _COMPANY_ENDS)} END AS lessee,
+    CASE doc_type WHEN 'purchase' THEN {_name_sql('buyer|purchaser', _COMPANY_ENDS)} END AS buyer, CASE doc_type WHEN 'purchase' THEN {_name_sql('seller|vendor', _COMPANY_ENDS)} END AS seller,
+    CASE doc_type WHEN 'management' THEN {_name_sql('manager|management company', _COMPANY_ENDS)} END AS manager,
+    CASE WHEN doc_type IN ('management', 'construction') THEN {_name_sql('owner|property owner', _COMPANY_ENDS)} END AS owner,
+    CASE doc_type WHEN 'construction' THEN {_name_sql('contractor|construction company', _COMPANY_ENDS)} END AS contractor,
+    CASE doc_type WHEN 'financing' THEN {_name_sql('lender|bank|financial institution', _LENDER_ENDS)} END AS lender,
+    CASE doc_type WHEN 'financing' THEN {_name_sql('borrower|debtor', _COMPANY_ENDS)} END AS borrower FROM typed)
+  SELECT * EXCLUDE (text),
+    CASE WHEN coalesce(lessor, lessee, buyer, seller, manager, owner, contractor, lender, borrower) IS NULL THEN nullif(trim(regexp_extract(trim(regexp_extract(text, {_q(_BOTH)}, 1), {_WS}), {_q(_SIDE)}, 1), {_WS}), '') END AS party_1,
+    CASE WHEN coalesce(lessor, lessee, buyer, seller, manager, owner, contractor, lender, borrower) IS NULL THEN nullif(trim(regexp_extract(trim(regexp_extract(text, {_q(_BOTH)}, 2), {_WS}), {_q(_SIDE)}, 1), {_WS}), '') END AS party_2 FROM p""")
 def parties(spark, sf_dir):
-    docs = corpus.contracts(spark, sf_dir)
-    return docs.select("doc_id", *[enrich.party(F.col("text"), words).alias(f"{name}_{k}") for k, (name, words) in enumerate(_ROLES)])
+    found = enrich.parties(F.col("text"), F.col("doc_type"))
+    return _typed(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in found.items()])
+
+
+def _date_sql(words: str) -> str:
+    raw = _found("text", f"(?:{words})" + r"\s+(?:date\s+)?(?:as\s+of\s+)?([A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})")
+    words = f"regexp_replace(regexp_replace(replace({raw}, ',', ' '), '\\s+', ' ', 'g'), '^[Ss]ept ', 'Sep ')"
+    return f"strftime(coalesce(try_strptime({words}, '%B %-d %Y'), try_strptime({words}, '%b %-d %Y')), '%Y-%m-%d')"
 
 
-def _date_sql(name: str) -> str:
-    raw = _found("text", f"(?:{dict(vocab.DATE_FIELDS)[name]}){vocab.DATE_TAIL}")
-    return f"strftime(try_strptime({raw}, '%B %-d, %Y'), '%Y-%m-%d') AS {name}"
+def _of(kind: str, pattern: str) -> str:
+    return f"CASE doc_type WHEN '{kind}' THEN {_found('text', pattern)} END"
 
 
+_MONEY_TAIL = r"[^\d]*(?:\$|Tk\.?\s*)([\d,]+\.?\d*)"
 _TERM = r"(?:term|period)\s+of\s+(\d+)\s+(years?|months?)"
+_ADDRESS = r"(?:located\s+at|property\s+address|premises)[^\n]*?([A-Za-z0-9\s,.-]+(?:Road|Street|Avenue|Building|Centre|Complex)[A-Za-z0-9\s,.-]*)"
 
 
-@query(_CON + "SELECT doc_id, " + ", ".join([_date_sql(n) for n, _ in vocab.DATE_FIELDS] + [f"{_found('text', p)} AS {n}" for n, _, p in vocab.FIELDS])
-       + f", nullif(concat_ws(' ', {_found('text', _TERM)}, {_found('text', _TERM, 2)}), '') AS term_duration FROM con")
+@query(_TYPED_SQL + f"""SELECT doc_id, doc_type, {_date_sql('effective|execution|signing|dated')} AS effective_date, {_date_sql('commencement|start|begin')} AS start_date,
+  {_date_sql('expiration|end|termination')} AS end_date, {_date_sql('closing|settlement')} AS closing_date,
+  {_of('lease', r'(?:monthly\s+)?rent' + _MONEY_TAIL)} AS monthly_rent, {_of('purchase', r'(?:purchase\s+price|sale\s+price)' + _MONEY_TAIL)} AS purchase_price,
+  {_of('construction', r'(?:contract\s+value|project\s+cost)' + _MONEY_TAIL)} AS contract_value, {_of('financing', r'(?:loan\s+amount|principal)' + _MONEY_TAIL)} AS loan_amount,
+  {_of('financing', r'(?:interest\s+rate|rate)[^\d]*([\d.]+)%')} || '%' AS interest_rate, nullif(trim(regexp_extract(text, {_q('(?i)' + _ADDRESS)}, 1), {_WS}), '') AS property_address,
+  {_found('text', r'([\d,]+\.?\d*)\s*(?:sq\.?\s*ft\.?|square\s+feet|sqft)')} AS area_sqft,
+  CASE doc_type WHEN 'lease' THEN nullif(concat_ws(' ', {_found('text', _TERM)}, {_found('text', _TERM, 2)}), '') END AS term_duration FROM typed""")
 def doc_metadata(spark, sf_dir):
-    text = F.col("text")
-    fields = [enrich.dated(text, n).alias(n) for n, _ in vocab.DATE_FIELDS] + [enrich.field(text, n).alias(n) for n, _, _ in vocab.FIELDS]
-    return corpus.contracts(spark, sf_dir).select("doc_id", *fields, enrich.term(text).alias("term_duration"))
+    text, kind = F.col("text"), F.col("doc_type")
+    fields = [enrich.dated(text, n).alias(n) for n, _ in vocab.DATE_FIELDS] + [enrich.field(text, n, kind).alias(n) for n, _, _ in vocab.FIELDS]
+    return _typed(spark, sf_dir).select("doc_id", "doc_type", *fields, enrich.term(text, kind).alias("term_duration"))
 
 
 def _entity_sql(kind: str) -> str:
@@ -291,12 +331,39 @@ def ingest_route(spark, sf_dir):
     return rows.withColumn("collection", enrich.target_collection(F.col("search_type"), F.col("clause_type"))).groupBy("collection", "doc_type").agg(F.count("*").alias("rows"))
 
 
-@query(_TYPED_SQL + f""", e AS (SELECT 'c' || doc_id AS id, text, clause_type, {_entity_sql('amounts')} AS entity_text FROM clause)
-  SELECT 'main' AS collection, id, text FROM e UNION ALL SELECT 'entities', id || '_entities', entity_text FROM e WHERE entity_text <> ''
-  UNION ALL SELECT 'clauses', id || '_clause', 'CLAUSE TYPE: ' || upper(clause_type) || chr(10) || text FROM e WHERE clause_type <> 'general'""")
+_SHOWN = ["companies", "amounts", "legal_refs"]
+_LISTS_SQL = ", ".join(f"{_entity_sql(k)} AS {k}" for k in _SHOWN)
+_COUNT = lambda k: f"(CASE WHEN {k} = '' THEN 0 ELSE len(string_split({k}, '; ')) END)"
+_RICH_SQL = (
+    "concat_ws(chr(10), 'DOCUMENT TYPE: ' || doc_type, 'CLAUSE TYPE: ' || clause_type, 'SECTION: Contract ' || kind, "
+    + ", ".join(f"CASE WHEN {_COUNT(k)} BETWEEN 1 AND 5 THEN '{k.upper()}: ' || replace({k}, '; ', ', ') END" for k in _SHOWN) + ") || chr(10) || chr(10) || 'CONTENT:' || chr(10) || text"
+)
+_ENTITY_TEXT_SQL = "nullif(" + " || ".join(f"CASE WHEN {k} <> '' THEN '{k.upper()}: ' || replace({k}, '; ', ', ') || chr(10) ELSE '' END" for k in _SHOWN) + ", '')"
+
+
+def _rich(spark, sf_dir):
+    rows = _typed(spark, sf_dir).withColumn("header", F.concat(F.lit("Contract "), "kind"))
+    rows = rows.withColumns({k: enrich.entities(F.col("text"), k) for k in _SHOWN})
+    found, none = {k: F.col(k) for k in _SHOWN}, F.lit(None).cast("string")
+    rich = enrich.rich_text(F.col("text"), F.col("header"), F.col("doc_type"), F.col("clause_type"), found, none, none, none)
+    return rows.withColumn("id", F.concat(F.lit("c"), "doc_id")).withColumn("rich", rich).withColumn("entity_text", enrich.entity_text(F.col("text"), found))
+
+
+@query(_TYPED_SQL + f""", l AS (SELECT *, 'c' || doc_id AS id, {_LISTS_SQL} FROM clause), e AS (SELECT *, {_RICH_SQL} AS rich, {_ENTITY_TEXT_SQL} AS listed FROM l)
+  SELECT 'main' AS collection, id, rich AS text, NULL::varchar AS search_type FROM e
+  UNION ALL SELECT 'entities', id || '_entities', 'ENTITIES FOUND:' || chr(10) || listed || chr(10) || 'CONTEXT:' || chr(10) || text, 'entities' FROM e WHERE listed IS NOT NULL
+  UNION ALL SELECT 'clauses', id || '_clause', 'CLAUSE TYPE: ' || clause_type || chr(10) || 'DOCUMENT TYPE: ' || doc_type || chr(10) || 'Contract ' || kind || chr(10) || chr(10) || text, 'clause' FROM e""")
 def ingest_fanout(spark, sf_dir):
-    rows = _typed(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("id"), "text", "clause_type", F.array_join(enrich.entities(F.col("text"), "amounts"), "; ").alias("entity_text"))
-    return enrich.fan_out(rows)
+    return enrich.fan_out(_rich(spark, sf_dir))
+
+
+@query(_TYPED_SQL + f""", p AS (SELECT doc_id, text, clause_type, CASE doc_type WHEN 'lease' THEN {_name_sql('lessor|landlord', _COMPANY_ENDS)} END AS lessor, CASE doc_type WHEN 'lease' THEN {_name_sql('lessee|tenant', _COMPANY_ENDS)} END AS lessee, {_date_sql('effective|execution|signing|dated')} AS d FROM clause)
+  SELECT doc_id, concat_ws(chr(10), 'Contract', text, 'LESSOR: ' || lessor, 'LESSEE: ' || lessee, 'EFFECTIVE DATE: ' || d, 'CLAUSE: ' || clause_type) AS text FROM p""")
+def embedding_text_simple(spark, sf_dir):
+    text, kind = F.col("text"), F.col("doc_type")
+    sides = enrich.parties(text, kind)
+    simple = enrich.simple_text(text, F.lit(" Contract "), sides["lessor"], sides["lessee"], enrich.dated(text, "effective_date"), F.lit(None).cast("string"), F.col("clause_type"))
+    return _typed(spark, sf_dir).select("doc_id", simple.alias("text"))
 
 
 @query("""SELECT id, total, seq FROM (SELECT 'c' || o_custkey AS id, o_totalprice AS total, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nr FROM orders) WHERE nr = 1""")
@@ -318,40 +385,49 @@ def money_dates(spark, sf_dir):
     return rows[0].unionByName(rows[1]).groupBy("what", F.trim("value").alias("value")).agg(F.count("*").alias("n"))
 
 
-_LESSOR, _LESSEE = (_found("text", f"(?:{w})[^\\n]*?{vocab.PARTY_NAME}") for _, w in vocab.PARTY_ROLES["lease"])
+_LESSOR, _LESSEE = _name_sql("lessor|landlord", _COMPANY_ENDS), _name_sql("lessee|tenant", _COMPANY_ENDS)
+_SIDES_SQL = _TYPED_SQL + f""", p AS (SELECT doc_id, {_LESSOR} AS lessor, {_LESSEE} AS lessee FROM typed WHERE doc_type = 'lease'),
+  names AS (SELECT DISTINCT unnest([lessor, regexp_extract(lessor, '(?i)sup[a-z]+ holdings'), lessee]) AS name FROM p) """
+
 
+def _sides(spark, sf_dir):
+    """doc_id, lessor, lessee of leases."""
+    found = enrich.parties(F.col("text"), F.col("doc_type"))
+    return _typed(spark, sf_dir).where("doc_type = 'lease'").select("doc_id", found["lessor"].alias("lessor"), found["lessee"].alias("lessee"))
 
-@query(_CON + f""", p AS (SELECT doc_id, {_LESSOR} AS lessor, {_LESSEE} AS lessee FROM con WHERE kind = 0),
-  names AS (SELECT DISTINCT lessee AS name FROM p WHERE lessee IS NOT NULL),
-  hits AS (SELECT n.name, p.doc_id, CASE WHEN contains(lower(p.lessee), lower(n.name)) THEN 'Lessee' ELSE 'Lessor' END AS role
-    FROM names n JOIN p ON lower(p.lessee) = lower(n.name))
-  SELECT name, arg_max(role, doc_id) AS role, count(*) AS docs FROM hits GROUP BY name""")
+
+@query(_SIDES_SQL + """, h AS (SELECT n.name, p.doc_id, CASE WHEN contains(lower(p.lessee), lower(n.name)) THEN 'Lessee' WHEN contains(lower(p.lessor), lower(n.name)) THEN 'Lessor' END AS role
+    FROM (SELECT * FROM names WHERE length(name) >= 10) n JOIN p ON contains(lower(p.lessee), lower(n.name)) OR contains(lower(p.lessor), lower(n.name)))
+  SELECT name, arg_max(role, doc_id) AS role, count(*) AS docs FROM h GROUP BY name""")
 def company_roles(spark, sf_dir):
-    docs = corpus.contracts(spark, sf_dir).where("kind = 0")
-    roles = dict(vocab.PARTY_ROLES["lease"])
-    p = docs.select("doc_id", enrich.party(F.col("text"), roles["lessor"]).alias("lessor"), enrich.party(F.col("text"), roles["lessee"]).alias("lessee"))
-    names = p.where("lessee is not null").select(F.col("lessee").alias("name")).distinct()
-    hits = names.join(p, F.lower("lessee") == F.lower("name"))
-    role = F.when(F.lower("lessee").contains(F.lower("name")), F.lit("Lessee")).otherwise(F.lit("Lessor"))
-    return hits.groupBy("name").agg(F.max_by(role, "doc_id").alias("role"), F.count("*").alias("docs"))
+    """Names of companies, and of their shorter forms, with the role of the last document whose party holds them."""
+    p = _sides(spark, sf_dir)
+    short = F.regexp_extract("lessor", r"(?i)sup[a-z]+ holdings", 0)
+    names = p.select(F.explode(F.array("lessor", short, "lessee")).alias("name")).where(F.length("name") >= enrich.PROBE).distinct()
+    return enrich.roles(names, p)
 
 
-@query(_CON + f""", e AS (SELECT kind, unnest(regexp_extract_all(text, {_q('(?i)' + vocab.ENTITY_PATTERNS['areas'][0])}, 1)) AS area FROM con)
-  SELECT kind, count(*) AS n_areas, count(DISTINCT trim(area)) AS distinct_areas, min(trim(area)) AS first_area FROM e GROUP BY kind""")
+@query(_SIDES_SQL + """, e AS (SELECT DISTINCT unnest([lessor, lessee]) AS name FROM p),
+  d AS (SELECT name, min(doc_id) AS first_doc, count(*) AS docs FROM (SELECT doc_id, unnest([lessor, lessee]) AS name FROM p) WHERE name IS NOT NULL GROUP BY name)
+  SELECT name, first_doc, docs, (SELECT count(*) FROM d) AS companies FROM d""")
 def entity_rollup(spark, sf_dir):
-    rows = corpus.contracts(spark, sf_dir).select("kind", F.explode(F.regexp_extract_all("text", F.lit("(?i)" + vocab.ENTITY_PATTERNS["areas"][0]), F.lit(1))).alias("area"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n_areas"), F.count_distinct(F.trim("area")).alias("distinct_areas"), F.min(F.trim("area")).alias("first_area"))
+    """Distinct companies over both sides of all leases, and how many there are."""
+    rows = _sides(spark, sf_dir).select("doc_id", F.explode(F.array("lessor", "lessee")).alias("name")).where("name is not null")
+    each = rows.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs"))
+    return each.join(F.broadcast(each.agg(F.count("*").alias("companies"))))
 
 
 # --- Boosts and rerankers: questions over contracts ------------------------------------------------------------------
 
-_BOOSTED = _TYPED_SQL.replace("WITH con", _ASK.strip() + ", con", 1) + """, few AS (SELECT *, 'Section ' || kind AS header, (doc_id % 100) / 150.0::double AS score FROM clause WHERE doc_id % 500 < 5),
+_BOOSTED = _TYPED_SQL.replace("WITH con", _ASK.strip() + ", con", 1) + """, few AS (SELECT *, 'Section ' || kind AS header, (doc_id % 100) / 150.0::double AS score FROM clause),
   j AS (SELECT q.qid, question, lower(question) AS low, few.* FROM q, few) """
 
 
 def _asked(spark, sf_dir):
-    few = _typed(spark, sf_dir).withColumn("header", F.concat(F.lit("Section "), "kind")).withColumn("score", (F.col("doc_id") % 100) / F.lit(150.0))
-    return few.join(F.broadcast(corpus.questions(spark)))
+    """Every question with every contract: a stated set of questions against all rows. Both sides are tokenised before they meet."""
+    rows = _typed(spark, sf_dir).withColumn("header", F.concat(F.lit("Section "), "kind")).withColumn("score", (F.col("doc_id") % 100) / F.lit(150.0))
+    rows = rows.withColumn("held", F.array_union(t.tokens(F.col("text")), t.tokens(F.col("header")))).withColumn("low_text", F.lower("text"))
+    return rows.join(F.broadcast(corpus.questions(spark).withColumn("asked", t.tokens(F.col("question")))))
 
 
 def _tok(column: str) -> str:
@@ -364,7 +440,8 @@ def _tok(column: str) -> str:
   + CASE WHEN {_any('low', vocab.ENTITY_WORDS)} AND kind = 0 THEN 0.07::double ELSE 0 END + CASE WHEN doc_id % 3 = 1 THEN 0.03::double ELSE 0 END), 6) AS score FROM j""")
 def hybrid_boost_rank(spark, sf_dir):
     c = F.col
-    boost = ranking.hybrid_boost(c("question"), c("text"), c("header"), c("clause_type"), c("kind") == 4, c("kind") == 0, c("doc_id") % 3)
+    overlap = F.size(F.array_intersect("asked", "held"))
+    boost = ranking.hybrid_boost(c("question"), c("text"), c("header"), c("clause_type"), c("kind") == 4, c("kind") == 0, c("doc_id") % 3, overlap)
     return _asked(spark, sf_dir).select("qid", "doc_id", ranking.capped(c("score"), boost).alias("score"))
 
 
@@ -384,7 +461,7 @@ def intent_rerank(spark, sf_dir):
 
 @query(_BOOSTED + f"""SELECT qid, round(least(1.0::double, least(count(*) / 10.0::double, 0.3::double) + 0.4::double * least(1.0::double, greatest(0.0::double, avg(score)))
   + CASE WHEN max(contains(low, 'compan')::int) = 1 AND max((kind = 0)::int) = 1 THEN 0.2::double ELSE 0 END
-  + CASE WHEN max(contains(low, 'amount')::int) = 1 AND max((kind = 2)::int) = 1 THEN 0.2::double ELSE 0 END), 6) AS confidence FROM j WHERE doc_id % 1000 < 3 GROUP BY qid""")
+  + CASE WHEN max(contains(low, 'amount')::int) = 1 AND max((kind = 2)::int) = 1 THEN 0.2::double ELSE 0 END), 6) AS confidence FROM j GROUP BY qid""")
 def confidence(spark, sf_dir):
     rows = _asked(spark, sf_dir).withColumn("low", F.lower("question"))
     value = ranking.confidence(F.count("*"), F.avg("score"), F.max(F.col("low").contains("compan")), F.max(F.col("kind") == 0), F.max(F.col("low").contains("amount")), F.max(F.col("kind") == 2))
@@ -492,25 +569,71 @@ def _head_sql(values: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in values) + " END"
 
 
+_ART, _ROM = r"(?i)^ARTICLE\s+(\d+(?:\.\d+)*)[\.:\-\s]*(.*?)\s*$", r"(?i)^([IVX]+)\.?\s+([A-Z][^.]*?)\.?\s*$"
+_SEC = r"(?i)^(?:Section\s+|§\s*)?(\d+(?:\.\d+)*)[)\.\s:-]+(.*?)(?:\.\s*)?$"
+_SUB = r"^[A-Z]\.\s+[A-Z]|^\([a-z]\)\s+[A-Za-z]|^\d+\)\s+[A-Za-z]"
+_group = lambda p, k: f"trim(regexp_extract(line, {_q(p)}, {k}))"
+_dashed = lambda p: f"CASE WHEN {_group(p, 2)} <> '' THEN ' - ' || {_group(p, 2)} ELSE '' END"
+_LIKELY = (
+    "length(line) <= 120 AND length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 3 AND (ends_with(line, ':') OR (ends_with(line, '.') AND length(line) < 80)"
+    r" OR regexp_matches(line, '^[A-Z][A-Z\s]{5,}$') OR regexp_matches(line, '^[A-Z][a-z]+(?:\s+[A-Z][a-z]*)*\s*$'))"
+    r" AND length(line) > 10 AND length(line) < 80 AND NOT regexp_matches(substr(line, 1, 5), '\d')"
+)
 _RULES = [
-    (f"regexp_matches(line, {_q(vocab.ARTICLE)})", "'article'", f"'ARTICLE ' || regexp_extract(line, {_q(vocab.ARTICLE)}, 1) || ' - ' || regexp_extract(line, {_q(vocab.ARTICLE)}, 2)"),
-    (f"regexp_matches(line, {_q(vocab.ROMAN)})", "'section'", f"regexp_extract(line, {_q(vocab.ROMAN)}, 1) || ' - ' || regexp_extract(line, {_q(vocab.ROMAN)}, 2)"),
-    (f"regexp_matches(line, {_q(vocab.SECTION)}) AND length(line) < 150", "'section'", f"'Section ' || regexp_extract(line, {_q(vocab.SECTION)}, 1) || ' - ' || regexp_extract(line, {_q(vocab.SECTION)}, 2)"),
-    (f"regexp_matches(line, {_q(vocab.SUBSECTION)}) AND length(line) < 100", "'subsection'", "line"),
-    (f"regexp_matches(line, {_q(vocab.ALL_CAPS)}) AND NOT regexp_matches(line, '\\d')", "'section'", "line"),
-    (f"regexp_matches(line, {_q(vocab.TITLE)})", "'section'", "regexp_replace(line, '[:.]+$', '')"),
+    (f"regexp_matches(line, {_q(_ART)})", "'article'", f"'ARTICLE ' || {_group(_ART, 1)} || {_dashed(_ART)}"),
+    (f"regexp_matches(line, {_q(_ROM)})", "'section'", f"{_group(_ROM, 1)} || ' - ' || {_group(_ROM, 2)}"),
+    (f"regexp_matches(line, {_q(_SEC)}) AND length(line) < 150", "'section'", f"'Section ' || {_group(_SEC, 1)} || {_dashed(_SEC)}"),
+    (f"regexp_matches(line, {_q(_SUB)}) AND length(line) < 100", "'subsection'", "line"),
+    (r"regexp_matches(line, '^[A-Z][A-Z\s,&]{10,80}\.?\s*$') AND NOT regexp_matches(line, '\d')", "'section'", "line"),
+    (r"regexp_matches(line, '^[A-Z][a-z]+(?:\s+[A-Z][a-z]*)*\s*[:\.]\s*$')", "'section'", "rtrim(line, ':.')"),
+    (_LIKELY, "'section'", "rtrim(line, ':.')"),
 ]
 
 
-@query(_LINES + f""", l AS (SELECT doc_id, page_no, text AS raw, trim(text) AS line FROM pages),
-  h AS (SELECT *, {_head_sql([(r[0], r[1]) for r in _RULES])} AS kind, {_head_sql([(r[0], r[2]) for r in _RULES])} AS header FROM l),
+@query(_LINES + f""", l AS (SELECT doc_id, page_no, text AS raw, trim(text, {_WS}) AS line FROM pages),
+  h AS (SELECT *, {_head_sql([(r[0], r[1]) for r in _RULES])} AS kind, {_head_sql([(r[0], r[2]) for r in _RULES])} AS header,
+    coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
   s AS (SELECT *, sum(CASE WHEN kind IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no)::bigint AS section_no FROM h),
-  g AS (SELECT doc_id, section_no, coalesce(max(kind), 'preamble') AS type, coalesce(max(header), 'DOCUMENT_START') AS header, string_agg(raw, chr(10) ORDER BY page_no) AS text FROM s GROUP BY 1, 2)
-  SELECT *, len(regexp_extract_all(text, '\\S+'))::bigint AS word_count FROM g WHERE len(regexp_extract_all(text, '\\S+')) >= 4""")
+  g AS (SELECT doc_id, section_no, coalesce(max(kind), 'preamble') AS type, coalesce(max(header), 'DOCUMENT_START') AS header, trim(string_agg(raw, chr(10) ORDER BY page_no), {_WS}) AS text,
+    min(off)::bigint AS start, max(off + length(raw))::bigint AS last FROM s GROUP BY 1, 2),
+  n AS (SELECT * EXCLUDE (last), coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY section_no), last)::bigint AS "end" FROM g)
+  SELECT *, len(regexp_extract_all(text, '\\S+'))::bigint AS word_count FROM n WHERE len(regexp_extract_all(text, '\\S+')) >= 4""")
 def sections(spark, sf_dir):
     return chunking.sections(corpus.contracts(spark, sf_dir).select("doc_id", "text"))
 
 
+_TOC_SQL = """SELECT o_orderkey AS doc_id, 'Contents' || chr(10) || '1. Rent and ' || o_orderpriority || ' ..... ' || (o_orderkey % 90) || chr(10) || chr(10) || '2. Term ..... 14' || chr(10) || chr(10)
+  || 'ARTICLE 3 - Use of  Premises....' || (o_orderkey % 7) || chr(10) || chr(10) || '2. TERM ..... 99' || chr(10) || chr(10) || 'Notices and Claims ..... 33' || chr(10) || chr(10)
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'Exhibit "A-1" - Site Plan' ELSE '4 Repairs....5' END || chr(10) AS text FROM {orders}"""
+
+
+def _toc_pages(spark, sf_dir):
+    return spark.sql(_TOC_SQL.replace("||", "||"), orders=corpus.table(spark, sf_dir, "orders"))
+
+
+def _toc_rows(k: int, pattern: str, number: int, title: int, page: int) -> str:
+    one = lambda g: f"unnest(regexp_extract_all(text, {_q(pattern)}, {g}))" if g else "''"
+    return f"SELECT doc_id, {k} AS k, generate_subscripts(regexp_extract_all(text, {_q(pattern)}), 1) AS pos, {one(number)} AS number, {one(title)} AS title, {one(page)} AS page, unnest(regexp_extract_all(text, {_q(pattern)})) AS raw FROM toc"
+
+
+_TOC = [
+    _toc_rows(0, r"(?im)^\s*(\d+(?:\.\d+)*)\.\s+([^.]+?)\.{2,}\s*(\d+)\s$", 1, 2, 3),
+    _toc_rows(1, r"(?im)^\s*(\d+(?:\.\d+)*)\s+([^.]+?)\.{2,}\s*(\d+)\s$", 1, 2, 3),
+    _toc_rows(2, r"(?im)^\s*([A-Z][^.]+?)\.{3,}\s*(\d+)\s$", 0, 1, 2),
+    _toc_rows(3, r"(?im)^\s*(?:ARTICLE\s+)?(\d+(?:\.\d+)*)[\.:\-\s]*([^\.]+)\.{2,}(\d+)\s$", 1, 2, 3),
+    _toc_rows(4, r'(?im)^\s*Exhibit\s+"?([A-Z0-9\-]+)"?\s*[-\s]*([^.]+?)\s*$', 1, 2, 0),
+]
+
+
+@query("WITH toc AS (" + _TOC_SQL.replace("{orders}", "orders") + "), f AS (" + " UNION ALL ".join(_TOC) + f"""),
+  c AS (SELECT doc_id, k, pos, trim(number, {_WS}) AS number, trim(regexp_replace(trim(title, {_WS}), '\\s+', ' ', 'g'), '.-') AS title, coalesce(try_cast(nullif(page, '') AS int), 0) AS page,
+    CASE WHEN contains(lower(raw), 'exhibit') THEN 'exhibit' WHEN contains(lower(raw), 'article') THEN 'article' ELSE 'section' END AS type FROM f),
+  u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(title), number ORDER BY k, pos) AS nth FROM c WHERE title <> '')
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, number, k, pos) AS n, number, title, page, type FROM u WHERE nth = 1""")
+def toc_entries(spark, sf_dir):
+    return chunking.toc_entries(_toc_pages(spark, sf_dir))
+
+
 @query(_CON + """, w AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 100)) AS s FROM con)
   SELECT doc_id, round(sum(length(replace(substr(text, s + 1, 90), chr(12), ''))) / max(length(replace(text, chr(12), '')))::double, 6) AS coverage,
     sum(length(replace(substr(text, s + 1, 90), chr(12), ''))) / max(length(replace(text, chr(12), '')))::double < 0.95 AS loss FROM w GROUP BY doc_id""")
@@ -522,28 +645,35 @@ def coverage(spark, sf_dir):
     return windows.join(sizes, "doc_id").groupBy("doc_id").agg(F.round(share, 6).alias("coverage"), (share < 0.95).alias("loss"))
 
 
-_RANGES = "SELECT l_orderkey AS doc_id, l_partkey % 5000 AS start, l_partkey % 5000 + cast(l_quantity * 20 AS bigint) AS \"end\", 6000::bigint AS size FROM lineitem"
+_RANGES = "SELECT l_orderkey AS doc_id, l_partkey % 400 AS start, l_partkey % 400 + cast(l_quantity AS bigint) - 5 AS \"end\" FROM lineitem"
 
 
-@query(f"""WITH r AS ({_RANGES}), i AS (SELECT doc_id, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start, start AS gap_end FROM r
-  UNION ALL SELECT doc_id, max("end"), max(size) FROM r GROUP BY doc_id) SELECT * FROM i WHERE gap_end - gap_start > 20""")
+@query(_CON + f""", r AS (SELECT * FROM ({_RANGES}) WHERE start < "end"), b AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r),
+  i AS (SELECT doc_id, coalesce(seen, 0) AS gap_start, start AS gap_end, CASE WHEN seen IS NULL THEN 'leading' ELSE 'between' END AS gap_type FROM b
+    UNION ALL SELECT r.doc_id, max("end"), max(length(text)), 'trailing' FROM r JOIN con USING (doc_id) GROUP BY 1),
+  g AS (SELECT doc_id, gap_start::bigint AS gap_start, gap_end::bigint AS gap_end, gap_type, trim(substr(con.text, gap_start + 1, gap_end - gap_start), {_WS}) AS text FROM i JOIN con USING (doc_id) WHERE gap_start < gap_end)
+  SELECT * FROM g WHERE length(text) > 20""")
 def content_gaps(spark, sf_dir):
-    start = F.col("l_partkey") % 5000
-    rows = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + (F.col("l_quantity") * 20).cast("bigint")).alias("end"), F.lit(6000).cast("bigint").alias("size"))
-    return chunking.gaps(rows)
+    start = F.col("l_partkey") % 400
+    ranges = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_quantity").cast("bigint") - 5).alias("end"))
+    return chunking.gaps(ranges, corpus.contracts(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS pos, CASE WHEN l_returnflag = 'A' THEN 'critical' ELSE 'section' END AS type, cast(l_quantity AS bigint) AS n FROM lineitem),
-  p AS (SELECT *, lead(n) OVER w AS n2, lead(type) OVER w AS t2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-  m AS (SELECT *, coalesce(n < 30 AND type = t2 AND type <> 'critical' AND n + n2 < 120, false) AS may FROM p),
+@query("""WITH c AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS pos, cast(l_quantity AS bigint) AS n,
+    CASE l_partkey % 7 WHEN 0 THEN 'preamble' WHEN 1 THEN 'article' WHEN 2 THEN 'section' WHEN 3 THEN 'subsection' WHEN 4 THEN 'gap_between' WHEN 5 THEN 'critical_exhibit' ELSE 'section' END AS type, 'H' || l_partkey AS header FROM lineitem),
+  p AS (SELECT *, lead(n) OVER w AS n2, lead(type) OVER w AS t2, lead(header) OVER w AS h2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  m AS (SELECT *, coalesce(n < 30 AND n + n2 < 120 AND NOT regexp_matches(type, '^(critical|gap)') AND NOT regexp_matches(t2, '^(critical|gap)') AND (type = t2 OR (type = 'preamble' AND t2 = 'section')
+    OR (type = 'article' AND t2 IN ('section', 'subsection')) OR (type = 'section' AND t2 = 'subsection')), false) AS may FROM p),
   r AS (SELECT *, pos - sum(may::int) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m),
   o AS (SELECT *, may AND row_number() OVER (PARTITION BY doc_id, run, may ORDER BY pos) % 2 = 1 AS joins FROM r),
   k AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY pos), false) AS taken FROM o)
-  SELECT doc_id, pos AS first, (pos + joins::int)::bigint AS last, n + CASE WHEN joins THEN n2 ELSE 0 END AS word_count FROM k WHERE NOT taken""")
+  SELECT doc_id, pos AS first, (pos + joins::int)::bigint AS last, type, n + CASE WHEN joins THEN n2 ELSE 0 END AS word_count, header || CASE WHEN joins THEN ' & ' || h2 ELSE '' END AS header FROM k WHERE NOT taken""")
 def merge_small(spark, sf_dir):
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")).cast("bigint")
-    kind = F.when(F.col("l_returnflag") == "A", F.lit("critical")).otherwise(F.lit("section"))
-    return chunking.merge_small(corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), pos.alias("pos"), kind.alias("type"), F.col("l_quantity").cast("bigint").alias("word_count")))
+    kinds = ["preamble", "article", "section", "subsection", "gap_between", "critical_exhibit", "section"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    rows = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), pos.alias("pos"), kind.alias("type"), F.col("l_quantity").cast("bigint").alias("word_count"), F.concat(F.lit("H"), "l_partkey").alias("header"))
+    return chunking.merge_small(rows)
 
 
 @query("""SELECT doc_id, start, substr(text, start + 1, 1200) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS start FROM documents) WHERE trim(substr(text, start + 1, 1200)) <> ''""")
@@ -604,12 +734,18 @@ _NAMES = ["ex10-1.htm", "EX_10.pdf", "ex-101.xsd", "form10k.htm", "ex 10.txt", "
 def exhibit10_filter(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 6 + 1).cast("int"))
     rows = corpus.table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    return rows.where(F.lower("name").rlike(r"\.(htm|html|txt|pdf)$") & F.lower("name").rlike("ex[-_ ]?10|ex10"))
+    return rows.where(corpus.is_exhibit10(F.col("name")))
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events WHERE ts::date BETWEEN DATE '1900-01-01' AND DATE '2100-12-31' GROUP BY event_type")
+@query("""WITH e AS (SELECT min(ts)::date AS a, max(ts)::date AS b FROM events), d AS (SELECT a + ((b - a) // 4)::int AS since, b - ((b - a) // 4)::int AS until FROM e)
+  SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events, d WHERE ts::date BETWEEN since AND until GROUP BY event_type""")
 def date_range_filter(spark, sf_dir):
-    rows = corpus.table(spark, sf_dir, "events").where(F.to_date("ts").between("1900-01-01", "2100-12-31"))
+    """Events of the middle half of the time that the table spans, both days included."""
+    events = corpus.table(spark, sf_dir, "events")
+    first, last = F.min(F.to_date("ts")), F.max(F.to_date("ts"))
+    quarter = F.floor(F.datediff(last, first) / 4).cast("int")
+    ends = events.agg(F.date_add(first, quarter).alias("since"), F.date_sub(last, quarter).alias("until"))
+    rows = events.join(F.broadcast(ends), F.to_date("ts").between(F.col("since"), F.col("until")))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -618,3 +754,6 @@ def date_range_filter(spark, sf_dir):
        + " * CASE WHEN len(regexp_extract_all(text, '\\S+')) < 20 THEN 0.9::double ELSE 1.0::double END + 0.1::double * len(regexp_extract_all(text, '\\[[\\w\\s\\.-]+\\s+p\\.\\d+[-\\d]*\\]'))), 2) AS confidence FROM conversations")
 def answer_confidence(spark, sf_dir):
     return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", ranking.answer_confidence(F.col("text")).alias("confidence"))
+
+
+from . import more, searches  # noqa: E402, F401  they register their queries
