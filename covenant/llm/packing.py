@@ -4,6 +4,8 @@ Documents longer than a sequence are cut; every piece then has a length of at mo
 ``capacity``. How many pieces there are of each length is a table of at most
 ``capacity`` rows whatever the corpus, so the branch-and-bound runs on these counts:
 it gives patterns (how many pieces of which lengths fill a sequence, and how often).
+Bin packing has no quick exact way, so the search stops after MAX_NODES nodes with the best
+packing so far; gap() says how many sequences it may be from the best one, and pack() logs it.
 Pieces are numbered within their length on Spark and look up their place in the
 patterns. Null and empty texts give one piece: the closing id alone. Repeated rows
 are packed each on their own; an empty table gives an empty result. Only doc_id and
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import logging
 import os
 import re
 import struct
@@ -21,6 +24,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,15 @@ from pyspark.sql import functions as F
 
 from ._common import sliced, written
 
+log = logging.getLogger(__name__)
+
 CAPACITY = 2048
 #: Search nodes of the branch-and-bound before the best packing so far is taken.
 MAX_NODES = 4_000
-#: Undominated fillings that a node looks at, fullest first.
-MAX_FILLINGS = 8
+#: Undominated fillings of a node that are put in order, fullest first, before the next ones are looked for.
+SORTED_FILLINGS = 8
+#: Steps of a node's enumeration at most.
+STEPS = 200
 #: Distinct words whose ids a task remembers.
 CACHED_TOKENS = 250_000
 #: Pieces that are numbered together in one group, on average.
@@ -76,7 +84,10 @@ class Encoder:
         steps = json.loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
         before = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
-        known = normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and not before[1]["add_prefix_space"]
+        spaces = [x for x in (steps["normalizer"] or {}).get("normalizers", []) if x["type"] == "Replace"]
+        # what is replaced must be white space by a space, which the parts between white space can't hold
+        only_space = all(x["content"] == " " and x["pattern"] == {"Regex": "\\s+"} for x in spaces)
+        known = only_space and normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and not before[1]["add_prefix_space"]
         self.pattern = regex.compile(before[0]["pattern"]["Regex"]) if known else None
 
     def _ids(self, text: str) -> bytes:
@@ -166,56 +177,52 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return patterns
 
 
-def fillings(left: dict[int, int], capacity: int = CAPACITY, most: int = MAX_FILLINGS, width: int = 4) -> list[dict[int, int]]:
-    """Undominated ways to complete a sequence around the longest piece, fullest first.
+def fillings(left: dict[int, int], lengths: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> Iterator[dict[int, int]]:
+    """Undominated ways to complete a sequence around the longest piece, as they are asked for.
 
-    A filling dominates another if the other's pieces can be put into its pieces'
-    places. A perfect fill by one piece dominates every other; otherwise a filling
-    is left out if swapping one of its pieces for a longer one at hand still fits.
+    lengths: those of left, rising. A filling dominates another if the other's pieces can be
+    put into its pieces' places. A perfect fill by one piece dominates every other; otherwise
+    a filling is left out if another piece still fits, or a longer one in place of one of its own.
     """
-    lengths = sorted(left, reverse=True)
-    first, room = lengths[0], capacity - lengths[0]
-    have = dict(left)
-    have[first] -= 1
-    if room == 0 or not any(v and k <= room for k, v in have.items()):
-        return [{first: 1}]
-    if have.get(room, 0):
-        out = {first: 1}
-        out[room] = out.get(room, 0) + 1
-        return [out]
-    small = [k for k in lengths if k <= room and have[k]]
-    rising = small[::-1]
-    found: list[tuple[int, tuple[int, ...]]] = []
-
-    def extend(space: int, at: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= 4 * most:
-            return
-        tried = 0
-        while at < len(small) and small[at] > space:
-            at += 1
-        for k in range(at, len(small)):
-            length = small[k]
-            if chosen.count(length) >= have[length]:
-                continue
-            extend(space - length, k, (*chosen, length))
-            tried += 1
-            if tried == width:
+    first, room = lengths[-1], capacity - lengths[-1]
+    have = lambda k: left[k] - (k == first)
+    if room == 0:
+        yield {first: 1}
+        return
+    if left.get(room, 0) and have(room):
+        yield {first: 2} if room == first else {first: 1, room: 1}
+        return
+    spent = 0
+
+    def extend(space: int, below: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[int, tuple]]:
+        nonlocal spent
+        for k in range(min(below, bisect.bisect_right(lengths, space)) - 1, -1, -1):
+            spent += 1
+            if spent > steps:
+                return
+            length = lengths[k]
+            for n in range(min(have(length), space // length), 0, -1):
+                yield from extend(space - n * length, k, (*chosen, (length, n)))
+        used = dict(chosen)
+        free = lambda k: have(k) - used.get(k, 0)
+        for k in lengths:
+            if k > space:
+                break
+            if free(k):
                 return
-        if not tried:
-            for x in set(chosen):
-                up = bisect.bisect_right(rising, x)
-                if up < len(rising) and rising[up] - x <= space and chosen.count(rising[up]) < have[rising[up]]:
-                    return
-            found.append((space, chosen))
-
-    extend(room, 0, ())
-    out = []
-    for _, chosen in sorted(set(found))[:most]:
-        filling = {first: 1}
-        for x in chosen:
-            filling[x] = filling.get(x, 0) + 1
-        out.append(filling)
-    return out
+        for x in used:
+            up = bisect.bisect_right(lengths, x)
+            if up < len(lengths) and lengths[up] - x <= space and free(lengths[up]):
+                return
+        yield space, chosen
+
+    found = extend(room, len(lengths), ())
+    while some := list(islice(found, SORTED_FILLINGS)):
+        for _, chosen in sorted(some):
+            filling = {first: 1}
+            for length, n in chosen:
+                filling[length] = filling.get(length, 0) + n
+            yield filling
 
 
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
@@ -224,41 +231,67 @@ def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
     return max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
 
 
+def gap(counts: dict[int, int], patterns: list[tuple[int, dict[int, int]]], capacity: int = CAPACITY) -> int:
+    """Sequences of a packing beyond the lower bound: how far it may be from the best at most."""
+    return sum(t for t, _ in patterns) - lower_bound(counts, capacity)
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[int, dict[int, int]]]:
     """Patterns with as few sequences as the search finds; best-fit is the incumbent.
 
     Depth first: the longest remaining piece is completed by each undominated filling,
-    applied as often as the counts allow. A branch is pruned once its waste exceeds
-    what a packing better than the incumbent can afford.
+    applied as often as the counts allow, then once. A branch is pruned once its waste
+    exceeds what a packing better than the incumbent can afford. Counts are changed on
+    the way down and set back on the way up.
     """
-    counts = {int(k): int(v) for k, v in counts.items() if v}
-    best = best_fit(counts, capacity)
-    used = sum(t for t, _ in best)
-    least = lower_bound(counts, capacity)
-    total = sum(k * v for k, v in counts.items())
-    nodes = 0
-    stack: list[tuple[dict[int, int], list, int, int]] = [(counts, [], 0, 0)]
-    while stack and used > least and nodes < max_nodes:
-        left, chosen, bins, waste = stack.pop()
-        nodes += 1
-        if not left:
-            if bins < used:
-                best, used = chosen, bins
+    left = {int(k): int(v) for k, v in counts.items() if v}
+    best = best_fit(left, capacity)
+    used, least = sum(t for t, _ in best), lower_bound(left, capacity)
+    lengths = sorted(left)
+    total, big = sum(k * v for k, v in left.items()), sum(v for k, v in left.items() if 2 * k > capacity)
+    path: list[tuple[int, dict[int, int]]] = []
+    bins = nodes = 0
+
+    def put(times: int, filling: dict[int, int]) -> None:
+        nonlocal total, big, bins
+        bins += times
+        for k, v in filling.items():
+            before = left.get(k, 0)
+            now = left[k] = before - times * v
+            total -= k * times * v
+            big -= times * v if 2 * k > capacity else 0
+            if not now:
+                del left[k]
+                del lengths[bisect.bisect_left(lengths, k)]
+            elif not before:
+                bisect.insort(lengths, k)
+
+    def choices() -> Iterator[tuple[int, dict[int, int]]]:
+        for filling in fillings(left, lengths, capacity):
+            most = min(left[k] // v for k, v in filling.items())
+            yield most, filling
+            if most > 1:
+                yield 1, filling
+
+    frames = [choices()] if left else []
+    while frames and used > least and nodes < max_nodes:
+        choice = next(frames[-1], None)
+        if choice is None:
+            frames.pop()
+            if path:
+                times, filling = path.pop()
+                put(-times, filling)
             continue
-        if waste > (used - 1) * capacity - total:
+        nodes += 1
+        put(*choice)
+        path.append(choice)
+        if bins + max(-(-total // capacity), big) < used and left:
+            frames.append(choices())
             continue
-        choices = []
-        for filling in fillings(left, capacity):
-            times = min(left[k] // v for k, v in filling.items())
-            rest = dict(left)
-            for k, v in filling.items():
-                rest[k] -= v * times
-                if not rest[k]:
-                    del rest[k]
-            lost = waste + times * (capacity - sum(k * v for k, v in filling.items()))
-            if bins + times + lower_bound(rest, capacity) < used:
-                choices.append((rest, [*chosen, (times, filling)], bins + times, lost))
-        stack += choices[::-1]
+        if not left and bins < used:
+            best, used = list(path), bins
+        times, filling = path.pop()
+        put(-times, filling)
     return best
 
 
@@ -286,7 +319,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """
     cut = written(pieces(docs, tokenizer, capacity), "pieces")
     counts = {row.length: row["count"] for row in cut.groupBy("length").count().collect()}
-    plan = _plan(bin_completion(counts, capacity))
+    patterns = bin_completion(counts, capacity)
+    log.info("%d pieces in %d sequences, %d more than the lower bound", sum(counts.values()), sum(t for t, _ in patterns), gap(counts, patterns, capacity))
+    plan = _plan(patterns)
     groups = max(8, -(-sum(counts.values()) // GROUP_ROWS))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(groups)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
