@@ -1,8 +1,11 @@
 """Media columns: AVI motion-JPEG files, their frames, and shots.
 
 An AVI file is a RIFF tree: a header list, a ``movi`` list of chunks, and an ``idx1``
-index of where each chunk starts. Frames are baseline JPEG images (one component,
-Huffman coded), decoded without any other frame. All scans of a batch are decoded
+index of where each chunk starts (an OpenDML index is not read: without ``idx1`` all
+chunks of ``movi`` are frames). Frames are baseline JPEG images, decoded without any
+other frame: grey ones, and colour ones in one scan, of which all components are decoded
+and the brightness is kept. Frames without Huffman tables, as is usual in AVI, have the
+standard ones. All scans of a batch are decoded
 together: each restart interval is a stream of its own, and one numpy step decodes
 the next symbol of every stream.
 
@@ -46,6 +49,29 @@ DC_BITS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 AC_BITS, AC_SYMBOLS = (1, *[0] * 15), (0,)
 
 
+# The standard Huffman tables (code lengths, symbols) of frames that bring none, by class and number.
+STANDARD_TABLES = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), bytes(range(12))),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), bytes(range(12))),
+    0x10: (
+        (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+        bytes.fromhex(
+            "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a"
+            "535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9ba"
+            "c2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+    0x11: (
+        (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+        bytes.fromhex(
+            "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a"
+            "535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9ba"
+            "c2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+}
+
+
 @cache
 def zigzag() -> np.ndarray:
     """Place in the block of the k-th stored coefficient: along anti-diagonals, turning at each."""
@@ -226,9 +252,13 @@ def _tables(bits: bytes, symbols: bytes) -> np.ndarray:
 
 
 def parse_jpeg(data: bytes) -> dict | None:
-    """Size, tables and scan of a one-component baseline image; None if it is something else."""
-    out = {"restart": 0, "huffman": {}, "quant": np.ones(64, np.int64)}
-    quants, at = {}, 2
+    """Size, components, tables and scan of a baseline image with one scan; None if it is something else.
+
+    pattern has the component of each block of a unit, in order; grid the units across and down.
+    """
+    out = {"restart": 0, "huffman": {}, "quants": {}}
+    frame: list[tuple[int, int, int]] = []
+    at = 2
     if data[:2] != b"\xff\xd8":
         return None
     while at + 4 <= len(data) and data[at] == 0xFF:
@@ -236,12 +266,13 @@ def parse_jpeg(data: bytes) -> dict | None:
         body = data[at + 4 : at + 2 + size]
         if marker == 0xDB:
             while len(body) >= 65 and body[0] < 16:
-                quants[body[0] & 15], body = np.frombuffer(body[1:65], np.uint8).astype(np.int64), body[65:]
+                out["quants"][body[0] & 15], body = np.frombuffer(body[1:65], np.uint8).astype(np.int64), body[65:]
         elif marker == 0xC0:
             _, out["height"], out["width"], n = struct.unpack_from(">BHHB", body)
-            if n != 1:
+            parts = [body[6 + 3 * k : 9 + 3 * k] for k in range(n)]
+            if not out["height"] or not out["width"] or any(len(p) < 3 or not p[1] & 15 or not p[1] >> 4 for p in parts):
                 return None
-            out["table"] = body[8]
+            frame = [(p[0], p[1], p[2]) for p in parts]
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             return None
         elif marker == 0xC4:
@@ -252,21 +283,38 @@ def parse_jpeg(data: bytes) -> dict | None:
         elif marker == 0xDD:
             out["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            out["dc"], out["ac"] = body[2] >> 4, 16 + (body[2] & 15)
-            out["scan"] = data[at + 2 + size :].removesuffix(b"\xff\xd9")
-            out["quant"] = quants.get(out.get("table", 0), out["quant"])
-            return out if "width" in out and {out["dc"], out["ac"]} <= set(out["huffman"]) else None
+            return _with_scan(out, frame, body, data[at + 2 + size :].removesuffix(b"\xff\xd9"))
         at += 2 + size
     return None
 
 
+def _with_scan(out: dict, frame: list[tuple[int, int, int]], header: bytes, scan: bytes) -> dict | None:
+    chosen = [(header[1 + 2 * k], header[2 + 2 * k]) for k in range(header[0])] if header and len(header) > 2 * header[0] else []
+    if not frame or [name for name, _ in chosen] != [name for name, _, _ in frame]:
+        return None  # components in scans of their own
+    one = len(frame) == 1
+    across, down = (1, 1) if one else (max(f >> 4 for _, f, _ in frame), max(f & 15 for _, f, _ in frame))
+    out["sampling"] = (1, 1) if one else (frame[0][1] >> 4, frame[0][1] & 15)
+    if out["sampling"] != (across, down):
+        return None  # brightness is coarser than colour
+    out["pattern"] = (0,) if one else tuple(k for k, (_, f, _) in enumerate(frame) for _ in range((f >> 4) * (f & 15)))
+    out["grid"] = -(-out["width"] // (8 * across)), -(-out["height"] // (8 * down))
+    huffman = out["huffman"] or {k: _tables(bytes(bits), symbols) for k, (bits, symbols) in STANDARD_TABLES.items()}
+    out["tables"] = [huffman.get(key) for _, t in chosen for key in (t >> 4, 16 + (t & 15))]
+    out["quant"] = out["quants"].get(frame[0][2], np.ones(64, np.int64))
+    out["scan"] = scan
+    return None if any(t is None for t in out["tables"]) else out
+
+
 def decode(images: list[dict], kept: int = 64) -> list[np.ndarray]:
-    """The first kept dequantised coefficients (blocks x kept, in stored order) of each parsed image.
+    """The first kept dequantised coefficients (blocks x kept, in stored order) of each parsed image's first component.
 
-    All images must share their Huffman tables; decode_all() groups them so.
+    All images must share their Huffman tables and pattern; decode_all() groups them so.
     """
-    sizes = np.array([-(-i["width"] // 8) * -(-i["height"] // 8) for i in images])
-    each = np.array([i["restart"] for i in images])
+    pattern = np.array(images[0]["pattern"])
+    parts = int(pattern.max()) + 1
+    sizes = np.array([i["grid"][0] * i["grid"][1] * len(pattern) for i in images])
+    each = np.array([i["restart"] * len(pattern) for i in images])
     each = np.where(each, each, sizes)
     raw = np.frombuffer(b"".join(i["scan"] for i in images) + b"\xff" * 8, np.uint8)
     begins = np.cumsum([0, *(len(i["scan"]) for i in images)])
@@ -287,23 +335,24 @@ def decode(images: list[dict], kept: int = 64) -> list[np.ndarray]:
     ahead[: len(line) - 3] = (line[:-3] << 24) | (line[1:-2] << 16) | (line[2:-1] << 8) | line[3:]
     bit = 8 * (np.cumsum(keep)[starts] - keep[starts])
     ends = np.append(bit[1:], 8 * (len(line) - 8))
-    place, level = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    dc_table, ac_table = images[0]["huffman"][images[0]["dc"]], images[0]["huffman"][images[0]["ac"]]
-    both, whole = np.concatenate([dc_table, ac_table]), short_blocks(dc_table, ac_table)
+    place, levels = np.zeros(len(starts), np.int64), np.zeros((len(starts), parts), np.int64)
+    all_tables = np.concatenate(images[0]["tables"])
+    turn = block - (np.cumsum(sizes) - sizes)[image]
 
     def peek(at: np.ndarray, count: int) -> np.ndarray:
         return (ahead[at >> 3] >> (32 - count - (at & 7))) & ((1 << count) - 1)
 
     # A step decodes a whole block where its DC value and the end of block fit into 16 bits; streams that meet
     # another block leave this loop and go on symbol by symbol below.
-    alive = np.flatnonzero(left > 0)
-    b, at, last, value, end = bit[alive], block[alive], (block + left)[alive], level[alive], ends[alive]
+    alive = np.flatnonzero(left > 0) if parts == 1 else np.empty(0, np.int64)
+    whole = short_blocks(*images[0]["tables"]) if len(alive) else None
+    b, at, last, value, end = bit[alive], block[alive], (block + left)[alive], levels[alive, 0], ends[alive]
     while len(alive):
         found = whole[peek(b, 16)]
         ok = (found > 0) & (at < last) & (b <= end)
         if not ok.all():
             stop = alive[~ok]
-            bit[stop], left[stop], block[stop], level[stop] = b[~ok], (last - at)[~ok], at[~ok], value[~ok]
+            bit[stop], left[stop], block[stop], levels[stop, 0] = b[~ok], (last - at)[~ok], at[~ok], value[~ok]
             alive, b, at, last, value, end, found = alive[ok], b[ok], at[ok], last[ok], value[ok], end[ok], found[ok]
         value = value + (found & 0xFFFF) - 0x8000
         out[at, 0] = value
@@ -312,7 +361,8 @@ def decode(images: list[dict], kept: int = 64) -> list[np.ndarray]:
     alive = np.flatnonzero((left > 0) & (bit <= ends))
     while len(alive):
         b, p = bit[alive], place[alive]
-        found = both[peek(b, 16) + 65536 * (p > 0)]
+        part = pattern[turn[alive] % len(pattern)]
+        found = all_tables[peek(b, 16) + 65536 * (2 * part + (p > 0))]
         length, symbol = found >> 8, found & 255
         dc = p == 0
         run, size = np.where(dc, 0, symbol >> 4), np.where(dc, symbol, symbol & 15)
@@ -320,27 +370,38 @@ def decode(images: list[dict], kept: int = 64) -> list[np.ndarray]:
         extra = peek(b, 16) >> (16 - size)
         value = np.where((size > 0) & (extra < (1 << np.maximum(size - 1, 0))), extra - (1 << size) + 1, extra)
         b = b + size
-        level[alive] += np.where(dc, value, 0)
+        levels[alive, part] += np.where(dc, value, 0)
         p = p + run
         put = (dc | (size > 0)) & (p < kept)
-        out[block[alive][put], p[put]] = np.where(dc, level[alive], value)[put]
+        out[block[alive][put], p[put]] = np.where(dc, levels[alive, part], value)[put]
         # symbol 0 ends a block, 0xF0 skips 16
         p = np.where(~dc & (size == 0) & (run < 15), 64, p + 1)
         done = p >= 64
         bit[alive], place[alive] = b, np.where(done, 0, p)
         block[alive] += done
+        turn[alive] += done
         left[alive] -= done
         alive = alive[(left[alive] > 0) & (length > 0) & (b <= ends[alive])]
-    return [part * x["quant"][:kept] for part, x in zip(np.split(out, np.cumsum(sizes)[:-1]), images, strict=True)]
+    return [_raster(own, x) * x["quant"][:kept] for own, x in zip(np.split(out, np.cumsum(sizes)[:-1]), images, strict=True)]
+
+
+def _raster(blocks: np.ndarray, image: dict) -> np.ndarray:
+    """The first component's blocks, row by row, of an image's blocks in the order of its units; those beyond its edges go."""
+    if len(image["pattern"]) == 1:
+        return blocks
+    (units, rows), (h, v) = image["grid"], image["sampling"]
+    own = blocks.reshape(rows, units, len(image["pattern"]), -1)[:, :, : h * v]
+    own = own.reshape(rows, units, v, h, -1).transpose(0, 2, 1, 3, 4).reshape(rows * v, units * h, -1)
+    return own[: -(-image["height"] // 8), : -(-image["width"] // 8)].reshape(-1, own.shape[2])
 
 
 def decode_all(frames: list[bytes], kept: int = 64) -> list[np.ndarray | None]:
-    """Coefficients of each frame (None: not a one-component baseline image), decoded in groups of equal tables."""
+    """Coefficients of each frame (None: not a baseline image), decoded in groups of equal tables and patterns."""
     parsed = [parse_jpeg(x) for x in frames]
     groups: dict[tuple, list[int]] = {}
     for k, image in enumerate(parsed):
         if image:
-            groups.setdefault((id(image["huffman"][image["dc"]]), id(image["huffman"][image["ac"]])), []).append(k)
+            groups.setdefault((image["pattern"], *map(id, image["tables"])), []).append(k)
     out: list[np.ndarray | None] = [None] * len(frames)
     for members in groups.values():
         for k, coefficients in zip(members, decode([parsed[k] for k in members], kept), strict=True):

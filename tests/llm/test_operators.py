@@ -212,6 +212,49 @@ def test_avi_decodes_ac_coefficients():
     assert avi.decode_all([image])[0][0, :3].tolist() == [10, 6, 0]
 
 
+def colour_frame(luma, chroma, tables=True):
+    """A 4:2:0 image of 32x16: DC levels of eight brightness blocks in their order of units, of two blocks of each colour, and one AC value."""
+    table = {k: avi.codes(bits, tuple(symbols)) for k, (bits, symbols) in avi.STANDARD_TABLES.items()}
+    bits, last = "", [0, 0, 0]
+
+    def block(part, level, ac):
+        nonlocal bits
+        number = int(part > 0)
+        diff, last[part] = level - last[part], level
+        size = abs(diff).bit_length()
+        code, length = table[number][size]
+        bits += f"{code:0{length}b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "")
+        for symbol in ([0x02] if ac else []) + [0x00]:
+            code, length = table[16 + number][symbol]
+            bits += f"{code:0{length}b}" + ("11" if symbol else "")
+
+    for unit in range(2):
+        for k in range(4):
+            block(0, luma[4 * unit + k], k == 1)
+        block(1, chroma[unit], False)
+        block(2, -chroma[unit], False)
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    seg = avi._segment
+    dht = b"".join(seg(0xC4, bytes([k]) + bytes(b) + s) for k, (b, s) in avi.STANDARD_TABLES.items()) if tables else b""
+    frame = seg(0xC0, bytes([8, 0, 16, 0, 32, 3, 1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1]))
+    return b"\xff\xd8" + seg(0xDB, b"\0" + bytes([8]) * 64) + seg(0xDB, b"\1" + bytes([3]) * 64) + frame + dht + seg(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def test_avi_decodes_colour_frames_and_standard_tables(spark):
+    luma, chroma = [5, 6, -7, 40, 9, 10, 11, -128], [3, -20]
+    for tables in (True, False):
+        [coefficients] = avi.decode_all([colour_frame(luma, chroma, tables)])
+        # two units beside each other, each two blocks wide: rows of blocks go through both
+        assert coefficients[:, 0].tolist() == [8 * x for x in (5, 6, 9, 10, -7, 40, 11, -128)]
+        assert coefficients[:, 1].tolist() == [0, 24, 0, 24, 0, 0, 0, 0]
+        assert avi.pixels(coefficients, 32, 16).shape == (16, 32)
+    dark, light = colour_frame([-100] * 8, chroma, False), colour_frame([90] * 8, chroma, False)
+    file = avi.write_avi([dark] * 5 + [light] * 5, 32, 16)
+    files = spark.createDataFrame([(1, bytearray(file), "x"), (2, None, "y"), (3, bytearray(b"no"), "z")], "k int, content binary, clip string")
+    assert [(r.k, r.clip, r.first_frame, r.n_frames) for r in avi.clips(files, "k").orderBy("clip").collect()] == [(1, 0, 0, 5), (1, 1, 5, 5)]
+
+
 def test_mixing_rates_and_copies(spark, sf_dir):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("source"))
     out = mixing.replicate(docs)
