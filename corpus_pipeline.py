@@ -1,7 +1,11 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Each stage reads what the one before kept as a Parquet table and takes (spark, docs,
-sf_dir). All but the last return the columns of documents.
+sf_dir). All but the last return the columns of documents; further columns of the input
+go. An empty table gives an empty one at every stage. Without text (null, empty or blank)
+a document has too few words for the first stage. Rows without doc_id go through: they
+are never near duplicates, and are mixed by their texts. Repeated rows of one doc_id are
+one document from the second stage on. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that are too short, repeat themselves or score below the threshold go; the kept rows stay as they are."""
     return quality.keep(docs.select(*COLUMNS), queries.trusted_ids(spark, sf_dir))
 
 
