@@ -94,7 +94,8 @@ def replicate(docs: DataFrame, targets: DataFrame | None = None, total: float |
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / DRAW_RATE)).cast("int")
     table = rates(docs, targets, total).select(F.col("source").alias("__source"), (F.col("rate") / draws).alias("__rate"), draws.alias("__draws"))
     held = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
-    named = docs.select(*held).withColumn("__doc", F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")))
+    own = [F.md5(F.col("text").cast("binary"))] if "text" in held else []
+    named = docs.select(*held).withColumn("__doc", F.coalesce(F.col("doc_id").cast("string"), *own, F.lit("")))
     drawn = _with_rates(named, table)
     first = F.array(uniform(seed, F.col("__doc")))
     more = F.transform(F.sequence(F.lit(1), F.col("__draws") - 1), lambda k: uniform(seed, F.col("__doc"), k))
