@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,9 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^ \t-\r]+")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+#: A term: letters and their marks. Both engines look for it by the same classes, so that no script is left out.
+TERM = r"[\p{L}\p{M}]{4,}"
+_TERM = regex.compile(TERM)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -151,7 +154,7 @@ def frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted is broadcast if its counted rows are few; otherwise all terms are counted,
     then joined. Tasks sum up before the shuffle either way.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]{4,}"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     stems = F.array_distinct(F.transform(words, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))
     terms = docs.select(F.explode(F.concat(words, stems)).alias("term"))
     if (rows := wanted.count()) * TERM_BYTES <= BROADCAST_BYTES:

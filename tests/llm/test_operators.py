@@ -504,3 +504,35 @@ def test_pipeline(spark, sf_dir):
     clean = pipeline.secret_scan(spark, heads, sf_dir)
     assert clean.columns == docs.columns and all(plain_secrets(r.text) == "" for r in clean.collect())
     assert pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, empty, sf_dir):
+    pipeline = importlib.import_module("corpus_pipeline")
+    for docs in (odd, empty):
+        ids = sorted(r.doc_id for r in docs.where("doc_id is not null").select("doc_id").distinct().collect())
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == pipeline.COLUMNS
+            rows = out.collect()
+            if name == "quality rules":
+                assert rows == []  # too short, or one word again and again
+            if name == "n-gram Jaccard join":
+                assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [k for k in ids if k != 6]  # 6 repeats 5
+                assert len(rows) == (len(ids) if ids else 0)  # and the row without id stays
+            if name == "secret scan":
+                assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+        packed = pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_mixing_draws_rows_without_id_by_their_texts(spark):
+    docs = spark.range(2_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("a").alias("source"), F.lit("own").alias("copy"))
+    out = mixing.replicate(docs)
+    copies = {r.text: (r.n, r.n_copies) for r in out.groupBy("text", "n_copies").agg(F.count("*").alias("n")).collect()}
+    assert 1_000 < len(copies) < 1_500 and all(n == m for n, m in copies.values()) and out.schema["copy"].dataType.simpleString() == "int"
+
+
+def test_packing_reports_its_gap():
+    counts = {7: 3, 5: 3, 4: 2}
+    patterns = packing.bin_completion(counts, 12)
+    assert packing.gap(counts, patterns, 12) == 0 and sum(t for t, _ in patterns) == 4

@@ -1,11 +1,15 @@
 """Operators do the whole job where a bound once cut it short."""
 
 import hashlib
+import math
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from covenant.llm import mixing, pii
+from covenant.llm import mixing, pii, quality, queries, secrets
+from covenant.llm._common import FOLDED, word_hashes
 
 
 def plain_count(doc_id, rate):
@@ -52,3 +56,57 @@ def test_pii_context_has_no_limit_of_characters():
     assert {"zanzibar", "timbuktu", "x" * 500, "y" * 500} <= terms and "beyond" not in terms and "marrakesh" not in terms
     glued = "clean" + ",a@b.cd" * 20_000 + ",clean2 later"
     assert len(list(pii._near(glued, pii.base_spans(glued)))) >= 1
+
+
+def test_pii_terms_of_every_script(spark):
+    for word in ("अन्तर्राष्ट्रीय", "cafe\u0301teria", "Zürichsee"):
+        rows = [(k, f"ordinary words {word} joe.smith@mail.example.com after these words {k}") for k in range(5)]
+        rows += [(k, "ordinary words before and after these words again") for k in range(5, 80)]
+        out = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert all(f"term:15:{15 + len(word)}" in out[k] for k in range(5)) and all(out[k] == "" for k in range(5, 80))
+
+
+def test_quality_scores_match_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    trusted = queries.trusted_ids(spark, sf_dir)
+    ids = {r.doc_id for r in trusted.collect()}
+    cells = {r.doc_id: quality._buckets(word_hashes([r.text.encode()], FOLDED)[0][0], quality.BUCKETS).tolist() for r in docs.collect() if r.text}
+    raw, good = Counter(), Counter()
+    for k, own in cells.items():
+        raw.update(own)
+        good.update(own if k in ids else ())
+    n, m = raw.total() + quality.BUCKETS, good.total() + quality.BUCKETS
+    for r in quality.judge(docs, trusted).where("n_words > 0").collect():
+        own = cells[r.doc_id]
+        want = sum(math.log((good[c] + 1) / m) - math.log((raw[c] + 1) / n) for c in own) / len(own)
+        assert abs(r.score - want) < 1e-5
+
+
+def test_markov_spans_match_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labelled = secrets.samples(docs)
+    model = secrets.train(labelled)
+    counts = {label: Counter() for label in ("random", "ordinary")}
+    for r in labelled.collect():
+        counts[r.label].update(a + b for a, b in zip(r.value, r.value[1:], strict=False) if a in secrets.ALPHABET and b in secrets.ALPHABET)
+    size = len(secrets.ALPHABET)
+
+    def log(label, a, b):
+        return math.log((counts[label][a + b] + 0.5) / (sum(counts[label][a + c] for c in secrets.ALPHABET) + 0.5 * size))
+
+    for pair in ("aB", "th", "9x", "--"):
+        at = secrets.ALPHABET.index(pair[0]) * size + secrets.ALPHABET.index(pair[1])
+        assert abs(model[at] - (log("random", *pair) - log("ordinary", *pair))) < 1e-3
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = 0
+    for r in secrets.scan(docs, model).collect():
+        base = [(s.start, s.end) for s in r.spans if s.kind < 3]
+        want = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", texts[r.doc_id] or ""):
+            token = m[0]
+            gain = sum(model[secrets.ALPHABET.index(a) * size + secrets.ALPHABET.index(b)] for a, b in zip(token, token[1:], strict=False)) / (len(token) - 1)
+            if re.search("[A-Za-z]", token) and gain >= secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append((m.start(), m.end()))
+        assert sorted((s.start, s.end) for s in r.spans if s.kind == 3) == want
+        found += len(want)
+    assert found
