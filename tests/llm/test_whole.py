@@ -83,7 +83,10 @@ def test_quality_scores_match_a_plain_version(spark, sf_dir):
 
 
 def test_markov_spans_match_a_plain_version(spark):
+    random = np.random.default_rng(11)
+    made = [(10**9 + k, f"see {''.join(random.choice(list(secrets.ALPHABET), 24))} and an_ordinary_identifier_name here") for k in range(40)]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
     labelled = secrets.samples(docs)
     model = secrets.train(labelled)
     counts = {label: Counter() for label in ("random", "ordinary")}
