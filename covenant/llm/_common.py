@@ -13,14 +13,15 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time.
-LINE_BYTES = 1 << 20
+LINE_BYTES = 1 << 18
 #: Rows and, about, bytes of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A table of at most this many bytes may be broadcast, by its counted rows; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bytes that a value of such a table is taken to need.
@@ -66,6 +67,8 @@ def sliced(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:
         step = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 _SPACE = np.zeros(256, bool)

@@ -51,9 +51,9 @@ FREQUENT_MOST = 300_000
 #: Shingles are counted by their upper bits.
 COUNTED_BITS = 48
 #: Shingles that a task holds before it passes their counts on.
-COUNTED_HELD = 1_000_000
+COUNTED_HELD = 400_000
 #: Characters of text whose shingles are counted in one group.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 #: Star rounds go on while the last one would look at more pairs than so many times the rows of its lists.
 EASY = 200
 #: A list's rows beyond this are dealt out to several tasks, as are pairs of one document.

@@ -44,7 +44,7 @@ SORTED_FILLINGS = 8
 #: Steps of a node's enumeration at most.
 STEPS = 200
 #: Distinct words whose ids a task remembers.
-CACHED_TOKENS = 250_000
+CACHED_TOKENS = 80_000
 #: Pieces that are numbered together in one group, on average.
 GROUP_ROWS = 20_000
 
