@@ -481,7 +481,7 @@ def test_markov_models_tell_random_from_ordinary(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         db.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     a, b = queries.queries()[name](spark, sf_dir).toPandas(), db.sql(queries.oracle_sql()[name]).df()
     columns = sorted(a.columns)
