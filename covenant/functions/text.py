@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,26 +29,52 @@ def _overlaps_itself(phrase: str) -> bool:
     return any(phrase.startswith(phrase[k:]) for k in range(1, len(phrase)))
 
 
-def counted(text: Column, phrases: Sequence[str]) -> Column:
-    """Occurrences of all the phrases together.
+def _longest_first(phrases: Sequence[str]) -> str:
+    """A pattern of the phrases that shares their beginnings and takes the longest phrase at a place."""
+    tree: dict = {}
+    for phrase in phrases:
+        at = tree
+        for c in phrase:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        run = ""
+        while len(at) == 1 and "" not in at:
+            c, at = next(iter(at.items()))
+            run += re.escape(c)
+        branches = [re.escape(c) + pattern(below) for c, below in at.items() if c]
+        if not branches:
+            return run
+        return f"{run}(?:{'|'.join(branches)})" + ("?" if "" in at else "")
+
+    return pattern(tree)
+
+
+def phrases_at(text: Column, phrases: Sequence[str]) -> Column:
+    """At each place of text where a phrase begins, the longest one: an array, from one pass over the text."""
+    firsts = "".join(sorted({re.escape(p[0]) for p in phrases}))
+    return F.regexp_extract_all(text, F.lit(f"(?=[{firsts}])(?=({_longest_first(phrases)}))"), F.lit(1))
+
+
+def totals(text: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """For each group of phrases how often they occur in text, all together: an array of numbers.
 
-    One pass looks for every phrase at every character. Phrases that begin alike go to
-    different passes, those that could overlap themselves are counted on their own.
+    One pass finds the longest phrase at every place, which tells the others that begin
+    there. Phrases that could overlap themselves are counted on their own.
     """
-    total, passes = F.lit(0).cast("bigint"), []
-    for phrase in phrases:
-        if _overlaps_itself(phrase):
-            total = total + occurrences(text, phrase)
-            continue
-        for group in passes:
-            if not any(x.startswith(phrase) or phrase.startswith(x) for x in group):
-                group.append(phrase)
-                break
-        else:
-            passes.append([phrase])
-    for group in passes:
-        total = total + F.regexp_count(text, F.lit("(?=" + "|".join(re.escape(x) for x in group) + ")"))
-    return total
+    alone = sorted({p for g in groups for p in g if _overlaps_itself(p)})
+    shared = sorted({p for g in groups for p in g} - set(alone))
+    each = {p: [sum(p.startswith(q) for q in g if q not in alone) for g in groups] for p in shared}
+    out = F.array(*[F.lit(0).cast("bigint") for _ in groups])
+    if shared:
+        gains = F.create_map(*[x for p in shared for x in (F.lit(p), F.array(*[F.lit(n).cast("bigint") for n in each[p]]))])
+        out = F.aggregate(phrases_at(text, shared), out, lambda total, p: F.zip_with(total, gains[p], lambda x, y: x + y))
+    own = {p: occurrences(text, p) for p in alone}
+    if own:
+        more = F.array(*[sum((own[p] for p in g if p in own), F.lit(0).cast("bigint")) for g in groups])
+        out = F.zip_with(out, more, lambda x, y: x + y)
+    return out
 
 
 def strip(text: Column) -> Column:
@@ -70,6 +96,17 @@ def best_of(scores: Sequence[tuple[str, Column]], default: str) -> Column:
     return F.when(ranked["s"] > 0, ranked["n"]).otherwise(F.lit(default))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def best_named(scores: Column, names: Sequence[str], default: str) -> Column:
+    """The name at the place of the largest positive score of an array; the first wins ties."""
+    ranked = F.array_max(F.transform(scores, lambda s, k: F.struct(s.alias("s"), (-k).alias("k"))))
+    return once(ranked, lambda best: F.when(best["s"] > 0, F.element_at(F.array(*map(F.lit, names)), 1 - best["k"])).otherwise(F.lit(default)))
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-case alphanumeric tokens of three or more characters."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 2))

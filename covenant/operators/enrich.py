@@ -10,21 +10,21 @@ from ..functions import vocab
 
 
 def doc_type(text: Column, name: Column) -> Column:
-    low, file = F.lower(text), F.lower(name)
-    scores = [(kind, (t.counted(low, phrases) + 2 * t.counted(file, phrases)) * weight) for kind, weight, phrases in vocab.DOC_TYPES]
-    return t.best_of(scores, "lease")
+    """The type with most of its phrases in the text and, twice, in the file's name, weighted."""
+    kinds, groups = [kind for kind, _, _ in vocab.DOC_TYPES], [phrases for _, _, phrases in vocab.DOC_TYPES]
+    weights = F.array(*[F.lit(float(weight)) for _, weight, _ in vocab.DOC_TYPES])
+    found = F.zip_with(t.totals(F.lower(text), groups), t.totals(F.lower(name), groups), lambda x, y: x + 2 * y)
+    return t.best_named(F.zip_with(found, weights, lambda n, w: n * w), kinds, "lease")
 
 
 def clause_type(text: Column, doc: Column) -> Column:
+    """The clause with most of its phrases in the text, among those of the document's type; an unknown type is taken for the first, lease."""
     low = F.lower(text)
-    out = None
-    for kind in reversed(list(vocab.CLAUSES)):
-        scores = [(name, t.counted(low, phrases)) for name, phrases in vocab.CLAUSES[kind].items()]
-        best = t.best_of(scores, "general")
-        # an unknown document type falls back to the first, lease
-        out = best if out is None else F.when(doc == kind, best).otherwise(out)
-        if kind == "lease":
-            out = F.when(doc.isin([k for k in vocab.CLAUSES if k != "lease"]), out).otherwise(best)
+    best = {kind: t.best_named(t.totals(low, list(names.values())), list(names), "general") for kind, names in vocab.CLAUSES.items()}
+    out = best["lease"]
+    for kind, value in best.items():
+        if kind != "lease":
+            out = F.when(doc == kind, value).otherwise(out)
     return out
 
 

@@ -205,11 +205,11 @@ def context_budget_flat(spark, sf_dir):
 
 
 @query(_HITS_SQL + """SELECT qid, id, '[' || concat_ws(' :: ', doc_id, '(' || clause_type || ')', header, 'p.' || page_start || CASE WHEN page_start % 2 = 0 THEN '-' || (page_start + 1) ELSE '' END, '[main]') || ']' AS citation,
-  round(score, 4) AS score, CASE WHEN length(repeat(id, 12)) > 150 THEN substr(repeat(id, 12), 1, 150) || '...' ELSE repeat(id, 12) END AS text_preview FROM hits""")
+  round(score::decimal(20, 6), 4)::double AS score, CASE WHEN length(repeat(id, 12)) > 150 THEN substr(repeat(id, 12), 1, 150) || '...' ELSE repeat(id, 12) END AS text_preview FROM hits""")
 def sources_preview(spark, sf_dir):
     last = F.col("page_start") + F.when(F.col("page_start") % 2 == 0, 1).otherwise(0)
     cite = ranking.stamp(F.col("doc_id"), F.col("clause_type"), F.col("header"), F.col("page_start"), last, F.lit("main"))
-    return _hits(spark, sf_dir).select("qid", "id", cite.alias("citation"), F.round("score", 4).alias("score"), t.preview(F.repeat("id", 12)).alias("text_preview"))
+    return _hits(spark, sf_dir).select("qid", "id", cite.alias("citation"), F.round(F.col("score").cast("decimal(20,6)"), 4).cast("double").alias("score"), t.preview(F.repeat("id", 12)).alias("text_preview"))
 
 
 # --- Contracts: types, parties, metadata, entities -------------------------------------------------------------------
@@ -756,4 +756,4 @@ def answer_confidence(spark, sf_dir):
     return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", ranking.answer_confidence(F.col("text")).alias("confidence"))
 
 
-from . import more, searches  # noqa: E402, F401  they register their queries
+from . import more, searches, stores  # noqa: E402, F401  they register their queries
