@@ -124,7 +124,7 @@ def base_id(column: Column) -> Column:
 
 def found(text: Column, pattern: str, group: int = 1, flags: str = "(?i)") -> Column:
     """A pattern's group, trimmed; null without a match."""
-    return F.nullif(F.trim(F.regexp_extract(text, flags + pattern, group)), F.lit(""))
+    return once(F.trim(F.regexp_extract(text, flags + pattern, group)), lambda x: F.when(x != "", x))
 
 
 def preview(text: Column, size: int = 150) -> Column:

@@ -33,19 +33,23 @@ def party(text: Column, words: str, endings: str) -> Column:
     return t.strip(t.found(text, rf"(?:{words})[^\n]*?{name}", flags="(?id)"))
 
 
-def parties(text: Column, kind: Column) -> dict[str, Column]:
-    """Each role's party, by document type; without any, the two of a BETWEEN ... AND ... ."""
+def roles_named(text: Column, kind: Column) -> dict[str, Column]:
+    """Each role's party, by document type."""
     out: dict[str, Column] = {}
     for doc, roles in vocab.PARTY_ROLES.items():
         for role, words, endings in roles:
             value = F.when(kind == doc, party(text, words, endings))
             out[role] = F.coalesce(out[role], value) if role in out else value
-    none = F.coalesce(*out.values()).isNull()
+    return out
+
+
+def with_parties(docs: DataFrame, text: str = "text", kind: str = "doc_type") -> DataFrame:
+    """docs with a column for each role's party and, where a document has none of them, the two of a BETWEEN ... AND ... ."""
+    named = roles_named(F.col(text), F.col(kind))
     side = lambda k: t.strip(F.regexp_extract(text, "(?isd)" + vocab.BETWEEN, k))
     name = rf"([A-Z][A-Za-z\s&]+(?:{vocab.BETWEEN_ENDINGS}))"
-    for k in (1, 2):
-        out[f"party_{k}"] = F.when(none, t.strip(t.found(side(k), name, flags="")))
-    return out
+    none = F.coalesce(*named).isNull()
+    return docs.withColumns(named).withColumns({f"party_{k}": F.when(none, t.strip(t.found(side(k), name, flags=""))) for k in (1, 2)})
 
 
 def field(text: Column, name: str, kind: Column) -> Column:
@@ -63,7 +67,7 @@ def dated(text: Column, name: str) -> Column:
     """A date field as yyyy-MM-dd; null if it is no date. "Sept" is read as September."""
     raw = F.replace(t.found(text, f"(?:{dict(vocab.DATE_FIELDS)[name]}){vocab.DATE_TAIL}"), F.lit(","), F.lit(" "))
     words = F.initcap(F.regexp_replace(F.regexp_replace(raw, r"\s+", " "), r"(?i)^sept ", "Sep "))
-    return F.date_format(F.coalesce(*[F.try_to_date(words, f) for f in DATE_FORMATS]), "yyyy-MM-dd")
+    return t.once(words, lambda x: F.date_format(F.coalesce(*[F.try_to_date(x, f) for f in DATE_FORMATS]), "yyyy-MM-dd"))
 
 
 def term(text: Column, kind: Column) -> Column:
@@ -72,8 +76,8 @@ def term(text: Column, kind: Column) -> Column:
     return F.when(kind == "lease", F.nullif(found, F.lit("")))
 
 
-#: Characters by which a name is looked for in a party.
-PROBE = 10
+#: Characters of the pieces by which a name is looked for in a party.
+PIECE = 4
 
 
 def entities(text: Column, kind: str) -> Column:
@@ -146,19 +150,35 @@ def metadata_map(raw: Column) -> Column:
     return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
 
 
+def _pieces(value: Column, size: Column) -> Column:
+    """The distinct runs of so many characters of a value."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(value) - size + 1), lambda k: F.substr(value, k, size)))
+
+
+def holding(names: DataFrame, parties: DataFrame) -> DataFrame:
+    """name, party: which parties hold which names (name, low), whatever their case and length.
+
+    Names and parties meet where they share a piece of PIECE characters (all of a shorter
+    name): for each name the one of its pieces that fewest parties have, so that words
+    which most parties have in common pair nothing. Each pair is then compared whole.
+    """
+    size = lambda c: F.least(F.lit(PIECE), F.length(c)).cast("int")
+    known = names.where("low <> ''").select("name", "low", F.explode(_pieces(F.col("low"), size("low"))).alias("piece"))
+    lengths = [r.n for r in known.select(size("low").alias("n")).distinct().collect()]  # PIECE rows at most
+    cut = F.array_distinct(F.flatten(F.array(*[F.when(F.length("party") >= n, _pieces(F.col("party"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)])))
+    held = parties.select("party", F.explode(cut).alias("piece")) if lengths else parties.select("party", F.lit("").alias("piece")).where("false")
+    rare = known.join(held.groupBy("piece").agg(F.count("*").alias("n")), "piece").groupBy("name", "low").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return rare.join(held, "piece").where(F.col("party").contains(F.col("low"))).select("name", "party")
+
+
 def roles(names: DataFrame, documents: DataFrame) -> DataFrame:
     """name, role, docs: how many documents' lessor or lessee holds each name, and its role in the last of them.
 
-    names: name, of PROBE characters at least; documents: doc_id, lessor, lessee. Names that stand in both of a document are its lessee. A name meets a
-    party by the name's first characters, so that only likely ones are compared; parties are taken apart once each.
+    documents: doc_id, lessor, lessee. Names that stand in both of a document are its lessee.
     """
     sides = F.explode(F.array(F.struct(F.lit("Lessor").alias("role"), F.lower("lessor").alias("party")), F.struct(F.lit("Lessee").alias("role"), F.lower("lessee").alias("party"))))
     held = documents.select("doc_id", sides.alias("s")).select("doc_id", "s.*").where("party is not null")
-    # a name may begin inside a word of the party's
-    tails = lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda k: F.substring(p, k, PROBE))
-    parties_ = held.select("party").distinct().select("party", F.explode(F.array_distinct(tails(F.col("party")))).alias("probe"))
-    known = names.select("name", F.lower("name").alias("low")).withColumn("probe", F.substring("low", 1, PROBE))
-    pairs = known.join(parties_, "probe").where(F.col("party").contains(F.col("low"))).select("name", "party")
+    pairs = holding(names.select("name", F.lower("name").alias("low")), held.select("party").distinct())
     # which names a document has is known without pairing its parties: lessee goes over lessor
     hits = held.join(pairs, "party").groupBy("name", "doc_id").agg(F.min("role").alias("role"))
     return hits.groupBy("name").agg(F.max_by("role", "doc_id").alias("role"), F.count("*").alias("docs"))

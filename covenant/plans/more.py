@@ -11,7 +11,7 @@ from ..functions import text as t
 from ..functions import vocab
 from ..operators import analyze, answers, cascade, chunking, enrich, retrieval
 from ..sources import corpus
-from .registry import _ASK, _ASKED_KINDS, _CON, _INTENT, _KEYS, _any, _first, _pages, _q, query
+from .registry import _ASK, _ASKED_KINDS, _CON, _INTENT, _KEYS, _LESSEE, _LESSOR, _WS, _any, _entity_sql, _first, _pages, _q, query
 from .searches import _HEAD, _comprehensive, _parts
 
 # --- Questions ---------------------------------------------------------------------------------------------------------
@@ -74,18 +74,52 @@ def _hits(spark, sf_dir) -> DataFrame:
     return retrieval.comprehensive(*_parts(spark, sf_dir), 12)
 
 
+_KINDS = {"companies": "companies", "people": "people", "amounts": "amounts", "dates": "dates", "locations": "addresses"}
+
+
+def _with_metadata(hits: DataFrame) -> DataFrame:
+    """Hits with the metadata that ingest extracts: both sides and lists of entities."""
+    sides = enrich.roles_named(F.col("text"), F.lit("lease"))
+    lists = {f"{k}_extracted": F.array_join(enrich.entities(F.col("text"), v), "; ") for k, v in _KINDS.items()}
+    return hits.withColumns({"lessor": sides["lessor"], "lessee": sides["lessee"], **lists})
+
+
+_META = _FOUND + f""", md AS (SELECT *, {_LESSOR} AS lessor, {_LESSEE} AS lessee, {", ".join(f"{_entity_sql(v)} AS {k}_extracted" for k, v in _KINDS.items())} FROM c),
+  es AS (SELECT DISTINCT qid, what, trim(value, {_WS}) AS value FROM (
+    {" UNION ALL ".join(f"SELECT qid, '{k}' AS what, unnest(string_split({k}_extracted, ';')) AS value FROM md" for k in _KINDS)}
+    UNION ALL SELECT qid, 'companies', unnest([lessor, lessee]) FROM md) WHERE trim(value, {_WS}) <> ''),
+  ts AS (SELECT DISTINCT qid, what, trim(value, {_WS}) AS value FROM (SELECT qid, 'amounts' AS what, unnest(regexp_extract_all(text, {_q(_MONEY_RE)})) AS value FROM c
+    UNION ALL SELECT qid, 'dates', unnest(regexp_extract_all(text, {_q(_DATE_RE)})) FROM c UNION ALL SELECT qid, 'companies', unnest(regexp_extract_all(text, {_q(_COMPANY_RE)}, 1)) FROM c))"""
+
+
+@query(_META + " SELECT qid, what, string_agg(value, '; ' ORDER BY value) AS found FROM es GROUP BY 1, 2")
+def entity_sets(spark, sf_dir):
+    """Distinct companies, people, amounts, dates and locations over each question's hits."""
+    return answers.entity_sets(_with_metadata(_hits(spark, sf_dir))).select("qid", "what", F.array_join("found", "; ").alias("found"))
+
+
 @query(_FOUND + f""", f AS (SELECT qid, 'amounts' AS what, unnest(regexp_extract_all(text, {_q(_MONEY_RE)})) AS value FROM c
     UNION ALL SELECT qid, 'dates', unnest(regexp_extract_all(text, {_q(_DATE_RE)})) FROM c UNION ALL SELECT qid, 'companies', unnest(regexp_extract_all(text, {_q(_COMPANY_RE)}, 1)) FROM c)
   SELECT qid, what, string_agg(DISTINCT trim(value), '; ' ORDER BY trim(value)) AS found FROM f GROUP BY 1, 2""")
-def entity_sets(spark, sf_dir):
-    """Distinct amounts, dates and companies over each question's hits."""
-    return answers.entity_sets(_hits(spark, sf_dir)).select("qid", "what", F.array_join("found", "; ").alias("found"))
+def text_entity_sets(spark, sf_dir):
+    """Distinct amounts, dates and companies in the texts of each question's hits."""
+    return answers.text_sets(_hits(spark, sf_dir)).select("qid", "what", F.array_join("found", "; ").alias("found"))
+
+
+_ROLES = """n AS (SELECT qid, value AS name FROM es WHERE what = 'companies' UNION ALL SELECT qid, value FROM ts WHERE what = 'companies' AND qid NOT IN (SELECT qid FROM es WHERE what = 'companies')),
+  h AS (SELECT n.qid, n.name, rk, CASE WHEN contains(lower(lessee), lower(name)) THEN 'Lessee' WHEN contains(lower(lessor), lower(name)) THEN 'Lessor' END AS role FROM n JOIN md USING (qid)),
+  r AS (SELECT qid, name, coalesce(arg_max(role, CASE WHEN role IS NOT NULL THEN rk END), 'Unknown') AS role FROM h GROUP BY 1, 2)"""
+
+
+@query(_META + f", {_ROLES} SELECT * FROM r")
+def answer_companies(spark, sf_dir):
+    """Companies of each question's hits with their roles."""
+    return answers.company_rows(_with_metadata(_hits(spark, sf_dir)))
 
 
-@query(_FOUND + f""", a AS (SELECT qid, {_first([(_any(_LOW, w), n) for n, w in vocab.ANSWER_INTENTS], 'summary')} AS intent FROM q),
-  f AS (SELECT DISTINCT qid, 'financial' AS intent, trim(unnest(regexp_extract_all(text, {_q(_MONEY_RE)}))) AS value, 'amount' AS role FROM c
-    UNION SELECT DISTINCT qid, 'dates', trim(unnest(regexp_extract_all(text, {_q(_DATE_RE)}))), 'date' FROM c
-    UNION SELECT DISTINCT qid, 'entities', trim(unnest(regexp_extract_all(text, {_q(_COMPANY_RE)}, 1))), 'Unknown' FROM c),
+@query(_META + f""", {_ROLES}, a AS (SELECT qid, {_first([(_any(_LOW, w), n) for n, w in vocab.ANSWER_INTENTS], 'summary')} AS intent FROM q),
+  f AS (SELECT qid, 'financial' AS intent, value, 'amount' AS role FROM ts WHERE what = 'amounts' UNION ALL SELECT qid, 'dates', value, 'date' FROM ts WHERE what = 'dates'
+    UNION ALL SELECT qid, 'entities', name, role FROM r),
   t AS (SELECT qid, intent, string_agg('| ' || value || ' | ' || role || ' |', chr(10) ORDER BY value) AS body FROM f JOIN a USING (qid, intent) GROUP BY 1, 2)
   SELECT qid, intent, CASE intent
     WHEN 'entities' THEN coalesce('| Company Name | Role |' || chr(10) || '| --- | --- |' || chr(10) || body, 'No companies identified in the retrieved sections.')
@@ -93,7 +127,7 @@ def entity_sets(spark, sf_dir):
     WHEN 'dates' THEN coalesce('| Date | Type / Note |' || chr(10) || '| --- | --- |' || chr(10) || body, 'No dates identified in the retrieved sections.')
     ELSE 'Found relevant sections, but could not summarize with the local model.' END AS answer FROM a LEFT JOIN t USING (qid, intent)""")
 def answer_tables(spark, sf_dir):
-    return answers.tables(corpus.questions(spark), _hits(spark, sf_dir))
+    return answers.tables(corpus.questions(spark), _with_metadata(_hits(spark, sf_dir)))
 
 
 @query(_FOUND + """ SELECT qid, CASE WHEN count(c.id) > 0 THEN 'Found ' || count(c.id) || ' relevant sections (generation disabled).' ELSE 'No relevant information found in the document to answer your question.' END AS answer

@@ -267,8 +267,7 @@ _SIDE = r"([A-Z][A-Za-z\s&]+(?:Ltd\.|Limited|LLC|Inc\.|Corporation|Corp\.|Indust
     CASE WHEN coalesce(lessor, lessee, buyer, seller, manager, owner, contractor, lender, borrower) IS NULL THEN nullif(trim(regexp_extract(trim(regexp_extract(text, {_q(_BOTH)}, 1), {_WS}), {_q(_SIDE)}, 1), {_WS}), '') END AS party_1,
     CASE WHEN coalesce(lessor, lessee, buyer, seller, manager, owner, contractor, lender, borrower) IS NULL THEN nullif(trim(regexp_extract(trim(regexp_extract(text, {_q(_BOTH)}, 2), {_WS}), {_q(_SIDE)}, 1), {_WS}), '') END AS party_2 FROM p""")
 def parties(spark, sf_dir):
-    found = enrich.parties(F.col("text"), F.col("doc_type"))
-    return _typed(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in found.items()])
+    return enrich.with_parties(_typed(spark, sf_dir).drop("clause_type")).drop("kind", "text", "doc_type")
 
 
 def _date_sql(words: str) -> str:
@@ -361,7 +360,7 @@ def ingest_fanout(spark, sf_dir):
   SELECT doc_id, concat_ws(chr(10), 'Contract', text, 'LESSOR: ' || lessor, 'LESSEE: ' || lessee, 'EFFECTIVE DATE: ' || d, 'CLAUSE: ' || clause_type) AS text FROM p""")
 def embedding_text_simple(spark, sf_dir):
     text, kind = F.col("text"), F.col("doc_type")
-    sides = enrich.parties(text, kind)
+    sides = enrich.roles_named(text, kind)
     simple = enrich.simple_text(text, F.lit(" Contract "), sides["lessor"], sides["lessee"], enrich.dated(text, "effective_date"), F.lit(None).cast("string"), F.col("clause_type"))
     return _typed(spark, sf_dir).select("doc_id", simple.alias("text"))
 
@@ -387,68 +386,72 @@ def money_dates(spark, sf_dir):
 
 _LESSOR, _LESSEE = _name_sql("lessor|landlord", _COMPANY_ENDS), _name_sql("lessee|tenant", _COMPANY_ENDS)
 _SIDES_SQL = _TYPED_SQL + f""", p AS (SELECT doc_id, {_LESSOR} AS lessor, {_LESSEE} AS lessee FROM typed WHERE doc_type = 'lease'),
-  names AS (SELECT DISTINCT unnest([lessor, regexp_extract(lessor, '(?i)sup[a-z]+ holdings'), lessee]) AS name FROM p) """
+  names AS (SELECT DISTINCT unnest([lessor, regexp_extract(lessor, '(?i)sup[a-z]+ holdings'), regexp_extract(lessor, '(?i)sup[a-z]+'), lessee, regexp_extract(lessee, '(?i)cus[a-z]+')]) AS name FROM p) """
 
 
 def _sides(spark, sf_dir):
     """doc_id, lessor, lessee of leases."""
-    found = enrich.parties(F.col("text"), F.col("doc_type"))
+    found = enrich.roles_named(F.col("text"), F.lit("lease"))
     return _typed(spark, sf_dir).where("doc_type = 'lease'").select("doc_id", found["lessor"].alias("lessor"), found["lessee"].alias("lessee"))
 
 
 @query(_SIDES_SQL + """, h AS (SELECT n.name, p.doc_id, CASE WHEN contains(lower(p.lessee), lower(n.name)) THEN 'Lessee' WHEN contains(lower(p.lessor), lower(n.name)) THEN 'Lessor' END AS role
-    FROM (SELECT * FROM names WHERE length(name) >= 10) n JOIN p ON contains(lower(p.lessee), lower(n.name)) OR contains(lower(p.lessor), lower(n.name)))
+    FROM (SELECT * FROM names WHERE name <> '') n JOIN p ON contains(lower(p.lessee), lower(n.name)) OR contains(lower(p.lessor), lower(n.name)))
   SELECT name, arg_max(role, doc_id) AS role, count(*) AS docs FROM h GROUP BY name""")
 def company_roles(spark, sf_dir):
     """Names of companies, and of their shorter forms, with the role of the last document whose party holds them."""
     p = _sides(spark, sf_dir)
-    short = F.regexp_extract("lessor", r"(?i)sup[a-z]+ holdings", 0)
-    names = p.select(F.explode(F.array("lessor", short, "lessee")).alias("name")).where(F.length("name") >= enrich.PROBE).distinct()
+    short = [F.regexp_extract(c, x, 0) for c, x in (("lessor", "(?i)sup[a-z]+ holdings"), ("lessor", "(?i)sup[a-z]+"), ("lessee", "(?i)cus[a-z]+"))]
+    names = p.select(F.explode(F.array("lessor", "lessee", *short)).alias("name")).where("name <> ''").distinct()
     return enrich.roles(names, p)
 
 
-@query(_SIDES_SQL + """, e AS (SELECT DISTINCT unnest([lessor, lessee]) AS name FROM p),
-  d AS (SELECT name, min(doc_id) AS first_doc, count(*) AS docs FROM (SELECT doc_id, unnest([lessor, lessee]) AS name FROM p) WHERE name IS NOT NULL GROUP BY name)
+@query(_SIDES_SQL.replace("p AS (SELECT doc_id,", "p AS (SELECT doc_id, text,") + f""", e AS (SELECT doc_id, unnest(list_distinct(list_concat([lessor, lessee], string_split({_entity_sql('companies')}, '; ')))) AS name FROM p),
+  d AS (SELECT name, min(doc_id) AS first_doc, count(*) AS docs FROM e WHERE name <> '' GROUP BY name)
   SELECT name, first_doc, docs, (SELECT count(*) FROM d) AS companies FROM d""")
 def entity_rollup(spark, sf_dir):
-    """Distinct companies over both sides of all leases, and how many there are."""
-    rows = _sides(spark, sf_dir).select("doc_id", F.explode(F.array("lessor", "lessee")).alias("name")).where("name is not null")
+    """Distinct companies of all leases, those extracted from the text and both sides, and how many there are."""
+    found = enrich.roles_named(F.col("text"), F.lit("lease"))
+    names = F.array_distinct(F.concat(F.array(found["lessor"], found["lessee"]), enrich.entities(F.col("text"), "companies")))
+    rows = _typed(spark, sf_dir).where("doc_type = 'lease'").select("doc_id", F.explode(names).alias("name")).where("name <> ''")
     each = rows.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs"))
-    return each.join(F.broadcast(each.agg(F.count("*").alias("companies"))))
+    return each.join(F.broadcast(each.agg(F.count("*").alias("companies"))))  # one row
 
 
-# --- Boosts and rerankers: questions over contracts ------------------------------------------------------------------
+# --- Boosts and rerankers: each search's best hits, with the contracts they stand for -----------------------------------
 
-_BOOSTED = _TYPED_SQL.replace("WITH con", _ASK.strip() + ", con", 1) + """, few AS (SELECT *, 'Section ' || kind AS header, (doc_id % 100) / 150.0::double AS score FROM clause),
-  j AS (SELECT q.qid, question, lower(question) AS low, few.* FROM q, few) """
+_HELD = f"""{_TYPED_SQL}, asks(n, question) AS (VALUES {", ".join(f"({k}, {_q(x)})" for k, x in enumerate(vocab.QUESTIONS))}), top AS ({_topk_sql(40)}),
+  j AS (SELECT top.qid, top.vec_id AS doc_id, top.score, question, lower(question) AS low, 'Section ' || kind AS header, coalesce(kind, -1) AS kind, coalesce(text, '') AS text, clause_type
+    FROM top JOIN asks ON n = qid // 50 % {len(vocab.QUESTIONS)} LEFT JOIN clause ON clause.doc_id = top.vec_id) """
 
 
 def _asked(spark, sf_dir):
-    """Every question with every contract: a stated set of questions against all rows. Both sides are tokenised before they meet."""
-    rows = _typed(spark, sf_dir).withColumn("header", F.concat(F.lit("Section "), "kind")).withColumn("score", (F.col("doc_id") % 100) / F.lit(150.0))
-    rows = rows.withColumn("held", F.array_union(t.tokens(F.col("text")), t.tokens(F.col("header")))).withColumn("low_text", F.lower("text"))
-    return rows.join(F.broadcast(corpus.questions(spark).withColumn("asked", t.tokens(F.col("question")))))
+    """The 40 best hits of each search with their contracts; a search's question is one of the canned ones."""
+    asked, rows = _searches(spark, sf_dir)
+    question = F.element_at(F.array(*map(F.lit, vocab.QUESTIONS)), (F.floor(F.col("qid") / 50) % len(vocab.QUESTIONS) + 1).cast("int"))
+    hits = vectors.top_k(asked, rows, 40).select("qid", F.col("vec_id").alias("doc_id"), "score", question.alias("question"))
+    found = hits.join(_typed(spark, sf_dir), "doc_id", "left").withColumn("header", F.concat(F.lit("Section "), "kind"))
+    return found.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("kind", F.coalesce("kind", F.lit(-1)))
 
 
 def _tok(column: str) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({column}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 
 
-@query(_BOOSTED + f"""SELECT qid, doc_id, round(least(1.0::double, score + least(0.12::double, 0.02::double * len(list_intersect({_tok('question')}, list_concat({_tok('text')}, {_tok('header')}))))
+@query(_HELD + f"""SELECT qid, doc_id, round(least(1.0::double, score + least(0.12::double, 0.02::double * len(list_intersect({_tok('question')}, list_concat({_tok('text')}, {_tok("coalesce(header, '')")}))))
   + CASE WHEN {_any('low', vocab.FINANCIAL_WORDS)} AND clause_type IN ('rent', 'financial', 'security') THEN 0.06::double ELSE 0 END
   + CASE WHEN {_any('low', vocab.TEMPORAL_WORDS)} AND (clause_type = 'term' OR kind = 4) THEN 0.06::double ELSE 0 END
   + CASE WHEN {_any('low', vocab.ENTITY_WORDS)} AND kind = 0 THEN 0.07::double ELSE 0 END + CASE WHEN doc_id % 3 = 1 THEN 0.03::double ELSE 0 END), 6) AS score FROM j""")
 def hybrid_boost_rank(spark, sf_dir):
     c = F.col
-    overlap = F.size(F.array_intersect("asked", "held"))
-    boost = ranking.hybrid_boost(c("question"), c("text"), c("header"), c("clause_type"), c("kind") == 4, c("kind") == 0, c("doc_id") % 3, overlap)
+    boost = ranking.hybrid_boost(c("question"), c("text"), F.coalesce("header", F.lit("")), c("clause_type"), c("kind") == 4, c("kind") == 0, c("doc_id") % 3)
     return _asked(spark, sf_dir).select("qid", "doc_id", ranking.capped(c("score"), boost).alias("score"))
 
 
 _KW = " ".join(f"+ CASE WHEN contains(low, '{w}') AND clause_type = '{w}' THEN 0.3::double ELSE 0 END + CASE WHEN contains(low, '{w}') AND contains(lower(text), '{w}') THEN 0.1::double ELSE 0 END" for w in ("rent", "term", "maintenance", "security", "termination"))
 
 
-@query(_BOOSTED + f"""SELECT qid, doc_id, round(least(1.0::double, score
+@query(_HELD + f"""SELECT qid, doc_id, round(least(1.0::double, score
   + CASE WHEN {_any('low', ['company', 'companies', 'parties', 'who', 'lessor', 'lessee'])} AND kind = 0 THEN 0.3::double ELSE 0 END
   + CASE WHEN {_any('low', ['company', 'companies', 'parties', 'who', 'lessor', 'lessee'])} AND doc_id % 7 = 0 THEN 0.2::double ELSE 0 END
   + CASE WHEN {_any('low', ['how many', 'count', 'number', 'list'])} AND {_any('lower(text)', ['entities', 'parties'])} THEN 0.25::double ELSE 0 END
@@ -459,12 +462,13 @@ def intent_rerank(spark, sf_dir):
     return _asked(spark, sf_dir).select("qid", "doc_id", ranking.capped(c("score"), boost).alias("score"))
 
 
-@query(_BOOSTED + f"""SELECT qid, round(least(1.0::double, least(count(*) / 10.0::double, 0.3::double) + 0.4::double * least(1.0::double, greatest(0.0::double, avg(score)))
+@query(_HELD + f"""SELECT qid, round(least(1.0::double, least(count(*) / 10.0::double, 0.3::double) + 0.4::double * least(1.0::double, greatest(0.0::double, sum(score::decimal(20, 6))::double / count(*)))
   + CASE WHEN max(contains(low, 'compan')::int) = 1 AND max((kind = 0)::int) = 1 THEN 0.2::double ELSE 0 END
-  + CASE WHEN max(contains(low, 'amount')::int) = 1 AND max((kind = 2)::int) = 1 THEN 0.2::double ELSE 0 END), 6) AS confidence FROM j GROUP BY qid""")
+  + CASE WHEN max(contains(low, 'amount')::int) = 1 AND max((kind = 2)::int) = 1 THEN 0.2::double ELSE 0 END), 6) AS confidence FROM j WHERE score >= 0.3 GROUP BY qid""")
 def confidence(spark, sf_dir):
-    rows = _asked(spark, sf_dir).withColumn("low", F.lower("question"))
-    value = ranking.confidence(F.count("*"), F.avg("score"), F.max(F.col("low").contains("compan")), F.max(F.col("kind") == 0), F.max(F.col("low").contains("amount")), F.max(F.col("kind") == 2))
+    rows = _asked(spark, sf_dir).where("score >= 0.3").withColumn("low", F.lower("question"))
+    mean = F.sum(F.col("score").cast("decimal(20,6)")).cast("double") / F.count("*")
+    value = ranking.confidence(F.count("*"), mean, F.max(F.col("low").contains("compan")), F.max(F.col("kind") == 0), F.max(F.col("low").contains("amount")), F.max(F.col("kind") == 2))
     return rows.groupBy("qid").agg(value.alias("confidence"))
 
 
