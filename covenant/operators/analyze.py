@@ -48,10 +48,13 @@ def specificity(question: Column) -> Column:
 
 
 def collections(intent_name: Column) -> Column:
-    out = F.lit(",".join(vocab.COLLECTIONS["general"]))
-    for name, preferred in vocab.COLLECTIONS.items():
-        out = F.when(intent_name == name, F.lit(",".join(preferred))).otherwise(out)
-    return out
+    def chosen(name: Column) -> Column:
+        out = F.lit(",".join(vocab.COLLECTIONS["general"]))
+        for one, preferred in vocab.COLLECTIONS.items():
+            out = F.when(name == one, F.lit(",".join(preferred))).otherwise(out)
+        return out
+
+    return t.once(intent_name, chosen)
 
 
 def expanded(question: Column, most: int = 10) -> Column:

@@ -14,16 +14,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vocab
+from ..functions.scratch import settled
 from . import analyze, ranking, vectors
 
 Encoder = Callable[[DataFrame], DataFrame]
 #: Hits a variant brings from main and from the other collections; hits at least; variants that seed from entities.
 K_MAIN, K_SIDE, LEAST, SEEDS = 8, 4, 6, 4
-#: Variants of a question at most, which makes room for them in search keys.
-_MOST = 1_000
+#: Variants of a question, and sub-questions, that its search keys have room for; more are an error.
+_MOST, _SUBS = 1_000, 100
 ORDER = ["stage", "n", "place", "id"]
 
 
+def _key(qid: str, n: str, room: int) -> Column:
+    """One number for a question and its n-th part; an error where n has no room, rather than another question's key."""
+    fits = (F.col(n) >= 0) & (F.col(n) < room)
+    return F.when(fits, F.col(qid) * room + F.col(n)).otherwise(F.raise_error(F.lit(f"a question has {room} parts or more"))).cast("bigint")
+
+
 def variants(asked: DataFrame, array: Column, encode: Encoder) -> DataFrame:
     """qid, n, text, vec of each question's variants, numbered from 1."""
     rows = asked.select("qid", F.posexplode(array).alias("p", "text")).select("qid", (F.col("p") + 1).cast("bigint").alias("n"), "text")
@@ -32,9 +39,9 @@ def variants(asked: DataFrame, array: Column, encode: Encoder) -> DataFrame:
 
 def searched(rows: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """qid, n, text, collection, place, id, raw, rank and the chunks' columns: each variant's k best in each collection."""
-    keys = rows.select((F.col("qid") * _MOST + F.col("n")).cast("bigint").alias("qid"), F.col("vec").alias("qvec"))
+    keys = rows.select(_key("qid", "n", _MOST).alias("qid"), F.col("vec").alias("qvec"))
     hits = vectors.top_k(keys, chunks, k, key="id", group="collection").select(
-        F.floor(F.col("qid") / _MOST).cast("bigint").alias("qid"), (F.col("qid") % _MOST).alias("n"), "collection", "id", F.col("score").alias("raw"), "rank"
+        F.floor(F.col("qid") / _MOST).cast("bigint").alias("qid"), F.pmod("qid", F.lit(_MOST)).alias("n"), "collection", "id", F.col("score").alias("raw"), "rank"
     )
     place = F.when(F.col("collection") == "main", 0).when(F.col("collection") == "entities", 1).otherwise(2)
     asked = rows.select(F.col("qid").cast("bigint").alias("qid"), "n", F.col("text").alias("variant"))
@@ -177,12 +184,12 @@ def missing(asked: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def _parts(rows: DataFrame, most: int) -> DataFrame:
     """Sub-questions (qid, n, question) as questions of their own."""
-    return rows.where(F.col("n") <= most).select((F.col("qid") * 100 + F.col("n")).alias("qid"), "question")
+    return rows.where(F.col("n") <= most).select(_key("qid", "n", _SUBS).alias("qid"), "question")
 
 
 def _whole(hits: DataFrame) -> DataFrame:
     """Hits of sub-questions as hits of their question; turn tells the sub-questions apart."""
-    return hits.withColumn("turn", F.col("qid") % 100).withColumn("qid", F.floor(F.col("qid") / 100).cast("bigint"))
+    return hits.withColumn("turn", F.pmod("qid", F.lit(_SUBS))).withColumn("qid", F.floor(F.col("qid") / _SUBS).cast("bigint"))
 
 
 def enterprise(asked: DataFrame, encode: Encoder, chunks: DataFrame, k: int = 15) -> DataFrame:
@@ -202,7 +209,36 @@ def enterprise(asked: DataFrame, encode: Encoder, chunks: DataFrame, k: int = 15
     return _first(final.unionByName(follow), "base_id", k, order)
 
 
-def multi_hop(asked: DataFrame, encode: Encoder, chunks: DataFrame, k: int = 12) -> DataFrame:
-    """Hops without a model: nothing asks for a second hop, so the first one's hits, one per base id."""
-    hits = comprehensive(asked, encode, chunks, max(4, k // 2)).withColumn("base_id", t.base_id(F.col("id")))
-    return _first(hits, "base_id", k, ["rank", "id"])
+#: What to search for after a hop: from the questions (qid, question) and the hop's ranked hits, rows of qid, n, question.
+FollowUps = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def multi_hop(asked: DataFrame, encode: Encoder, chunks: DataFrame, k: int = 12, follow: FollowUps | None = None, max_hops: int = 3) -> DataFrame:
+    """Search, ask on from what was found, search again: the k best base ids over all hops.
+
+    follow gives a question's next searches; without it there is one hop. A search that was
+    made before for the question isn't made again, and a hop that finds nothing is the last.
+    Each hop's hits and searches are settled, so a later hop doesn't search the earlier ones anew.
+    """
+    each = max(4, k // 2)
+    questions = asked.select(F.col("qid").cast("bigint").alias("qid"), "question")
+    wanted = questions.select("qid", F.lit(1).cast("bigint").alias("n"), "question")
+    done = found = None
+    for hop in range(max_hops):
+        nth = F.row_number().over(Window.partitionBy("qid").orderBy("n"))
+        once = wanted.groupBy("qid", "question").agg(F.min("n").alias("n"))
+        fresh = once if done is None else once.join(done, ["qid", "question"], "left_anti")
+        fresh = settled(fresh.withColumn("n", nth.cast("bigint")), "hop-searches")
+        if fresh.isEmpty():
+            break
+        hits = settled(_whole(comprehensive(_parts(fresh, _SUBS), encode, chunks, each)).withColumn("hop", F.lit(hop)), "hop-hits")
+        if hits.isEmpty():
+            break
+        found = hits if found is None else found.unionByName(hits)
+        if follow is None or hop == max_hops - 1:
+            break
+        done = fresh.select("qid", "question") if done is None else done.unionByName(fresh.select("qid", "question"))
+        wanted = follow(questions, _first(hits, "id", None, ["turn", "rank", "id"]))
+    if found is None:
+        found = comprehensive(asked, encode, chunks, each).withColumns({"turn": F.lit(1).cast("bigint"), "hop": F.lit(0)})
+    return _first(found.withColumn("base_id", t.base_id(F.col("id"))), "base_id", k, ["hop", "turn", "rank", "id"])

@@ -11,7 +11,7 @@ from ..functions import text as t
 from ..functions import vocab
 from ..operators import analyze, answers, cascade, chunking, enrich, retrieval
 from ..sources import corpus
-from .registry import _ASK, _ASKED_KINDS, _CON, _INTENT, _KEYS, _LESSEE, _LESSOR, _WS, _any, _entity_sql, _first, _pages, _q, query
+from .registry import _ASKED_KINDS, _CON, _INTENT, _KEYS, _LESSEE, _LESSOR, _TOLD, _WS, _any, _entity_sql, _first, _pages, _q, query
 from .searches import _HEAD, _comprehensive, _parts
 
 # --- Questions ---------------------------------------------------------------------------------------------------------
@@ -26,14 +26,14 @@ _BY_INTENT = f"""list_sort(list_distinct(flatten([[question], {_templates(vocab.
   {_templates(vocab.KIND_EXPANSIONS, lambda k: f"list_contains({_ASKED_KINDS}, {_q(k)})")}, CASE WHEN NOT ends_with(question, '?') THEN [question || '?'] ELSE [] END])))"""
 
 
-@query(_ASK + f"SELECT qid, array_to_string({_BY_INTENT}, chr(10)) AS variants FROM q")
+@query(_TOLD + f"SELECT qid, array_to_string({_BY_INTENT}, chr(10)) AS variants FROM q")
 def query_expand_intent(spark, sf_dir):
-    return corpus.questions(spark).select("qid", F.array_join(analyze.expanded_by_intent(F.col("question")), "\n").alias("variants"))
+    return corpus.asked(spark, sf_dir).select("qid", F.array_join(analyze.expanded_by_intent(F.col("question")), "\n").alias("variants"))
 
 
-@query(_ASK + f"SELECT qid, {_INTENT} AS intent, array_to_string({_ASKED_KINDS}, ',') AS kinds, array_to_string({_KEYS}, ',') AS keywords, len({_BY_INTENT})::bigint AS n_variants FROM q")
+@query(_TOLD + f"SELECT qid, {_INTENT} AS intent, array_to_string({_ASKED_KINDS}, ',') AS kinds, array_to_string({_KEYS}, ',') AS keywords, len({_BY_INTENT})::bigint AS n_variants FROM q")
 def query_analysis(spark, sf_dir):
-    rows = corpus.questions(spark).select("qid", analyze.analysis(F.col("question")).alias("a"))
+    rows = corpus.asked(spark, sf_dir).select("qid", analyze.analysis(F.col("question")).alias("a"))
     return rows.select("qid", "a.intent", "a.kinds", "a.keywords", F.size("a.variants").cast("bigint").alias("n_variants"))
 
 
@@ -42,24 +42,24 @@ _QUICK = _first([(_any(_LOW, w), n) for n, w in vocab.QUICK_INTENTS], "general")
 _QKINDS = "list_filter([" + ", ".join(f"CASE WHEN {_any(_LOW, w)} THEN {_q(n)} END" for n, w in vocab.QUICK_KINDS) + "], lambda x: x IS NOT NULL)"
 
 
-@query(_ASK + f""", a AS (SELECT qid, {_QUICK} AS intent, array_to_string({_QKINDS}, ',') AS kinds, CASE WHEN starts_with({_LOW}, 'how many') THEN 'count' WHEN starts_with({_LOW}, 'who') THEN 'who' WHEN starts_with({_LOW}, 'what') THEN 'what' ELSE 'general' END AS question_type,
+@query(_TOLD + f""", a AS (SELECT qid, {_QUICK} AS intent, array_to_string({_QKINDS}, ',') AS kinds, CASE WHEN starts_with({_LOW}, 'how many') THEN 'count' WHEN starts_with({_LOW}, 'who') THEN 'who' WHEN starts_with({_LOW}, 'what') THEN 'what' ELSE 'general' END AS question_type,
     CASE WHEN len({_QKINDS}) > 0 THEN 0.7::double ELSE 0.3::double END AS specificity FROM q),
   s AS (SELECT *, question_type = 'count' AS aggregates, intent IN ('entity_count', 'entity_identification') AS ent FROM a)
   SELECT qid, intent, kinds, question_type, aggregates, specificity, CASE WHEN ent THEN 'entities,main' ELSE 'main' END AS collections, CASE WHEN aggregates OR NOT ent THEN 'comprehensive' ELSE 'entity_focused' END AS method,
     ent OR aggregates AS use_entities, intent = 'financial' AS use_clauses, NOT specificity > 0.7::double AS expand,
     CASE WHEN aggregates THEN 0.8::double WHEN specificity > 0.7::double THEN 0.4::double WHEN ent THEN 0.7::double WHEN intent = 'financial' THEN 0.5::double ELSE 0.6::double END AS mmr_weight FROM s""")
 def retrieval_strategy(spark, sf_dir):
-    rows = corpus.questions(spark).select("qid", *[v.alias(k) for k, v in analyze.quick_analysis(F.col("question")).items()])
+    rows = corpus.asked(spark, sf_dir).select("qid", *[v.alias(k) for k, v in analyze.quick_analysis(F.col("question")).items()])
     chosen = analyze.strategy(F.col("intent"), F.col("specificity"), F.col("aggregates"))
     return rows.select("*", *[v.alias(k) for k, v in chosen.items() if k != "rerank"])
 
 
-@query(_ASK + f"""SELECT qid, {_any(_LOW, ['company', 'companies', 'party', 'parties', 'who', 'lessor', 'lessee'])} AS entity_collection, {_any(_LOW, vocab.ENTITY_WORDS)} AS entity_intent,
+@query(_TOLD + f"""SELECT qid, {_any(_LOW, ['company', 'companies', 'party', 'parties', 'who', 'lessor', 'lessee'])} AS entity_collection, {_any(_LOW, vocab.ENTITY_WORDS)} AS entity_intent,
   {_any(_LOW, vocab.TEMPORAL_WORDS)} AS temporal_intent, {_any(_LOW, vocab.FINANCIAL_WORDS)} AS financial_intent, {_any(_LOW, ['compan', 'part', 'who'])} AS enterprise_entities FROM q""")
 def query_gates(spark, sf_dir):
     low = F.lower("question")
     lists = {"entity_collection": vocab.PARTY_WORDS, "entity_intent": vocab.ENTITY_WORDS, "temporal_intent": vocab.TEMPORAL_WORDS, "financial_intent": vocab.FINANCIAL_WORDS, "enterprise_entities": ["compan", "part", "who"]}
-    return corpus.questions(spark).select("qid", *[t.any_of(low, words).alias(name) for name, words in lists.items()])
+    return corpus.asked(spark, sf_dir).select("qid", *[t.any_of(low, words).alias(name) for name, words in lists.items()])
 
 
 # --- Answers without a model -------------------------------------------------------------------------------------------

@@ -71,6 +71,7 @@ def _found(column: str, pattern: str, group: int = 1) -> str:
 
 _CON = f"WITH con AS ({corpus.CONTRACTS_DUCKDB}) "
 _ASK = "WITH q(qid, question) AS (VALUES " + ", ".join(f"({k}, {_q(x)})" for k, x in enumerate(vocab.QUESTIONS)) + ") "
+_TOLD = f"WITH q(qid, question) AS ({corpus.ASKED_DUCKDB}) "
 _DOT = "list_inner_product(a.embedding::double[], b.embedding::double[])"
 
 # --- Vectors ---------------------------------------------------------------------------------------------------------
@@ -479,37 +480,37 @@ _ASKED_KINDS = "list_filter([" + ", ".join(f"CASE WHEN {_match('question', p)} T
 _INTENT = _best([(n, " + ".join(f"len(regexp_extract_all(question, {_q('(?i)' + p)}))" for p in ps)) for n, ps in vocab.INTENT_PATTERNS], "general")
 
 
-@query(_ASK + f"""SELECT qid, {_INTENT} AS intent, {_first([(_any('lower(question)', w), n) for n, w in vocab.HEURISTIC_INTENTS], 'comprehensive_summary')} AS heuristic,
+@query(_TOLD + f"""SELECT qid, {_INTENT} AS intent, {_first([(_any('lower(question)', w), n) for n, w in vocab.HEURISTIC_INTENTS], 'comprehensive_summary')} AS heuristic,
   {_first([(_any('lower(question)', w), n) for n, w in vocab.ANSWER_INTENTS], 'summary')} AS answer FROM q""")
 def query_intent(spark, sf_dir):
     q = F.col("question")
-    return corpus.questions(spark).select("qid", analyze.intent(q).alias("intent"), analyze.listed_intent(q, vocab.HEURISTIC_INTENTS, "comprehensive_summary").alias("heuristic"), analyze.listed_intent(q, vocab.ANSWER_INTENTS, "summary").alias("answer"))
+    return corpus.asked(spark, sf_dir).select("qid", analyze.intent(q).alias("intent"), analyze.listed_intent(q, vocab.HEURISTIC_INTENTS, "comprehensive_summary").alias("heuristic"), analyze.listed_intent(q, vocab.ANSWER_INTENTS, "summary").alias("answer"))
 
 
-@query(_ASK + f"""SELECT qid, {_first([(_match('question', p), n) for n, p in vocab.QUESTION_TYPES], 'general')} AS question_type, {_match('question', vocab.AGGREGATION)} AS aggregates,
+@query(_TOLD + f"""SELECT qid, {_first([(_match('question', p), n) for n, p in vocab.QUESTION_TYPES], 'general')} AS question_type, {_match('question', vocab.AGGREGATION)} AS aggregates,
   CASE {_INTENT} {' '.join(f"WHEN {_q(k)} THEN {_q(','.join(v))}" for k, v in vocab.COLLECTIONS.items())} END AS collections FROM q""")
 def query_type(spark, sf_dir):
     q = F.col("question")
-    return corpus.questions(spark).select("qid", analyze.question_type(q).alias("question_type"), t.any_match(q, vocab.AGGREGATION).alias("aggregates"), analyze.collections(analyze.intent(q)).alias("collections"))
+    return corpus.asked(spark, sf_dir).select("qid", analyze.question_type(q).alias("question_type"), t.any_match(q, vocab.AGGREGATION).alias("aggregates"), analyze.collections(analyze.intent(q)).alias("collections"))
 
 
-@query(_ASK + f"SELECT qid, array_to_string({_KEYS}, ',') AS keywords, array_to_string({_ASKED_KINDS}, ',') AS kinds FROM q")
+@query(_TOLD + f"SELECT qid, array_to_string({_KEYS}, ',') AS keywords, array_to_string({_ASKED_KINDS}, ',') AS kinds FROM q")
 def query_keywords(spark, sf_dir):
     q = F.col("question")
-    return corpus.questions(spark).select("qid", F.array_join(analyze.keywords(q), ",").alias("keywords"), F.array_join(analyze.kinds_asked(q), ",").alias("kinds"))
+    return corpus.asked(spark, sf_dir).select("qid", F.array_join(analyze.keywords(q), ",").alias("keywords"), F.array_join(analyze.kinds_asked(q), ",").alias("kinds"))
 
 
-@query(_ASK + f"""SELECT qid, round(least(1.0::double, least(len(regexp_extract_all(question, '\\S+')) / 20.0::double, 0.3::double) + 0.1::double * len({_ASKED_KINDS})
+@query(_TOLD + f"""SELECT qid, round(least(1.0::double, least(len(regexp_extract_all(question, '\\S+')) / 20.0::double, 0.3::double) + 0.1::double * len({_ASKED_KINDS})
   + 0.1::double * len(list_intersect({_KEYS}, [{', '.join(map(_q, vocab.SPECIFIC_WORDS))}])) + CASE WHEN regexp_matches(question, '(?i)\\b(?:\\d+|specific|exact|particular)\\b') THEN 0.2::double ELSE 0 END), 6) AS specificity FROM q""")
 def query_specificity(spark, sf_dir):
-    return corpus.questions(spark).select("qid", analyze.specificity(F.col("question")).alias("specificity"))
+    return corpus.asked(spark, sf_dir).select("qid", analyze.specificity(F.col("question")).alias("specificity"))
 
 
-def _ordered_sql(parts: list[str], most: int | None) -> str:
+def _ordered_sql(parts: list[str], most: int | None, head: str = _ASK) -> str:
     """Distinct non-null parts in first-seen order, numbered."""
     rows = " UNION ALL ".join(f"SELECT qid, {k} AS k, {p} AS v FROM q" for k, p in enumerate(parts))
     limit = f" WHERE n <= {most}" if most else ""
-    return _ASK + f"SELECT qid, n, v AS variant FROM (SELECT qid, v, row_number() OVER (PARTITION BY qid ORDER BY min(k)) AS n FROM ({rows}) WHERE v IS NOT NULL GROUP BY qid, v){limit}"
+    return head + f"SELECT qid, n, v AS variant FROM (SELECT qid, v, row_number() OVER (PARTITION BY qid ORDER BY min(k)) AS n FROM ({rows}) WHERE v IS NOT NULL GROUP BY qid, v){limit}"
 
 
 def _swap(a: str, b: str, test: str = "true") -> str:
@@ -528,9 +529,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select("qid", F.posexplode("v").alias("p", "variant")).select("qid", (F.col("p") + 1).cast("bigint").alias("n"), "variant")
 
 
-@query(_ordered_sql(_EXPAND, 10))
+@query(_ordered_sql(_EXPAND, 10, _TOLD))
 def query_expand_hybrid(spark, sf_dir):
-    return _numbered(corpus.questions(spark).select("qid", analyze.expanded(F.col("question")).alias("v")))
+    return _numbered(corpus.asked(spark, sf_dir).select("qid", analyze.expanded(F.col("question")).alias("v")))
 
 
 _ALIAS = ["question"]
@@ -542,9 +543,9 @@ for _c, _alts in vocab.ALIASES.items():
         _ALIAS += [_swap(_a, _c, f"NOT {_has}"), f"CASE WHEN NOT {_has} AND contains(lower(question), {_q(_a)}) THEN lower(question) || ' ' || {_q(_c)} END"]
 
 
-@query(_ordered_sql(_ALIAS, None))
+@query(_ordered_sql(_ALIAS, None, _TOLD))
 def alias_expand(spark, sf_dir):
-    return _numbered(corpus.questions(spark).select("qid", analyze.with_aliases(F.col("question")).alias("v")))
+    return _numbered(corpus.asked(spark, sf_dir).select("qid", analyze.with_aliases(F.col("question")).alias("v")))
 
 
 # --- Chunking --------------------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..operators import retrieval
 from ..sources import corpus
-from .registry import _ALIAS, _ASK, _BASE, _EXPAND, _any, _ordered_sql, _q, _tok, query
+from .registry import _ALIAS, _ASK, _BASE, _EXPAND, _any, _ordered_sql, _q, _tok, _TOLD, query
 
 _COLLECTIONS = "list_extract(['main', 'entities', 'clauses'], (e.vec_id % 3 + 1)::int)"
 _CHUNKS = f"""con AS ({corpus.CONTRACTS_DUCKDB}),
@@ -141,12 +141,12 @@ _LISTS = "NOT contains(lower(question), 'how many') AND (contains(lower(question
 _OLD += [f"CASE WHEN {_LISTS} THEN '{p} ' || question END" for p in ("how many", "list all", "count of")]
 
 
-@query(_ordered_sql(_OLD, None))
+@query(_ordered_sql(_OLD, None, _TOLD))
 def query_expand_legacy(spark, sf_dir):
     from ..operators import analyze
     from .registry import _numbered
 
-    return _numbered(corpus.questions(spark).select("qid", analyze.expanded_old(F.col("question")).alias("v")))
+    return _numbered(corpus.asked(spark, sf_dir).select("qid", analyze.expanded_old(F.col("question")).alias("v")))
 
 
 def _found(source: str, collection: str, name: str, k: int) -> str:
@@ -252,3 +252,12 @@ def multi_hop_search(spark, sf_dir):
     return retrieval.multi_hop(*_parts(spark, sf_dir), 12).select("qid", "rank", "id", "score")
 
 
+
+
+@query(_HEAD + ",\n  ".join([
+    _comprehensive("q", "c", 6), _missing("c", "mi"), "sub AS (SELECT qid * 100 + n AS qid, question FROM mi)", _comprehensive("sub", "cf", 6),
+    "u AS (SELECT qid, id, base_id, score, 0 AS hop, 1 AS turn, rk AS old_rank FROM c UNION ALL SELECT qid // 100, id, base_id, score, 1, qid % 100, rk FROM cf)", _first("u", "base_id", "m", 12, "hop, turn, old_rank, id"),
+]) + " SELECT qid, rk AS rank, id, score FROM m")
+def multi_hop_followed(spark, sf_dir):
+    """Hops that ask on for what the hits before have missing; the third hop would repeat the second's searches and isn't made."""
+    return retrieval.multi_hop(*_parts(spark, sf_dir), 12, follow=retrieval.missing).select("qid", "rank", "id", "score")

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ivf, vectors
+from ..functions import where
+from ..operators import enrich, ivf, vectors
 from ..sources import corpus, store
 from .registry import _searches, _topk_sql, query
 
@@ -72,3 +73,30 @@ def upsert_merge(spark, sf_dir):
     for part in ("seq % 3 <> 0", "seq % 3 <> 1", "seq % 2 = 0", "seq % 2 = 0"):
         store.merge(rows.where(part), path)
     return store.read(spark, path)
+
+
+# --- Metadata filters --------------------------------------------------------------------------------------------------
+
+WHERE = {"$and": [{"label": {"$in": [1, 2, 3, 4]}}, {"$or": [{"page": {"$gte": 12}}, {"kind": "odd"}]}, {"draft": {"$ne": True}}, {"$not": {"page": 3}}]}
+
+
+@query(_topk_sql(8, "b.label IN (1, 2, 3, 4) AND (b.vec_id % 20 >= 12 OR b.vec_id % 2 = 1) AND b.vec_id % 5 <> 0 AND b.vec_id % 20 <> 3"))
+def vec_where_topk(spark, sf_dir):
+    """A nested filter over each vector's JSON metadata, before the search."""
+    asked, rows = _searches(spark, sf_dir)
+    v = F.col("vec_id")
+    facts = F.struct(F.col("label"), (v % 20).alias("page"), F.when(v % 2 == 1, "odd").otherwise("even").alias("kind"), F.when(v % 5 == 0, True).alias("draft"))
+    held = rows.withColumn("metadata", enrich.metadata_map(F.to_json(facts)))
+    return vectors.top_k(asked, held, 8, where.compiled(WHERE, where.in_map(F.col("metadata"))))
+
+
+_FILTER = {"$or": [{"event_type": {"$in": ["click", "view"]}}, {"value": {"$gt": 50}}], "user_id": {"$lt": 500}}
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value::decimal(38, 6))::double, 4) AS total FROM events WHERE (event_type IN ('click', 'view') OR value > 50) AND user_id < 500 GROUP BY event_type")
+def where_columns(spark, sf_dir):
+    """The same kind of filter over columns, where the scan takes it."""
+    events = corpus.table(spark, sf_dir, "events")
+    fields = where.in_columns(event_type=F.col("event_type"), value=F.col("value"), user_id=F.col("user_id"))
+    rows = events.where(where.compiled(_FILTER, fields))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(38,6)")).cast("double"), 4).alias("total"))

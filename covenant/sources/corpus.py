@@ -59,6 +59,24 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, question string")
 
 
+#: Questions in SQL that both engines read: what is asked in conversations, each after a canned one, and benchmark items.
+ASKED = """
+SELECT conv_id * 100000 + turn AS qid, trim(concat({canned}, ' ', coalesce(text, ''))) AS question FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+UNION ALL SELECT -1 - item_id, trim(coalesce(text, '')) FROM benchmark WHERE item_id IS NOT NULL
+"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, question: every turn of the conversations after a canned question, and every benchmark item."""
+    names = ", ".join("'" + q.replace("'", "\\'") + "'" for q in QUESTIONS)
+    sql = ASKED.format(canned=f"element_at(array({names}), cast((conv_id + turn) % {len(QUESTIONS)} + 1 AS int))")
+    sql = sql.replace("FROM conversations", "FROM {conversations}").replace("FROM benchmark", "FROM {benchmark}")
+    return spark.sql(sql, conversations=table(spark, sf_dir, "conversations"), benchmark=table(spark, sf_dir, "benchmark"))
+
+
+ASKED_DUCKDB = ASKED.format(canned="list_extract([" + ", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + f"], ((conv_id + turn) % {len(QUESTIONS)} + 1)::int)")
+
+
 def jsonl_chunks(spark: SparkSession, path: str, keep_empty: bool = True) -> DataFrame:
     """id, text, metadata (JSON) of each valid line of the JSONL files in path.
 
