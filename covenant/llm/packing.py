@@ -44,7 +44,9 @@ SORTED_FILLINGS = 8
 #: Steps of a node's enumeration at most.
 STEPS = 200
 #: Distinct words whose ids a task remembers.
-CACHED_TOKENS = 80_000
+CACHED_TOKENS = 250_000
+#: Distinct letter runs of such words; they are only looked up for a word that isn't remembered.
+CACHED_RUNS = 50_000
 #: Pieces that are numbered together in one group, on average.
 GROUP_ROWS = 20_000
 
@@ -109,7 +111,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHED_TOKENS:
             self.words.clear()
-        if len(self.runs) > CACHED_TOKENS:
+        if len(self.runs) > CACHED_RUNS:
             self.runs.clear()
         words, out = self.words, []
         for text in texts:
