@@ -17,33 +17,42 @@ from pyspark.sql import DataFrame, SparkSession
 from covenant.llm import jaccard, mixing, packing, quality, queries, secrets
 from covenant.llm._common import shared_dir
 
+#: Texts are long, so few of them go to a Python worker at a time: rows and bytes of a batch at most.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _columns(docs: DataFrame) -> DataFrame:
+    """The columns of documents, in batches that a worker holds easily."""
+    for name, value in BATCHES.items():
+        docs.sparkSession.conf.set(name, value)
+    return docs.select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are too short, repeat themselves or score below the threshold go; the kept rows stay as they are."""
-    return quality.keep(docs.select(*COLUMNS), queries.trusted_ids(spark, sf_dir))
+    return quality.keep(_columns(docs), queries.trusted_ids(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays."""
-    return jaccard.deduplicate(docs.select(*COLUMNS))
+    return jaccard.deduplicate(_columns(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; n_chars follows."""
-    docs = docs.select(*COLUMNS)
+    docs = _columns(docs)
     return secrets.redact(docs, secrets.train(secrets.samples(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources get equal weights: documents are left out or repeated, and shuffled."""
-    return mixing.replicate(docs.select(*COLUMNS)).select(*COLUMNS)
+    return mixing.replicate(_columns(docs)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, queries.tokenizer_path())
+    return packing.pack(_columns(docs), queries.tokenizer_path())
 
 
 STAGES = [

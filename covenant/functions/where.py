@@ -59,11 +59,11 @@ def _compared(name: str, test: str, value: Any, field: Field) -> Column:
         return any_of if test == "$in" else ~any_of
     if test not in _COMPARED:
         raise ValueError(f"no comparison {test}")
-    return F.coalesce(_COMPARED[test](field(name, _kind(value)), F.lit(value)), F.lit(False))
+    return _COMPARED[test](field(name, _kind(value)), F.lit(value))
 
 
 def compiled(where: dict | None, field: Field) -> Column:
-    """The filter as a column that is true or false; none is true for every row."""
+    """The filter as a column that is true for rows that fit, false or null for others; none is true for every row."""
     parts = []
     for name, value in (where or {}).items():
         if name in ("$and", "$or"):
@@ -71,7 +71,7 @@ def compiled(where: dict | None, field: Field) -> Column:
                 raise ValueError(f"{name} takes a list of filters")
             parts.append(reduce(and_ if name == "$and" else or_, (compiled(v, field) for v in value)))
         elif name == "$not":
-            parts.append(~compiled(value, field))
+            parts.append(~F.coalesce(compiled(value, field), F.lit(False)))
         elif name.startswith("$"):
             raise ValueError(f"no operator {name}")
         elif isinstance(value, dict):

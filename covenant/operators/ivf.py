@@ -66,7 +66,7 @@ def fit(vectors: DataFrame, nlist: int, key: str = "vec_id", rounds: int = 2, me
     order = F.md5(F.col(key).cast("string").cast("binary"))
     sample = vectors.where(f"embedding is not null and {key} is not null").orderBy(order, key).limit(sample_rows).select("embedding")
     first = vectors.where(f"embedding is not null and {key} is not null").orderBy(order, key).limit(nlist).select("embedding").collect()
-    centres = _fixed(np.array([r.embedding for r in first], np.float64).reshape(len(first), -1), metric)
+    centres = _fixed(np.array([r.embedding for r in first], np.float64) if first else np.empty((0, 0)), metric)
 
     def moved(centres: np.ndarray) -> np.ndarray:
         size = centres.shape[1]
