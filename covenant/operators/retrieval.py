@@ -8,8 +8,9 @@ priority. Where scores are even, the order is that of the search: seeds first, t
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -242,3 +243,15 @@ def multi_hop(asked: DataFrame, encode: Encoder, chunks: DataFrame, k: int = 12,
     if found is None:
         found = comprehensive(asked, encode, chunks, each).withColumns({"turn": F.lit(1).cast("bigint"), "hop": F.lit(0)})
     return _first(found.withColumn("base_id", t.base_id(F.col("id"))), "base_id", k, ["hop", "turn", "rank", "id"])
+
+
+def fixed_questions(spark: SparkSession, encode: Encoder, chunks: DataFrame, only: str | None = None) -> DataFrame:
+    """The hits of the questions that are always the same, or of the one of that name, by the strategy that their analysis gives."""
+    asked = spark.createDataFrame([(n, *x) for n, x in enumerate(vocab.FIXED_QUESTIONS) if only in (None, x[0])], "qid bigint, helper string, question string, k int")
+    facts = asked.select("*", *[v.alias(c) for c, v in analyze.quick_analysis(F.col("question")).items()])
+    method = analyze.strategy(F.col("intent"), F.col("specificity"), F.col("aggregates"))["method"]
+    found = []
+    for r in facts.select("qid", "k", method.alias("method")).collect():  # a few constants
+        search = comprehensive if r.method == "comprehensive" else entities_focused
+        found.append(search(asked.where(F.col("qid") == r.qid).select("qid", "question"), encode, chunks, r.k))
+    return reduce(DataFrame.unionByName, found).join(asked.select("qid", "helper"), "qid")

@@ -12,7 +12,7 @@ from ..functions import vocab
 from ..operators import analyze, answers, cascade, chunking, enrich, retrieval
 from ..sources import corpus
 from .registry import _ASKED_KINDS, _CON, _INTENT, _KEYS, _LESSEE, _LESSOR, _TOLD, _WS, _any, _entity_sql, _first, _pages, _q, query
-from .searches import _HEAD, _comprehensive, _parts
+from .searches import _HEAD, _comprehensive, _entities, _parts
 
 # --- Questions ---------------------------------------------------------------------------------------------------------
 
@@ -153,11 +153,24 @@ def search_confidence(spark, sf_dir):
 
 
 def contract_pages(spark, sf_dir):
-    """Contracts as pages: a table of contents for some, the text, and a signature page."""
-    docs = corpus.contracts(spark, sf_dir).select("doc_id", "kind", "text")
-    toc = F.when(F.col("kind") < 2, F.lit("Table of Contents\nARTICLE 1 - PAYMENT ..... 2 \n\nARTICLE 2 - TERM ..... 2 \n\n2.1 Area ..... 2 \n\n"))
-    last = F.when(F.col("kind") == 3, F.concat(F.lit("Signature Page\n"), F.repeat(F.lit("Signed and sealed by the parties on the day above. "), 4), F.lit("\nExhibit A-1 follows.\n"), F.repeat(F.lit("plan "), 30)))
-    pages = F.filter(F.array(toc, F.col("text"), last), lambda x: x.isNotNull())
+    """Contracts as pages, in forms that the cascade treats in different ways, by their number.
+
+    A table of contents before what it lists, or after its first entry (so that nothing stands before that); lines of
+    two words between short sections; headings of three long words; a signature page and an exhibit; the bare text.
+    """
+    docs = corpus.contracts(spark, sf_dir).select("doc_id", "text")
+    form = F.col("doc_id") % 7
+    clause = F.concat(F.lit("Both sides keep to what is agreed here under number "), "doc_id", F.lit(" for as long as it lasts"))
+    part = lambda k, name: F.concat(F.lit(f"\n{k}. {name}\n"), F.array_join(F.array_repeat(clause, 12 + k), "\n"))
+    toc = F.lit("Table of Contents\nARTICLE 1 - PAYMENT..1 \n\nARTICLE 2 - TERM..2 \n\nARTICLE 3 - USE..3 \n\n")
+    one, two, three = part(1, "PAYMENT"), part(2, "TERM"), part(3, "USE")
+    short = F.array_join(F.transform(F.sequence(F.lit(1), 160 + F.col("doc_id") % 5), lambda k: F.concat(F.lit("A. Aa\nB. Dues for "), k)), "\n")
+    heads = F.concat("text", F.lit("\nREPRESENTATIONS CONSIDERATIONS INDEMNIFICATIONS\nARTICLE 9 - NOTICES\n"), F.array_join(F.array_repeat(clause, 8), "\n"))
+    last = F.concat(F.lit("Signature Page\n"), F.repeat(F.lit("Signed and sealed by the parties on the day above. "), 4), F.lit("\nExhibit A-1 follows.\n"), F.repeat(F.lit("plan "), 30))
+    pages = (
+        F.when(form == 0, F.array(toc, one, two, three)).when(form == 1, F.array(one, toc, two, three)).when(form == 2, F.array(short))
+        .when(form == 3, F.array(heads)).when(form == 4, F.array("text", last)).otherwise(F.array("text"))
+    )
     return docs.select("doc_id", F.posexplode(pages).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("page_no"), "text")
 
 
@@ -275,3 +288,27 @@ def base_documents(spark, sf_dir):
     return corpus.table(spark, sf_dir, "embeddings").select("vec_id", t.base_document(made).alias("doc_id"))
 
 
+
+
+# --- Fixed questions, messages and their conversations ------------------------------------------------------------------
+
+_FIXED = "WITH q(qid, question) AS (VALUES " + ", ".join(f"({n}, {_q(x)})" for n, (_, x, _) in enumerate(vocab.FIXED_QUESTIONS)) + ")" + _HEAD[_HEAD.index(", con AS ("):]
+_FIXED_K = "CASE qid " + " ".join(f"WHEN {n} THEN {k}" for n, (_, _, k) in enumerate(vocab.FIXED_QUESTIONS)) + " END"
+
+
+@query(_FIXED + ",\n  ".join(["qs AS (SELECT * FROM q WHERE qid = 3)", _comprehensive("q", "c", 20), _entities("qs", "s", 15)])
+       + f""" SELECT list_extract([{', '.join(_q(n) for n, _, _ in vocab.FIXED_QUESTIONS)}], qid + 1) AS helper, rk AS rank, id, score
+  FROM (SELECT qid, rk, id, score FROM c WHERE qid <> 3 AND rk <= {_FIXED_K} UNION ALL SELECT qid, rk, id, score FROM s)""")
+def fixed_questions(spark, sf_dir):
+    """All companies, financial terms, key dates and a summary: questions that are always the same, with hits of their own number."""
+    _, encode, rows = _parts(spark, sf_dir)
+    return retrieval.fixed_questions(spark, encode, rows).select("helper", "rank", "id", "score")
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS turns, arg_min(text, turn) AS opening FROM conversations GROUP BY conv_id)
+  SELECT m.conv_id, m.turn, m.role, c.turns, CASE WHEN length(opening) > 40 THEN substr(opening, 1, 40) || '...' ELSE opening END AS opening FROM conversations m JOIN c USING (conv_id)""")
+def chat_messages(spark, sf_dir):
+    """Messages with what is known of their conversation: its turns and how it opens."""
+    rows = corpus.table(spark, sf_dir, "conversations")
+    each = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), t.preview(F.min_by("text", "turn"), 40).alias("opening"))
+    return rows.select("conv_id", "turn", "role").join(each, "conv_id")

@@ -283,6 +283,7 @@ def _of(kind: str, pattern: str) -> str:
 
 _MONEY_TAIL = r"[^\d]*(?:\$|Tk\.?\s*)([\d,]+\.?\d*)"
 _TERM = r"(?:term|period)\s+of\s+(\d+)\s+(years?|months?)"
+_AREA = r"([\d,]+\.?\d*)\s*(?:sq\.?\s*ft\.?|square\s+feet|sqft)"
 _ADDRESS = r"(?:located\s+at|property\s+address|premises)[^\n]*?([A-Za-z0-9\s,.-]+(?:Road|Street|Avenue|Building|Centre|Complex)[A-Za-z0-9\s,.-]*)"
 
 
@@ -336,7 +337,7 @@ _LISTS_SQL = ", ".join(f"{_entity_sql(k)} AS {k}" for k in _SHOWN)
 _COUNT = lambda k: f"(CASE WHEN {k} = '' THEN 0 ELSE len(string_split({k}, '; ')) END)"
 _RICH_SQL = (
     "concat_ws(chr(10), 'DOCUMENT TYPE: ' || doc_type, 'CLAUSE TYPE: ' || clause_type, 'SECTION: Contract ' || kind, "
-    + ", ".join(f"CASE WHEN {_COUNT(k)} BETWEEN 1 AND 5 THEN '{k.upper()}: ' || replace({k}, '; ', ', ') END" for k in _SHOWN) + ") || chr(10) || chr(10) || 'CONTENT:' || chr(10) || text"
+    + ", ".join(f"CASE WHEN {_COUNT(k)} BETWEEN 1 AND 5 THEN '{k.upper()}: ' || replace({k}, '; ', ', ') END" for k in _SHOWN) + ", 'PROPERTY: ' || address, 'AREA: ' || area || ' sq ft', 'DATE: ' || dated) || chr(10) || chr(10) || 'CONTENT:' || chr(10) || text"
 )
 _ENTITY_TEXT_SQL = "nullif(" + " || ".join(f"CASE WHEN {k} <> '' THEN '{k.upper()}: ' || replace({k}, '; ', ', ') || chr(10) ELSE '' END" for k in _SHOWN) + ", '')"
 
@@ -344,12 +345,14 @@ _ENTITY_TEXT_SQL = "nullif(" + " || ".join(f"CASE WHEN {k} <> '' THEN '{k.upper(
 def _rich(spark, sf_dir):
     rows = _typed(spark, sf_dir).withColumn("header", F.concat(F.lit("Contract "), "kind"))
     rows = rows.withColumns({k: enrich.entities(F.col("text"), k) for k in _SHOWN})
-    found, none = {k: F.col(k) for k in _SHOWN}, F.lit(None).cast("string")
-    rich = enrich.rich_text(F.col("text"), F.col("header"), F.col("doc_type"), F.col("clause_type"), found, none, none, none)
+    found, text = {k: F.col(k) for k in _SHOWN}, F.col("text")
+    facts = [enrich.field(text, "property_address", F.col("doc_type")), enrich.field(text, "area_sqft", F.col("doc_type")), enrich.dated(text, "effective_date")]
+    rich = enrich.rich_text(text, F.col("header"), F.col("doc_type"), F.col("clause_type"), found, *facts)
     return rows.withColumn("id", F.concat(F.lit("c"), "doc_id")).withColumn("rich", rich).withColumn("entity_text", enrich.entity_text(F.col("text"), found))
 
 
-@query(_TYPED_SQL + f""", l AS (SELECT *, 'c' || doc_id AS id, {_LISTS_SQL} FROM clause), e AS (SELECT *, {_RICH_SQL} AS rich, {_ENTITY_TEXT_SQL} AS listed FROM l)
+@query(_TYPED_SQL + f""", l AS (SELECT *, 'c' || doc_id AS id, {_LISTS_SQL}, nullif(trim(regexp_extract(text, {_q('(?i)' + _ADDRESS)}, 1), {_WS}), '') AS address,
+    {_found('text', _AREA)} AS area, {_date_sql('effective|execution|signing|dated')} AS dated FROM clause), e AS (SELECT *, {_RICH_SQL} AS rich, {_ENTITY_TEXT_SQL} AS listed FROM l)
   SELECT 'main' AS collection, id, rich AS text, NULL::varchar AS search_type FROM e
   UNION ALL SELECT 'entities', id || '_entities', 'ENTITIES FOUND:' || chr(10) || listed || chr(10) || 'CONTEXT:' || chr(10) || text, 'entities' FROM e WHERE listed IS NOT NULL
   UNION ALL SELECT 'clauses', id || '_clause', 'CLAUSE TYPE: ' || clause_type || chr(10) || 'DOCUMENT TYPE: ' || doc_type || chr(10) || 'Contract ' || kind || chr(10) || chr(10) || text, 'clause' FROM e""")
