@@ -3,8 +3,9 @@
 Three base patterns (assignments, access keys, hex strings), and identifier-like
 tokens told from ordinary ones by two character Markov models: one of random strings,
 one of ordinary identifiers, compared by log-likelihood ratio. Both are trained from
-samples that the base patterns label: what they find is random, the words of
-documents without a find are ordinary.
+labelled samples: what the base patterns find is random, and so are strings that are
+drawn from several alphabets by a hash; the words of documents without a find are
+ordinary.
 
 Offsets are code points. A pattern's matches and the text between them alternate, so
 running sums of their lengths give the offsets. Null and empty texts have no spans;
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the base patterns.
@@ -35,11 +36,13 @@ LEAST_TOKEN = 16
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}"
 #: Labelled samples: at most so many random strings and so many ordinary words, first by hash.
 RANDOM_ROWS = 20_000
+#: Random strings that are drawn, of all alphabets together, and their characters.
+DRAWN_ROWS, DRAWN_CHARS = 20_000, 40
 ORDINARY_ROWS = 40_000
 #: Documents whose words are ordinary samples.
 ORDINARY_DOCS = 1_000
-#: A token is a secret if the ratio is this high in nats a transition.
-THRESHOLD = 1.0
+#: A token is a secret if the ratio is this high in nats a transition. Ordinary names lie below 0.
+THRESHOLD = 0.5
 PLACEHOLDER = "<SECRET>"
 
 
@@ -86,6 +89,15 @@ def with_base(docs: DataFrame) -> DataFrame:
     return out.withColumn("__base", F.array_sort(spans))
 
 
+def drawn(spark: SparkSession, rows: int = DRAWN_ROWS) -> DataFrame:
+    """value: random strings of base64, URL-safe base64, letters and digits, capitals and digits, and hex, by a hash of their number."""
+    seed = F.sha2(F.concat(F.lit("random-"), F.col("id")), 512)
+    full = F.base64(F.unhex(seed))
+    letters = F.translate(full, "+/=", "")
+    by_kind = [full, F.translate(full, "+/", "-_"), letters, F.upper(letters), seed]
+    return spark.range(rows).select(F.substring(F.element_at(F.array(*by_kind), (F.col("id") % len(by_kind) + 1).cast("int")), 1, DRAWN_CHARS).alias("value"))
+
+
 def samples(docs: DataFrame) -> DataFrame:
     """label ('random' or 'ordinary') and value of the bounded training sample."""
     finds = with_base(docs.select("text")).select(F.explode("__base").alias("span"))
@@ -94,6 +106,7 @@ def samples(docs: DataFrame) -> DataFrame:
     chosen = with_base(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")).where(F.size("__base") == 0)
     words = chosen.select(F.explode(F.regexp_extract_all(F.col("__text"), F.lit("[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("value")).distinct()
     ordinary = words.orderBy(F.xxhash64("value"), "value").limit(ORDINARY_ROWS)
+    random = random.union(drawn(docs.sparkSession))
     return random.select(F.lit("random").alias("label"), "value").union(ordinary.select(F.lit("ordinary").alias("label"), "value"))
 
 
