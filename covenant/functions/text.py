@@ -77,6 +77,11 @@ def totals(text: Column, groups: Sequence[Sequence[str]]) -> Column:
     return out
 
 
+def counted(text: Column, phrases: Sequence[str]) -> Column:
+    """Occurrences of all the phrases together."""
+    return totals(text, [phrases])[0]
+
+
 def strip(text: Column) -> Column:
     """text without ASCII white space at its ends."""
     return F.btrim(text, F.lit(" \t\n\x0b\f\r"))

@@ -43,13 +43,20 @@ def roles_named(text: Column, kind: Column) -> dict[str, Column]:
     return out
 
 
-def with_parties(docs: DataFrame, text: str = "text", kind: str = "doc_type") -> DataFrame:
-    """docs with a column for each role's party and, where a document has none of them, the two of a BETWEEN ... AND ... ."""
-    named = roles_named(F.col(text), F.col(kind))
+def parties(text: Column, kind: Column, none: Column | None = None) -> dict[str, Column]:
+    """Each role's party, by document type; without any, the two of a BETWEEN ... AND ... . none: whether there is none, if it is known already."""
+    named = roles_named(text, kind)
     side = lambda k: t.strip(F.regexp_extract(text, "(?isd)" + vocab.BETWEEN, k))
     name = rf"([A-Z][A-Za-z\s&]+(?:{vocab.BETWEEN_ENDINGS}))"
-    none = F.coalesce(*named).isNull()
-    return docs.withColumns(named).withColumns({f"party_{k}": F.when(none, t.strip(t.found(side(k), name, flags=""))) for k in (1, 2)})
+    none = F.coalesce(*named.values()).isNull() if none is None else none
+    return named | {f"party_{k}": F.when(none, t.strip(t.found(side(k), name, flags=""))) for k in (1, 2)}
+
+
+def with_parties(docs: DataFrame, text: str = "text", kind: str = "doc_type") -> DataFrame:
+    """docs with a column for each of parties(): roles first, so that no pattern is tried again to see whether there is none."""
+    named = roles_named(F.col(text), F.col(kind))
+    sides = parties(F.col(text), F.col(kind), F.coalesce(*named).isNull())
+    return docs.withColumns(named).withColumns({k: v for k, v in sides.items() if k not in named})
 
 
 def field(text: Column, name: str, kind: Column) -> Column:
