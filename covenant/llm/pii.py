@@ -5,12 +5,12 @@ value is a protected entity c. Terms near its mentions may reveal it even after
 is replaced. How strongly a term t does is estimated over the corpus: with document
 frequencies df and the documents n(c,t) in which t stands near c,
 
-    PMI(c;t) = log2( n(c,t) * N / (df(c) * df(t)) ),    IC(c) = log2( N / df(c) ).
+    PMI(c;t) = log2( (n(c,t) - DISCOUNT) * N / (df(c) * df(t)) ),    IC(c) = log2( N / df(c) ).
 
-A term with PMI > ALPHA * IC discloses the entity, if at least MIN_SUPPORT documents
-show them together (one chance neighbour is no estimate). It is generalised to a
-shorter stem followed by ``*`` if the stem discloses less than the threshold, else
-removed. This holds for each document that mentions the entity, wherever the term
+The discount takes most from pairs seen once, so that an entity of one document has
+terms that disclose it as well, but only very rare ones. A term with PMI > ALPHA * IC
+discloses the entity. It is generalised to a shorter stem followed by ``*`` if the stem
+discloses less than the threshold, else removed. This holds for each document that mentions the entity, wherever the term
 stands in it.
 
 Null and empty texts have no spans. Repeated rows are documents of their own: they
@@ -37,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of a mention that are its context.
 CONTEXT = 6
 ALPHA = 0.8
-MIN_SUPPORT = 2
+#: Taken off each count of documents that show an entity and a term together.
+DISCOUNT = 0.5
 #: Letters that a generalised term keeps.
 STEM = 3
 #: Bytes that a term is taken to need in a table that may be broadcast.
@@ -132,7 +133,10 @@ def _near(text: str, spans: list[tuple[int, int, int]], width: int = CONTEXT) ->
 
 
 def contexts(docs: DataFrame, width: int = CONTEXT) -> DataFrame:
-    """doc_id, entity (a digest), term: one row per term near a mention; term '' stands for the mention itself."""
+    """doc_id, entity (a digest), term: one row per term near a mention; term '' stands for the mention itself.
+
+    A document with a mention also has a row with entity '' for each term anywhere in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -142,6 +146,7 @@ def contexts(docs: DataFrame, width: int = CONTEXT) -> DataFrame:
                     for entity, terms in _near(text, spans, width):
                         digest = hashlib.blake2b(entity.encode("utf-8", "replace"), digest_size=12).hexdigest()
                         rows += [(doc_id, digest, term) for term in ("", *sorted(terms))]
+                    rows += [(doc_id, "", term) for term in sorted({t.lower() for t in _TERM.findall(text)})]
             ids, entities, terms = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(entities, pa.string()), pa.array(terms, pa.string())], names=["doc_id", "entity", "term"])
 
@@ -162,40 +167,43 @@ def frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term")
 
 
-def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
-    """doc_id, terms: (term, shown) pairs that disclose an entity the document mentions; shown replaces the term ('' removes).
+def disclosing(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT) -> DataFrame:
+    """doc_id, terms: the document's (term, shown) pairs that disclose an entity it mentions; shown replaces the term ('' removes).
 
-    They hold wherever the term stands in the document, so it needn't stand there at all.
+    A document's terms are looked up, not an entity's, so that nobody's terms are listed in one row:
+    a document's list is never longer than its text. As PMI > ALPHA * IC means that more than
+    (df(c) / N) ** (1 - ALPHA) of a term's documents show it near the entity, a term has few entities.
     """
     near = written(contexts(docs), "contexts")
     n = docs.count()
-    mentions = near.where("term = ''").groupBy("entity").agg(F.count("*").alias("df_c"))
+    mentions = near.where("entity <> '' and term = ''")
+    frequent = mentions.groupBy("entity").agg(F.count("*").alias("df_c"))
     stem = F.concat(F.substring("term", 1, STEM), F.lit("*"))
-    terms = near.where("term <> ''")
-    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    pairs = written(pairs.join(mentions, "entity").withColumn("stem", stem), "together")
+    terms = near.where("entity <> '' and term <> ''")
+    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    pairs = written(pairs.join(frequent, "entity").withColumn("stem", stem), "together")
     stems = terms.select("doc_id", "entity", stem.alias("stem")).distinct().groupBy("entity", "stem").agg(F.count("*").alias("n_cs"))
     wanted = written(pairs.select("term").union(pairs.select("stem")).distinct(), "wanted")
     df = written(frequencies(docs, wanted), "frequencies")
-    pmi = lambda both, of: F.log2(F.col(both) * F.lit(float(n)) / (F.col("df_c") * F.col(of)))
+    pmi = lambda both, of: F.log2((F.col(both) - F.lit(discount)) * F.lit(float(n)) / (F.col("df_c") * F.col(of)))
     most = F.lit(alpha) * F.log2(F.lit(float(n)) / F.col("df_c"))
     judged = (
         pairs.join(df.withColumnRenamed("df", "df_t"), "term")
+        .where((pmi("n_ct", "df_t") > most) & (most > 0))
         .join(df.select(F.col("term").alias("stem"), F.col("df").alias("df_s")), "stem")
         .join(stems, ["entity", "stem"])
-        .where((pmi("n_ct", "df_t") > most) & (most > 0))
         .select("entity", "term", F.when(pmi("n_cs", "df_s") <= most, F.col("stem")).otherwise(F.lit("")).alias("shown"))
     )
     judged = written(judged, "judged")
-    # One row per entity, so that the join makes one row per mention and not one per mention and term.
-    lists = judged.groupBy("entity").agg(F.collect_list(F.struct("term", "shown")).alias("terms"))
-    hits = near.where("term = ''").select("doc_id", "entity").join(small_or_shuffled(lists, judged.count(), TERM_BYTES), "entity")
-    return hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    standing = near.where("entity = ''").select("doc_id", "term").distinct()
+    found = standing.join(small_or_shuffled(judged, judged.count(), TERM_BYTES), "term")
+    hits = found.join(mentions.select("doc_id", "entity"), ["doc_id", "entity"], "left_semi")
+    return hits.groupBy("doc_id").agg(F.collect_set(F.struct("term", "shown")).alias("terms"))
 
 
-def _marks(docs: DataFrame, alpha: float, support: int) -> DataFrame:
+def _marks(docs: DataFrame, alpha: float, discount: float) -> DataFrame:
     """docs with the column __terms: disclosing terms and what is shown."""
-    marked = disclosing(docs, alpha, support).select(F.col("doc_id").alias("__id"), F.col("terms").alias("__terms"))
+    marked = disclosing(docs, alpha, discount).select(F.col("doc_id").alias("__id"), F.col("terms").alias("__terms"))
     marked = written(marked, "marked")
     terms = marked.agg(F.sum(F.size("__terms") + 1)).first()[0] or 0
     return docs.join(small_or_shuffled(marked, terms, TERM_BYTES), F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
@@ -223,7 +231,7 @@ def term_spans(text: str, spans: list[tuple[int, int, int]], terms: dict[str, st
     return out
 
 
-def scan(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
+def scan(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT) -> DataFrame:
     """doc_id, counts of the base kinds, base (listed), spans (listed), n_terms."""
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string, n_terms bigint"
 
@@ -238,11 +246,11 @@ def scan(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> D
             kinds = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    marked = _marks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), alpha, support)
+    marked = _marks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), alpha, discount)
     return marked.select("doc_id", "text", "__terms").mapInArrow(run, schema)
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT) -> DataFrame:
     """docs with base spans replaced by <KIND>, disclosing terms generalised or removed."""
     names, schema = docs.columns, docs.schema
 
@@ -263,4 +271,4 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = MIN_SUPPORT)
             columns = [pa.array(out, pa.string()) if k == "text" else batch[k] for k in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _marks(docs, alpha, support).mapInArrow(run, schema)
+    return _marks(docs, alpha, discount).mapInArrow(run, schema)

@@ -4,6 +4,13 @@ Two multinomials over hashed word n-grams are estimated: one from trusted target
 documents, one from the whole raw corpus. A document's score is the mean log ratio
 of its n-grams, so length doesn't matter, and every document is held against the
 same threshold. A document without words scores 0 and fails the base rule.
+
+Both the number of hash cells and the threshold follow the corpus. Cells grow with the
+square root of its bytes, about as distinct n-grams do. Every fifth trusted document is
+left out of the target multinomial; the threshold is set on the scores of these and of
+the documents known to be bad, which a larger corpus shifts as it does all others.
+Where no trusted document is held out, nothing is rejected but by the base rules.
+
 Null and empty texts count as texts without words; repeated rows are judged alike;
 an empty table gives an empty result. Only the named columns of an input are read,
 so further columns and their names don't matter.
@@ -11,22 +18,26 @@ so further columns and their names don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import EXACT, FOLDED, mixed, sliced, windows, word_hashes
 
-#: Hash buckets of the two multinomials; the weights sent to tasks have this many entries.
-BUCKETS = 1 << 14
-#: The trusted multinomial is fitted on at most this many labelled documents, first by hash of their id.
-TRUSTED_ROWS = 20_000
-#: Documents whose mean log ratio in nats lies below are rejected. Labelled good documents score about 0,
-#: and none was seen below -0.03; labelled bad ones that pass the base rules score -0.06 or less.
-THRESHOLD = -0.05
+#: The multinomials have the next power of two above this times the square root of all texts' bytes as cells.
+CELLS_PER_ROOT = 2.0
+#: At most this many labelled documents of either kind are used, first by hash of their id.
+LABELLED_ROWS = 20_000
+#: One in so many trusted documents is held out for the threshold.
+HELD_OUT = 5
+#: A rejected share of the held-out trusted documents costs so many times the same share of kept bad ones.
+REJECTION_COST = 10
+#: Rows of a batch of counts.
+COUNT_ROWS = 1 << 16
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
@@ -48,46 +59,103 @@ def _raw(batch: pa.RecordBatch) -> list[bytes]:
     return [text.encode("utf-8", "replace") if text else b"" for text in batch["text"].to_pylist()]
 
 
+def cells_for(size: int) -> int:
+    """Cells of the multinomials of a corpus of so many bytes."""
+    return 1 << math.ceil(math.log2(max(1024.0, CELLS_PER_ROOT * math.sqrt(size))))
+
+
 def _counts(buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
+        waiting: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def add() -> None:
+            for k, some in enumerate(waiting):
+                if some:
+                    total[k] += np.bincount(np.concatenate(some), minlength=buckets)
+                    some.clear()
+
+        size = 0
         for batch in sliced(batches):
             for found, trusted in zip(word_hashes(_raw(batch), FOLDED), batch["trusted"].to_pylist(), strict=True):
                 if found.size:
-                    n = np.bincount(_buckets(found[0], buckets), minlength=buckets)
-                    total[0] += n
+                    waiting[0].append(_buckets(found[0], buckets))
+                    size += len(waiting[0][-1])
                     if trusted:
-                        total[1] += n
+                        waiting[1].append(waiting[0][-1])
+            if size >= max(buckets, COUNT_ROWS):  # so that adding costs no more than hashing
+                add()
+                size = 0
+        add()
         at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "raw", "target"]
-        )
+        for first in range(0, len(at), COUNT_ROWS):
+            part = at[first : first + COUNT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0][part]), pa.array(total[1][part])], names=["bucket", "raw", "target"])
 
     return count
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
-    """Log ratio of every bucket: target over raw, both smoothed by one count.
+def sampled(labelled: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """doc_id, good, held_out of a bounded number of labelled documents: trusted ones that are fitted or held out, and bad ones.
+
+    labelled: doc_id of trusted documents; a column good, where there is one, is false for bad ones.
+    A document labelled both ways is bad.
+    """
+    good = F.coalesce(F.col("good").cast("boolean"), F.lit(False)) if "good" in labelled.columns else F.lit(True)
+    ids = labelled.where("doc_id is not null").select("doc_id", good.alias("good")).groupBy("doc_id").agg(F.min("good").alias("good"))
+    first = lambda some: some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    held_out = ~F.col("good") | (F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0)
+    return first(ids.where("good")).unionByName(first(ids.where("not good"))).withColumn("held_out", held_out)
+
+
+def weights(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+    """Log ratio of every cell: target over raw, both smoothed by one count.
 
-    trusted: doc_id of trusted documents; a bounded sample of them is used. The raw
-    counts cover every document. Tasks sum up before the shuffle.
+    sample: sampled(); its trusted documents that aren't held out are the target. The raw
+    counts cover every document. Tasks sum up before the shuffle; one row for each cell
+    comes to the driver, which grows with the square root of the corpus.
     """
-    ids = (
-        trusted.select("doc_id").where("doc_id is not null").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
-        .select("doc_id", F.lit(True).alias("trusted"))
-    )
+    buckets = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    ids = sample.where("not held_out").select("doc_id", F.lit(True).alias("trusted"))
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", "trusted")
     counted = marked.mapInArrow(_counts(buckets), "bucket bigint, raw bigint, target bigint")
+    sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     both = np.zeros((2, buckets))
-    for row in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        both[:, row.bucket] = row.raw, row.target
+    both[:, sums["bucket"].to_numpy()] = sums["raw"].to_numpy(), sums["target"].to_numpy()
     if not both[1].any():
         return np.zeros(buckets, np.float32)
     smooth = np.log(both + 1) - np.log(both.sum(axis=1, keepdims=True) + buckets)
     return (smooth[1] - smooth[0]).astype(np.float32)
 
 
+def between(good: list[float], bad: list[float]) -> float:
+    """The threshold with the least cost: REJECTION_COST times the share of good scores below it, and the share of bad ones above.
+
+    It is midway between two neighbouring scores (of equally cheap places, the lowest). Without bad scores it is
+    as far below the lowest good one as that is below the median; without good ones it rejects nothing.
+    """
+    if not good:
+        return -math.inf
+    g, b = np.sort(good), np.sort(bad)
+    if not len(b):
+        return float(2 * g[0] - np.median(g))
+    every = np.unique(np.concatenate([g, b]))
+    places = np.concatenate([[every[0] - 1.0], (every[1:] + every[:-1]) / 2, [every[-1] + 1.0]])
+    cost = REJECTION_COST * np.searchsorted(g, places, "left") / len(g) + 1 - np.searchsorted(b, places, "left") / len(b)
+    return float(places[int(np.argmin(cost))])
+
+
+def fit(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_ROWS) -> tuple[np.ndarray, float]:
+    """Weights of the cells and the threshold, from all documents and at most 2 * rows labelled ones (see sampled)."""
+    sample = sampled(labelled, rows)
+    ratio = weights(docs, sample)
+    held = F.broadcast(sample.where("held_out").select("doc_id", "good"))
+    scored = score(docs.select("doc_id", "text").join(held, "doc_id", "left_semi"), ratio).where(~_base_failed())
+    # rows with one doc_id are one labelled document
+    found = scored.groupBy("doc_id").agg(F.min("score").alias("score")).join(held, "doc_id").collect()
+    return ratio, between([r.score for r in found if r.good], [r.score for r in found if not r.good])
+
+
 def _measure(raw: bytes, hashes: np.ndarray, ratio: np.ndarray) -> tuple:
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     exact, folded = hashes
@@ -128,19 +196,25 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCORED)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: base counts, base_failed, kept and score."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+
+
+def judge(docs: DataFrame, labelled: DataFrame, threshold: float | None = None) -> DataFrame:
+    """One row per document: base counts, base_failed, kept and score. threshold: in place of the fitted one."""
+    ratio, fitted = fit(docs, labelled)
+    least = fitted if threshold is None else threshold
     return (
-        score(docs, weights(docs, trusted))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        score(docs, ratio)
+        .withColumn("base_failed", _base_failed())
+        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
     )
 
 
-def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep(docs: DataFrame, labelled: DataFrame, threshold: float | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps. The texts aren't shuffled."""
-    ratio = weights(docs, trusted)
+    ratio, fitted = fit(docs, labelled)
+    least = fitted if threshold is None else threshold
     table = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +222,7 @@ def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> D
             kept, raw = [], _raw(batch)
             for x, h in zip(raw, word_hashes(raw, EXACT, FOLDED), strict=True):
                 n_words, _, _, _, repeated, value = _measure(x, h, ratio)
-                kept.append(n_words >= MIN_WORDS and 100 * repeated <= MAX_REPEATED_PERCENT * n_words and value >= threshold)
+                kept.append(n_words >= MIN_WORDS and 100 * repeated <= MAX_REPEATED_PERCENT * n_words and value >= least)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, table)

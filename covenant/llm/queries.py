@@ -36,8 +36,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are labelled good and not toxic."""
-    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    """Labelled documents: good and not toxic ones (good), and those of low quality (not good)."""
+    return table(spark, sf_dir, "labels").where("quality = 0 or toxic = 0").select("doc_id", (F.col("quality") == 1).alias("good"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,12 +121,14 @@ def test_quality_base_counts(spark, sf_dir, texts):
         assert not (r.base_failed and r.kept)
 
 
-def test_quality_tells_labelled_documents_apart(spark):
-    # the threshold is meant for corpora of 10,000 documents and more; of 1,000, about 1 % of the good ones are rejected
-    sf_dir = "/root/testdata/sf0.1"
-    rows = queries.op2_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("not base_failed").collect()
-    good, bad = [r.kept for r in rows if r.quality == 1 and not r.toxic], [r.kept for r in rows if r.quality == 0]
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_tells_labelled_documents_apart(spark, size):
+    sf_dir = f"/root/testdata/{size}"
+    held = quality.sampled(queries.trusted_ids(spark, sf_dir)).where("good and held_out").select("doc_id", "held_out")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(held, "doc_id", "left")
+    rows = queries.op2_quality(spark, sf_dir).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert np.mean(good) > 0.995 and np.mean([r.kept for r in rows if r.held_out]) > 0.98 and np.mean(bad) < 0.05
 
 
 def test_language_held_out_accuracy(spark):

@@ -66,20 +66,93 @@ def test_pii_terms_of_every_script(spark):
         assert all(f"term:15:{15 + len(word)}" in out[k] for k in range(5)) and all(out[k] == "" for k in range(5, 80))
 
 
+def plain_disclosing(texts):
+    """(doc_id, term, shown) by counting everything in plain Python."""
+    n, near, df, terms = len(texts), Counter(), Counter(), {}
+    df_c, near_stems, mentioned = Counter(), Counter(), {}
+    for k, text in texts.items():
+        terms[k] = {t.lower() for t in re.findall(r"[^\W\d_]{4,}", text or "")}
+        df.update(terms[k])
+        df.update({t[:3] + "*" for t in terms[k]})
+        mentioned[k] = dict(pii._near(text, pii.base_spans(text))) if text else {}
+        for c, own in mentioned[k].items():
+            df_c[c] += 1
+            near.update((c, t) for t in own)
+            near_stems.update({(c, t[:3] + "*") for t in own})
+    out, bits = set(), lambda both, c, of: math.log2((both - 0.5) * n / (df_c[c] * of))
+    for k, own in mentioned.items():
+        for c in own:
+            most = 0.8 * math.log2(n / df_c[c])
+            for t in terms[k]:
+                if (c, t) in near and bits(near[c, t], c, df[t]) > most > 0:
+                    stem = t[:3] + "*"
+                    out.add((k, t, stem if bits(near_stems[c, stem], c, df[stem]) <= most else ""))
+    return out
+
+
+def test_pii_terms_match_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    want = plain_disclosing({r.doc_id: r.text for r in docs.collect()})
+    got = {(r.doc_id, t.term, t.shown) for r in pii.disclosing(docs).collect() for t in r.terms}
+    assert got == want and len({k for k, _, _ in want}) > 8
+
+
+def test_pii_rare_name_by_an_address_of_one_document(spark):
+    rows = [(0, "call zanzibar of the office joe.smith@mail.example.com before these words")]
+    rows += [(k, f"call the office before these words again about other matters {k}") for k in range(1, 400)]
+    out = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert "term:5:13" in out[0] and "term:0:4" not in out[0] and all(out[k] == "" for k in range(1, 400))
+
+
+def test_pii_shared_address_with_many_terms(spark):
+    # each mention's own rare word is marked in its document, and no list holds the words of all
+    rows = [(k, f"call {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}zzq joe.smith@mail.example.com") for k in range(300)]
+    rows += [(k, "call the office before these words again") for k in range(300, 1200)]
+    out = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), alpha=0.4).collect()}
+    assert all(out[k].n_terms == 1 for k in range(300)) and all(out[k].n_terms == 0 for k in range(300, 1200))
+
+
 def test_quality_scores_match_a_plain_version(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    trusted = queries.trusted_ids(spark, sf_dir)
-    ids = {r.doc_id for r in trusted.collect()}
-    cells = {r.doc_id: quality._buckets(word_hashes([r.text.encode()], FOLDED)[0][0], quality.BUCKETS).tolist() for r in docs.collect() if r.text}
+    labelled = queries.trusted_ids(spark, sf_dir)
+    sample = quality.sampled(labelled).collect()
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert {r.doc_id for r in sample if r.good} == {k for k, v in labels.items() if v == (1, 0)}
+    assert {r.doc_id for r in sample if not r.good} == {k for k, v in labels.items() if v[0] == 0}
+    assert all(r.held_out for r in sample if not r.good) and 0.1 < np.mean([r.held_out for r in sample if r.good]) < 0.3
+    fitted = {r.doc_id for r in sample if not r.held_out}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
+    size = quality.cells_for(sum(len(t.encode()) for t in texts.values()))
+    cells = {k: quality._buckets(word_hashes([t.encode()], FOLDED)[0][0], size).tolist() for k, t in texts.items()}
     raw, good = Counter(), Counter()
     for k, own in cells.items():
         raw.update(own)
-        good.update(own if k in ids else ())
-    n, m = raw.total() + quality.BUCKETS, good.total() + quality.BUCKETS
-    for r in quality.judge(docs, trusted).where("n_words > 0").collect():
+        good.update(own if k in fitted else ())
+    n, m = raw.total() + size, good.total() + size
+    scores, rows = {}, quality.judge(docs, labelled).where("n_words > 0").collect()
+    for r in rows:
         own = cells[r.doc_id]
-        want = sum(math.log((good[c] + 1) / m) - math.log((raw[c] + 1) / n) for c in own) / len(own)
-        assert abs(r.score - want) < 1e-5
+        scores[r.doc_id] = sum(math.log((good[c] + 1) / m) - math.log((raw[c] + 1) / n) for c in own) / len(own)
+        assert abs(r.score - scores[r.doc_id]) < 1e-5
+    passed = {r.doc_id for r in rows if not r.base_failed}
+    of = lambda kind: [scores[r.doc_id] for r in sample if r.held_out and r.good == kind and r.doc_id in passed]
+    least = quality.between(of(True), of(False))
+    assert all(r.kept == (not r.base_failed and scores[r.doc_id] >= least) for r in rows if abs(scores[r.doc_id] - least) > 1e-5)
+
+
+def test_quality_threshold():
+    assert quality.between([], [1.0]) == -math.inf
+    assert quality.between([1.0, 2.0, 3.0], []) == 0.0
+    assert quality.between([0.0, 1.0], [-2.0, -1.0]) == -0.5
+    # one bad document in twenty that scores among the good ones doesn't cost a good one in a hundred
+    assert quality.between([x / 100 for x in range(100)], [0.005] + [-1.0] * 19) == -0.5
+    # where most bad ones score like the lowest of many good ones, that good one goes
+    assert 0.0 < quality.between([0.0, *[1 + x / 1000 for x in range(999)]], [0.1] * 9 + [-1.0]) < 1.0
+
+
+def test_quality_cells_follow_the_corpus():
+    sizes = [quality.cells_for(x) for x in (0, 10**6, 10**8, 10**10, 10**14)]
+    assert sizes == sorted(sizes) and sizes[0] == 1024 and sizes[-1] == 1 << 25
 
 
 def test_markov_spans_match_a_plain_version(spark):
