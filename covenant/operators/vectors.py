@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that go to tasks at a time; more are dealt out in blocks.
 QUERY_BLOCK = 2_000
-#: Vectors that are held against a block at a time.
-VECTOR_ROWS = 4_096
+#: Vectors, and queries of a block, that a task holds against each other at a time: so many scores are in memory, whatever the tables' sizes.
+VECTOR_ROWS, QUERY_ROWS = 4_096, 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,12 +65,14 @@ def _best_of_block(queries: DataFrame, rows: DataFrame, k: int, key: str, group:
                 part = table.filter(pc.equal(table[group], value)) if group else table
                 for at in range(0, part.num_rows, VECTOR_ROWS):
                     some = part.slice(at, VECTOR_ROWS).combine_chunks()
-                    scores = np.stack(some["embedding"].to_numpy(zero_copy_only=False)).astype("float64") @ matrix
-                    # rows are in order of their key, and the sort keeps that order where scores are even
-                    best = np.argsort(-np.round(scores, 6), axis=0, kind="stable")[:k]
-                    picked = some.select(names).take(pa.array(best.T.ravel()))
-                    out = [pa.array(np.repeat(qids, len(best))), *(picked[c].combine_chunks() for c in names), pa.array(np.take_along_axis(scores, best, 0).T.ravel())]
-                    yield pa.RecordBatch.from_arrays(out, names=["qid", *names, "score"])
+                    held = np.stack(some["embedding"].to_numpy(zero_copy_only=False)).astype("float64")
+                    for q in range(0, len(qids), QUERY_ROWS):
+                        scores = held @ matrix[:, q : q + QUERY_ROWS]
+                        # rows are in order of their key, and the sort keeps that order where scores are even
+                        best = np.argsort(-np.round(scores, 6), axis=0, kind="stable")[:k]
+                        picked = some.select(names).take(pa.array(best.T.ravel()))
+                        out = [pa.array(np.repeat(qids[q : q + QUERY_ROWS], len(best))), *(picked[c].combine_chunks() for c in names), pa.array(np.take_along_axis(scores, best, 0).T.ravel())]
+                        yield pa.RecordBatch.from_arrays(out, names=["qid", *names, "score"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.select(*names, "embedding").where("embedding is not null").mapInArrow(run, f"qid bigint, {kinds}, score double")
