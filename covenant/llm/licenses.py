@@ -6,9 +6,13 @@ are held against the templates'. Window and step are such that a whole copy of a
 template fills most of some window. With BANDS bands of ROWS hashes, a window as
 similar as s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.6,
 which is what a copy at the threshold reaches in its best window at worst, and over
-0.999997 at 0.8. With one hash a band, any window that holds one of a template's eight
-least shingles is verified, which is one pass over its shingles. What the bands retrieve is then verified: a match is a stretch of the
-text that holds at least CONTAINMENT percent of the template's distinct shingles.
+0.999997 at 0.8. With one hash a band, any window whose least shingle is one of a
+template's eight is verified, which is one pass over its shingles. A window's minimum can
+only be a template's where the window holds that shingle: these shingles (anchors) are
+looked up in every text first, and bands are made of the windows that hold one of their
+class, which gives the same windows as bands of all. What the bands retrieve is then
+verified: a match is a stretch of the text that holds at least CONTAINMENT percent of the
+template's distinct shingles.
 
 The templates are the full license texts and the standard notices in license_texts/;
 others can be given as a mapping. A catalogue of any size is dealt with in parts of
@@ -72,8 +76,13 @@ def _windows(texts: list[bytes]) -> list[np.ndarray]:
     return [windows(h[0], WIDTH) for h in word_hashes(texts, FOLDED, edges=_CUT)]
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which are sorted and not none."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Catalogue:
-    """Shingles and band keys of the templates, by length class."""
+    """Shingles, anchors (what makes a band's minimum) and band keys of the templates, by length class."""
 
     def __init__(self, templates: dict[str, str], bands: int = BANDS, rows: int = ROWS):
         rng = np.random.default_rng(20240607)
@@ -89,10 +98,12 @@ class Catalogue:
                 self.classes.setdefault(width, {"members": []})["members"].append(k)
         for width, one in self.classes.items():
             members = np.array(one["members"])
-            keys = np.array([self._bands(np.minimum.reduce(self._hashed(self.shingles[k]), axis=1)[:, None])[:, 0] for k in members])
+            anchors = np.array([self.shingles[k][self._hashed(self.shingles[k]).argmin(axis=1)] for k in members])
+            keys = np.array([self._bands(mixed(own * self.salts)[:, None])[:, 0] for own in anchors])
             order = np.argsort(keys, axis=0, kind="stable")
             least = min(len(np.unique(self.shingles[k])) for k in members)
-            one |= {"step": max(1, width // 8), "keys": np.take_along_axis(keys, order, 0), "members": members[order], "least": least}
+            one |= {"step": max(1, width // 8), "keys": np.take_along_axis(keys, order, 0), "members": members[order], "least": least, "anchors": np.unique(anchors)}
+        self.anchors = np.unique(np.concatenate([one["anchors"] for one in self.classes.values()])) if self.classes else np.empty(0, np.uint64)
 
     def _hashed(self, found: np.ndarray) -> np.ndarray:
         return mixed(found[None, :] * self.salts[:, None])
@@ -117,8 +128,14 @@ class Catalogue:
         return out
 
     def _stretch(self, found: np.ndarray, classes: list[tuple[int, dict]]) -> Iterator[tuple[int, int, int]]:
+        near = np.flatnonzero(_among(found, self.anchors))
+        if not len(near):
+            return
         minima, reach = self._hashed(found), 1
         for width, one in classes:
+            held = near[_among(found[near], one["anchors"])]
+            if not len(held):
+                continue
             step = one["step"]
             # a window holds a whole copy wherever it starts
             size = min(len(found), width + step - 1)
@@ -127,6 +144,7 @@ class Catalogue:
                 minima = np.minimum(minima[:, :-by], minima[:, by:])
                 reach += by
             starts = np.minimum(np.arange(0, max(1, len(found) - size + step), step), minima.shape[1] - 1)
+            starts = starts[np.searchsorted(held, starts + size) > np.searchsorted(held, starts)]
             keys = self._bands(minima[:, starts])
             for band in range(self.bands):
                 own = one["keys"][:, band]
@@ -141,17 +159,20 @@ def verified(found: np.ndarray, template: np.ndarray, first: int, end: int, perc
     a, b = max(0, first - len(template) // 2), min(len(found), end + len(template) // 2)
     where = np.flatnonzero(np.isin(found[a:b], template)) + a
     distinct = len(np.unique(template))
-    held = len(np.unique(found[where]))
+    _, which, left = np.unique(found[where], return_inverse=True, return_counts=True)
+    held = len(left)
     if not len(where) or 100 * held < percent * distinct:
         return None
     # drop far hits at the ends that the containment doesn't need
-    while len(where) > 1 and where[-1] - where[0] >= 2 * len(template):
-        drop_last = where[-1] - where[-2] >= where[1] - where[0]
-        rest = where[:-1] if drop_last else where[1:]
-        if len(np.unique(found[rest])) < held:
+    low, high = 0, len(where) - 1
+    while low < high and where[high] - where[low] >= 2 * len(template):
+        drop_last = where[high] - where[high - 1] >= where[low + 1] - where[low]
+        dropped = which[high if drop_last else low]
+        if left[dropped] == 1:
             break
-        where = rest
-    return int(where[0]), int(where[-1]) + 1, held / distinct
+        left[dropped] -= 1
+        low, high = (low, high - 1) if drop_last else (low + 1, high)
+    return int(where[low]), int(where[high]) + 1, held / distinct
 
 
 def matches(found: np.ndarray, catalogue: Catalogue, percent: int = CONTAINMENT) -> list[tuple[int, int, int, float]]:

@@ -440,6 +440,55 @@ def test_licenses_recall_on_edited_full_texts(spark):
     assert {x for x in got - want if x[1] in small} == set()
 
 
+def plain_windows(found, catalogue):
+    """Windows that share a band with a template, from the minima of every window of every length class."""
+    hashed = catalogue._hashed(found)
+    own = [np.minimum.reduce(catalogue._hashed(s), axis=1) for s in catalogue.shingles]
+    rows, out = catalogue.rows, set()
+    for width, one in catalogue.classes.items():
+        if 100 * len(found) < 80 * one["least"]:
+            continue
+        size = min(len(found), width + one["step"] - 1)
+        for start in np.minimum(np.arange(0, max(1, len(found) - size + one["step"]), one["step"]), len(found) - size):
+            least = hashed[:, start : start + size].min(axis=1)
+            for k in {int(x) for x in one["members"].ravel()}:
+                if any((least[b : b + rows] == own[k][b : b + rows]).all() for b in range(0, len(least), rows)):
+                    out.add((k, int(start), int(start) + size))
+    return out
+
+
+@pytest.mark.parametrize("bands, rows", [(8, 1), (4, 2)])
+def test_license_bands_only_of_windows_with_an_anchor(bands, rows):
+    """The windows of bands of all, from bands of those that can be a template's."""
+    notices = licenses.notices()
+    catalogue = licenses.Catalogue(notices, bands, rows)
+    filler = " ".join(f"w{x}" for x in np.random.default_rng(5).integers(0, 500, 3_000))
+    grant, bsd = notices["MIT-grant"], notices["GPL-1"].split()
+    texts = [filler, f"{filler} {grant} {filler}", f"{grant} {filler} {' '.join(bsd[:900])} x {' '.join(bsd[901:])} {grant}"]
+    made = []
+    inner = catalogue._bands
+    catalogue._bands = lambda signature: made.append(signature.shape[1]) or inner(signature)
+    for text, most in zip(texts, (0, 100, None), strict=True):
+        found = licenses._windows([text.encode()])[0]
+        made.clear()
+        got = catalogue.retrieved(found)
+        assert got == plain_windows(found, catalogue) and bool(got) == (text != filler)
+        assert most is None or sum(made) <= most
+
+
+def test_license_ends_are_dropped_in_one_pass():
+    """A template many times over: a hit is dropped by its count, not by counting all the others anew."""
+    template = licenses._windows([licenses.notices()["MPL-2.0"].encode()])[0]
+    found = np.tile(template, 4)
+    size = len(template)
+    sorts = []
+    with pytest.MonkeyPatch.context() as patch:
+        inner = np.unique
+        patch.setattr(np, "unique", lambda *a, **k: sorts.append(1) or inner(*a, **k))
+        first, end, share = licenses.verified(found, template, size, 2 * size + size // 8)
+    assert share == 1.0 and end - first == 2 * size and len(sorts) < 10
+
+
 def test_license_catalogue_in_parts(spark):
     made = {f"t{k:04}": " ".join(f"{k}x{j}" for j in range(12)) for k in range(6_000)}
     docs = spark.createDataFrame([(1, f"a b c {made['t0007']} d"), (2, made["t5999"]), (3, "a b c d e f")], "doc_id bigint, text string")
