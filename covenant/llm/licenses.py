@@ -154,18 +154,36 @@ class Catalogue:
                         yield int(member), int(starts[w]), int(starts[w]) + size
 
 
-def verified(found: np.ndarray, template: np.ndarray, first: int, end: int, percent: int = CONTAINMENT) -> tuple[int, int, float] | None:
-    """(first shingle, end, containment) of the template's shingles in and around a window."""
-    a, b = max(0, first - len(template) // 2), min(len(found), end + len(template) // 2)
-    where = np.flatnonzero(np.isin(found[a:b], template)) + a
-    distinct = len(np.unique(template))
-    _, which, left = np.unique(found[where], return_inverse=True, return_counts=True)
-    held = len(left)
+def verified(found: np.ndarray, template: np.ndarray, spans: list[tuple[int, int]], percent: int = CONTAINMENT) -> Iterator[tuple[int, int, float]]:
+    """(first shingle, end, containment) of the template's shingles in and around each window that holds enough; windows in order of their starts."""
+    known, margin = np.unique(template), len(template) // 2
+    around = [(max(0, first - margin), min(len(found), end + margin)) for first, end in spans]
+    at = 0
+    while at < len(around):
+        # what overlaps is looked up together, and left together if all of it holds too little
+        (start, stop), upto = around[at], at + 1
+        while upto < len(around) and around[upto][0] < stop:
+            stop, upto = max(stop, around[upto][1]), upto + 1
+        which = np.minimum(np.searchsorted(known, found[start:stop]), len(known) - 1)
+        where = np.flatnonzero(known[which] == found[start:stop])
+        which, where = which[where], where + start
+        if len(where) and 100 * np.count_nonzero(np.bincount(which)) >= percent * len(known):
+            for a, b in dict.fromkeys(around[at:upto]):
+                low, high = np.searchsorted(where, (a, b))
+                if hit := _trimmed(where[low:high], which[low:high], len(template), len(known), percent):
+                    yield hit
+        at = upto
+
+
+def _trimmed(where: np.ndarray, which: np.ndarray, size: int, distinct: int, percent: int) -> tuple[int, int, float] | None:
+    """The stretch of hits at places where, of shingles which, if they hold enough of the template's distinct ones."""
+    left = np.bincount(which)
+    held = int(np.count_nonzero(left))
     if not len(where) or 100 * held < percent * distinct:
         return None
     # drop far hits at the ends that the containment doesn't need
     low, high = 0, len(where) - 1
-    while low < high and where[high] - where[low] >= 2 * len(template):
+    while low < high and where[high] - where[low] >= 2 * size:
         drop_last = where[high] - where[high - 1] >= where[low + 1] - where[low]
         dropped = which[high if drop_last else low]
         if left[dropped] == 1:
@@ -178,11 +196,11 @@ def verified(found: np.ndarray, template: np.ndarray, first: int, end: int, perc
 def matches(found: np.ndarray, catalogue: Catalogue, percent: int = CONTAINMENT) -> list[tuple[int, int, int, float]]:
     """(template, first shingle, end, containment), the best of those that overlap with one template."""
     out: list[tuple[int, int, int, float]] = []
-    hits: dict[int, list[tuple[int, int, float]]] = {}
+    spans: dict[int, list[tuple[int, int]]] = {}
     for member, first, end in sorted(catalogue.retrieved(found, percent)):
-        if hit := verified(found, catalogue.shingles[member], first, end, percent):
-            hits.setdefault(member, []).append(hit)
-    for member, own in hits.items():
+        spans.setdefault(member, []).append((first, end))
+    for member, near in spans.items():
+        own = verified(found, catalogue.shingles[member], near, percent)
         taken: list[tuple[int, int]] = []
         for a, b, share in sorted(own, key=lambda x: (-x[2], x[1] - x[0], x[0])):
             if all(b <= x or y <= a for x, y in taken):

@@ -485,10 +485,28 @@ def test_license_ends_are_dropped_in_one_pass():
     with pytest.MonkeyPatch.context() as patch:
         inner = np.unique
         patch.setattr(np, "unique", lambda *a, **k: sorts.append(1) or inner(*a, **k))
-        first, end, share = licenses.verified(found, template, size, 2 * size + size // 8)
+        [(first, end, share)] = licenses.verified(found, template, [(size, 2 * size + size // 8)])
     assert share == 1.0 and end - first == 2 * size and len(sorts) < 10
 
 
+def test_license_windows_are_verified_together():
+    """Windows of a template that overlap are looked up once, with the result of each on its own."""
+    template = licenses._windows([licenses.notices()["MPL-2.0"].encode()])[0]
+    other = np.arange(1, 5_001, dtype=np.uint64)
+    size = len(template)
+    far = 30 * size
+    found = np.concatenate([other, template, other, template[: size // 2], np.arange(far, dtype=np.uint64), template])
+    spans = [(start, start + size) for start in range(0, len(found) - size + 1, size // 8)]
+    looked = []
+    with pytest.MonkeyPatch.context() as patch:
+        inner = np.flatnonzero
+        patch.setattr(np, "flatnonzero", lambda x: looked.append(len(x)) or inner(x))
+        got = list(licenses.verified(found, template, spans))
+    assert sum(looked) <= len(found)
+    assert got == [hit for span in spans for hit in licenses.verified(found, template, [span])]
+    assert {(a, b) for a, b, share in got if share == 1.0} == {(5_000, 5_000 + size), (len(found) - size, len(found))}
+
+
 def test_license_catalogue_in_parts(spark):
     made = {f"t{k:04}": " ".join(f"{k}x{j}" for j in range(12)) for k in range(6_000)}
     docs = spark.createDataFrame([(1, f"a b c {made['t0007']} d"), (2, made["t5999"]), (3, "a b c d e f")], "doc_id bigint, text string")
