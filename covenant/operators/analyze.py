@@ -11,28 +11,27 @@ from ..functions import vocab
 
 def intent(question: Column) -> Column:
     """The intent whose patterns match most often; the first wins ties."""
-    scores = []
-    for name, patterns in vocab.INTENT_PATTERNS:
-        total = F.lit(0)
-        for p in patterns:
-            total = total + F.regexp_count(question, F.lit("(?i)" + p))
-        scores.append((name, total))
-    return t.best_of(scores, "general")
+    names, groups = zip(*vocab.INTENT_PATTERNS, strict=True)
+    return t.best_named(t.once(t.ascii_words(question), lambda words: t.matches(words, groups)), names, "general")
 
 
 def listed_intent(question: Column, lists: list, default: str) -> Column:
-    low = F.lower(question)
+    low = t.lower(question)
     return t.first_of([(t.any_of(low, words), name) for name, words in lists], default)
 
 
 def question_type(question: Column) -> Column:
-    return t.first_of([(t.any_match(question, p), name) for name, p in vocab.QUESTION_TYPES], "general")
+    return t.once(t.ascii_words(question), lambda words: t.first_of([(t.any_match(words, p), name) for name, p in vocab.QUESTION_TYPES], "general"))
+
+
+def aggregates(question: Column) -> Column:
+    return t.any_match(t.ascii_words(question), vocab.AGGREGATION)
 
 
 def kinds_asked(question: Column) -> Column:
     """Entity kinds of interest, as an array in order."""
-    asked = [F.when(t.any_match(question, p), F.lit(name)) for name, p in vocab.ENTITY_KINDS]
-    return F.filter(F.array(*asked), lambda x: x.isNotNull())
+    asked = lambda words: F.array(*[F.when(t.any_match(words, p), F.lit(name)) for name, p in vocab.ENTITY_KINDS])
+    return F.filter(t.once(t.ascii_words(question), asked), lambda x: x.isNotNull())
 
 
 def keywords(question: Column) -> Column:
@@ -43,7 +42,7 @@ def keywords(question: Column) -> Column:
 def specificity(question: Column) -> Column:
     total = F.least(t.word_count(question) / 20.0, F.lit(0.3)) + 0.1 * F.size(kinds_asked(question))
     total += 0.1 * F.size(F.array_intersect(keywords(question), F.array(*map(F.lit, vocab.SPECIFIC_WORDS))))
-    total += F.when(question.rlike(r"(?i)\b(?:\d+|specific|exact|particular)\b"), 0.2).otherwise(0.0)
+    total += F.when(t.any_match(t.ascii_words(question), [r"\b(?:\d+|specific|exact|particular)\b"]), 0.2).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), total), 6)
 
 
@@ -59,8 +58,8 @@ def collections(intent_name: Column) -> Column:
 
 def expanded(question: Column, most: int = 10) -> Column:
     """The question, synonym swaps and role prompts: distinct, in order, at most so many."""
-    q = F.trim(question)
-    low = F.lower(q)
+    q = t.trim(question)
+    low = t.lower(q)
     swaps = [F.when(low.contains(key), F.replace(low, F.lit(key), F.lit(a))) for key, alts in vocab.SYNONYMS.items() for a in alts]
     roles = [F.concat(F.lit(p), q) for p in ("entities and parties: ", "contract details: ", "clause references: ")] + [F.concat(q, F.lit("?"))]
     lists = ~low.contains("how many") & t.any_of(low, ["companies", "company", "parties"])
@@ -70,7 +69,7 @@ def expanded(question: Column, most: int = 10) -> Column:
 
 def with_aliases(question: Column) -> Column:
     """The question and its alias swaps, in both directions, distinct and in order."""
-    low = F.lower(question)
+    low = t.lower(question)
     out = [question]
     for canonical, alts in vocab.ALIASES.items():
         has = low.contains(canonical)
@@ -83,7 +82,7 @@ def with_aliases(question: Column) -> Column:
 
 def expanded_old(question: Column) -> Column:
     """The older expansion: synonyms that the question hasn't got, two role prompts; no limit."""
-    low = F.lower(question)
+    low = t.lower(question)
     swaps = [F.when(low.contains(key) & ~low.contains(a), F.replace(low, F.lit(key), F.lit(a))) for key, alts in vocab.OLD_SYNONYMS.items() for a in alts]
     roles = [F.concat(F.lit(p), question) for p in ("entities and parties: ", "contract details: ")] + [F.when(~question.endswith("?"), F.concat(question, F.lit("?")))]
     lists = ~low.contains("how many") & (low.contains("companies") | low.contains("parties"))
@@ -96,29 +95,34 @@ def filled(templates: list[str], question: Column) -> Column:
     return F.array(*[F.replace(F.lit(x), F.lit("{}"), question) if "{}" in x else F.lit(x) for x in templates])
 
 
-def expanded_by_intent(question: Column) -> Column:
-    """The analyser's expansion by intent and kinds of entity, sorted (it has no order of its own)."""
+def expanded_by_intent(question: Column, kind: Column | None = None, kinds: Column | None = None) -> Column:
+    """The analyser's expansion by intent and kinds of entity, sorted (it has no order of its own). kind, kinds: these two, if they are known."""
     none = F.array().cast("array<string>")
-    kind, kinds = intent(question), kinds_asked(question)
-    parts = [F.array(question)]
-    parts += [F.when(kind == name, filled(xs, question)).otherwise(none) for name, xs in vocab.INTENT_EXPANSIONS.items()]
-    parts += [F.when(F.array_contains(kinds, name), filled(xs, question)).otherwise(none) for name, xs in vocab.KIND_EXPANSIONS.items()]
-    parts += [F.when(~question.endswith("?"), F.array(F.concat(question, F.lit("?")))).otherwise(none)]
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+    def parts(kind: Column, kinds: Column) -> Column:
+        out = [F.array(question)]
+        out += [F.when(kind == name, filled(xs, question)).otherwise(none) for name, xs in vocab.INTENT_EXPANSIONS.items()]
+        out += [F.when(F.array_contains(kinds, name), filled(xs, question)).otherwise(none) for name, xs in vocab.KIND_EXPANSIONS.items()]
+        out += [F.when(~question.endswith("?"), F.array(F.concat(question, F.lit("?")))).otherwise(none)]
+        return F.array_sort(F.array_distinct(F.concat(*out)))
+
+    if kind is not None and kinds is not None:
+        return parts(kind, kinds)
+    return t.once(intent(question), lambda kind: t.once(kinds_asked(question), lambda kinds: parts(kind, kinds)))
 
 
 def analysis(question: Column) -> Column:
     """The analyser's eight fields as one struct."""
-    kind = intent(question)
-    return F.struct(
-        kind.alias("intent"), F.array_join(kinds_asked(question), ",").alias("kinds"), F.array_join(keywords(question), ",").alias("keywords"), question_type(question).alias("question_type"),
-        specificity(question).alias("specificity"), t.any_match(question, vocab.AGGREGATION).alias("aggregates"), collections(kind).alias("collections"), expanded_by_intent(question).alias("variants"),
+    fields = lambda kind, kinds: F.struct(
+        kind.alias("intent"), F.array_join(kinds, ",").alias("kinds"), F.array_join(keywords(question), ",").alias("keywords"), question_type(question).alias("question_type"),
+        specificity(question).alias("specificity"), aggregates(question).alias("aggregates"), collections(kind).alias("collections"), expanded_by_intent(question, kind, kinds).alias("variants"),
     )
+    return t.once(intent(question), lambda kind: t.once(kinds_asked(question), lambda kinds: fields(kind, kinds)))
 
 
 def quick_analysis(question: Column) -> dict[str, Column]:
     """The fields of the quick analysis by word lists."""
-    low = F.lower(question)
+    low = t.lower(question)
     kinds = F.filter(F.array(*[F.when(t.any_of(low, words), F.lit(name)) for name, words in vocab.QUICK_KINDS]), lambda x: x.isNotNull())
     asks = F.when(low.startswith("how many"), "count").when(low.startswith("who"), "who").when(low.startswith("what"), "what").otherwise("general")
     name = listed_intent(question, vocab.QUICK_INTENTS, "general")
